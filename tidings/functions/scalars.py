@@ -85,11 +85,14 @@ def l2_norm(a) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def l2_normalize(a) -> Column:
-    """Unit-length vector; the zero vector stays zero."""
+def l2_normalize(a, as_float: bool = True) -> Column:
+    """Unit-length vector; the zero vector stays zero.  ``as_float`` keeps
+    the float32 element type, otherwise elements are doubles."""
     n = l2_norm(a)
     safe = F.when(n == 0, F.lit(1.0)).otherwise(n)
-    return F.transform(_c(a), lambda x: (x.cast("double") / safe).cast("float"))
+    if as_float:
+        return F.transform(_c(a), lambda x: (x.cast("double") / safe).cast("float"))
+    return F.transform(_c(a), lambda x: x.cast("double") / safe)
 
 
 def cosine_similarity(a, b) -> Column:
