@@ -13,6 +13,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scalars import _c
 from .wordlists import MAX_URL_LENGTH, RU_KEEP, RU_STOPWORDS
@@ -77,7 +78,7 @@ def _strict_text(s: str | None) -> str | None:
     return "".join(p.parts)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_to_text_strict(s: pd.Series) -> pd.Series:
     """CLN1 strict mode: the standard-library HTML parser per value."""
     return s.map(_strict_text)
@@ -93,13 +94,13 @@ def _nfc(v):
     return None if v is None else unicodedata.normalize("NFC", v)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc_udf(s: pd.Series) -> pd.Series:
     return s.map(_nfc)
 
 
 def _make_norm_udf(form: str):
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def _udf(s: pd.Series) -> pd.Series:
         return s.map(lambda v: None if v is None else unicodedata.normalize(form, v))
     return _udf
@@ -148,11 +149,8 @@ def parse_iso(c) -> Column:
     return F.try_to_timestamp(_c(c)).cast("timestamp_ntz")
 
 
-EPOCH = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-
-
 def clamp_epoch(c) -> Column:
-    return F.greatest(_c(c), EPOCH)
+    return F.greatest(_c(c), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
 
 def to_iso(c) -> Column:
