@@ -87,12 +87,15 @@ def l2_norm(a) -> Column:
 
 def l2_normalize(a, as_float: bool = True) -> Column:
     """Unit-length vector; the zero vector stays zero.  ``as_float`` keeps
-    the float32 element type, otherwise elements are doubles."""
+    the float32 element type, otherwise elements are doubles.  The norm is
+    computed once and zipped in (a lambda referring to it would recompute it
+    per element)."""
     n = l2_norm(a)
     safe = F.when(n == 0, F.lit(1.0)).otherwise(n)
+    norms = F.array_repeat(safe, F.size(_c(a)))
     if as_float:
-        return F.transform(_c(a), lambda x: (x.cast("double") / safe).cast("float"))
-    return F.transform(_c(a), lambda x: x.cast("double") / safe)
+        return F.zip_with(_c(a), norms, lambda x, d: (x.cast("double") / d).cast("float"))
+    return F.zip_with(_c(a), norms, lambda x, d: x.cast("double") / d)
 
 
 def cosine_similarity(a, b) -> Column:

@@ -139,11 +139,11 @@ def lemmatise(tokens: DataFrame, lemmas: DataFrame, excluded_pos: list[str],
               token_col: str = "token") -> DataFrame:
     """JN12: token -> lemma via a dictionary join; words whose part of speech
     is excluded are dropped; unknown words are kept as they are."""
-    d = lemmas.select(F.col("word").alias(token_col), "lemma", "pos")
+    d = lemmas.select(F.col("word").alias(token_col), F.col("lemma").alias("_lemma"), F.col("pos").alias("_pos"))
     j = tokens.join(d, token_col, "left")
-    return (j.filter(F.col("pos").isNull() | ~F.col("pos").isin(excluded_pos))
-             .withColumn(token_col, F.coalesce(F.col("lemma"), F.col(token_col)))
-             .drop("lemma", "pos"))
+    return (j.filter(F.col("_pos").isNull() | ~F.col("_pos").isin(excluded_pos))
+             .withColumn(token_col, F.coalesce(F.col("_lemma"), F.col(token_col)))
+             .drop("_lemma", "_pos"))
 
 
 def drop_stopwords(tokens: DataFrame, stop: DataFrame, token_col: str = "token") -> DataFrame:

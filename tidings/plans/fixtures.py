@@ -195,3 +195,53 @@ def sql_dist(a: str, b: str, dims: int = 64) -> str:
 def sql_dot(a: str, b: str, dims: int = 64) -> str:
     return (f"list_reduce(list_transform(range(1, {dims + 1}), lambda i: "
             f"CAST({a}[i] AS DOUBLE) * CAST({b}[i] AS DOUBLE)), lambda x, y: x + y)")
+
+
+# --- token documents (FN3-FN5) and derived word resources --------------------
+SQL_TOK_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
+_SQL_W = ("replace(trim(regexp_replace(regexp_replace(lower(t), '[^\\p{L}\\p{N}]', ' ', 'g'), ' +', ' ', 'g')), "
+          "'ё', 'e')")
+
+
+def sql_tokens(text: str) -> str:
+    """DuckDB form of ``clean_tokens``."""
+    return (f"list_filter(list_transform(regexp_extract_all(lower(coalesce({text}, '')), '{SQL_TOK_PATTERN}'), "
+            f"lambda t: CASE WHEN length({_SQL_W}) > 1 AND regexp_matches({_SQL_W}, '^\\p{{L}}') "
+            f"THEN {_SQL_W} ELSE '' END), lambda x: x <> '')")
+
+
+SQL_TOKEN_DOCS = f"token_docs AS (SELECT doc_id, {sql_tokens('text')} AS tokens FROM documents)"
+SQL_TOKPOS = ("tokpos AS (SELECT doc_id, unnest(range(0, len(tokens))) AS pos, unnest(tokens) AS token "
+              "FROM token_docs)")
+# word vectors: every distinct token of at most 8 characters gets an embedding
+# row chosen by its length and first character
+SQL_WORD_VECTORS = """
+word_vectors AS (
+  SELECT w.word, e.embedding AS vec FROM
+    (SELECT DISTINCT token AS word FROM tokpos WHERE length(token) <= 8) w
+    JOIN embeddings e ON e.vec_id = (length(w.word) * 37 + ascii(w.word)) % (SELECT count(*) FROM embeddings)
+)"""
+
+
+def token_docs_like(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.scalars import clean_tokens
+    d = read_table(spark, sf_dir, "documents")
+    return d.select("doc_id", clean_tokens("text").alias("tokens"))
+
+
+def word_vectors_like(spark: SparkSession, sf_dir: str) -> DataFrame:
+    td = token_docs_like(spark, sf_dir)
+    e = read_table(spark, sf_dir, "embeddings")
+    n = e.select(F.count(F.lit(1))).scalar()
+    words = td.select(F.explode("tokens").alias("word")).filter(F.length("word") <= 8).distinct()
+    words = words.withColumn("vec_id", (F.length("word") * 37 + F.ascii("word")) % n)
+    return words.join(e.select("vec_id", F.col("embedding").alias("vec")), "vec_id").select("word", "vec")
+
+
+def r6(c):
+    """Round to 6 digits with negative zero folded into zero."""
+    return F.round(c, 6) + F.lit(0.0)
+
+
+def sql_r6(x: str) -> str:
+    return f"(round({x}, 6) + 0.0)"
