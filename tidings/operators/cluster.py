@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import knn
-from .relational import codes_match, is_small, match_rate, min_group_size
+from .relational import broadcast_if_small, is_small, match_rate, min_group_size
 
 
 # ---- connected components -------------------------------------------------------
@@ -88,7 +88,14 @@ def cluster_complete(vecs: DataFrame, t: float = 0.2, id_col: str = "id", vec: s
     pair is at distance >= t.
     """
     v = vecs.select(F.col(id_col).alias("id"), F.col(vec).alias("vec"))
+    dup = None
     if edges is None:
+        # identical vectors merge first at distance 0 in any merge order:
+        # collapse them to their smallest id, cluster the representatives,
+        # re-expand at the end (exact, and no round per duplicate)
+        rep = v.groupBy("vec").agg(F.min("id").alias("rid"))
+        dup = cut_lineage(v.join(rep, "vec").select("id", "rid"))
+        v = v.join(dup.filter(F.col("id") == F.col("rid")).select("id"), "id", "left_semi")
         edges = knn.similar_pairs(v, t, metric=metric).select("a", "b", F.col("dist").alias("d"))
     e = cut_lineage(edges.select("a", "b", "d"))
     members = cut_lineage(v.select("id", F.col("id").alias("label")))
@@ -124,6 +131,8 @@ def cluster_complete(vecs: DataFrame, t: float = 0.2, id_col: str = "id", vec: s
         members = cut_lineage(
             members.join(remap, members["label"] == remap["old"], "left")
             .select("id", F.coalesce("new", "label").alias("label")))
+    if dup is not None:
+        members = dup.join(members.select(F.col("id").alias("rid"), "label"), "rid").select("id", "label")
     return members
 
 
@@ -214,13 +223,19 @@ def trends(news: DataFrame, vecs: DataFrame, min_size: int = 1, **kw) -> DataFra
     return group_news(news, vecs, min_size, **kw)
 
 
-def personalised_trends(grouped: DataFrame, codes: DataFrame, user_codes: list[str],
-                        min_rate: float = 0.5) -> DataFrame:
+def personalised_trends(grouped: DataFrame, codes: DataFrame, user_codes, min_rate: float = 0.5) -> DataFrame:
     """CLU5: keep groups where the share of articles whose codes (or their
-    level-1 prefixes) meet the user's codes is at least ``min_rate``."""
-    per = codes.groupBy("news_id").agg(F.collect_list("okved").alias("okveds"))
-    user = F.array(*[F.lit(c) for c in user_codes])
-    flags = (grouped.select("id", "group").join(per, F.col("id") == F.col("news_id"), "left")
-             .select("group", codes_match(F.coalesce("okveds", F.array().cast("array<string>")), user).alias("m")))
+    level-1 prefixes) meet the user's codes is at least ``min_rate``.
+
+    codes: bridge (news_id, okved); user_codes: list or DataFrame (okved).
+    Fully relational: code rows are matched by a semi join, never collected."""
+    from ..functions.scalars import code_prefix
+    if isinstance(user_codes, (list, tuple)):
+        user_codes = grouped.sparkSession.createDataFrame([(c,) for c in user_codes], "okved string")
+    cand = codes.select("news_id", F.explode(F.array(F.col("okved"), code_prefix("okved", 1))).alias("_c"))
+    user = broadcast_if_small(user_codes.select(F.col("okved").alias("_c")).distinct())
+    matched = cand.join(user, "_c", "left_semi").select(F.col("news_id").alias("_mid")).distinct()
+    flags = (grouped.select("id", "group").join(matched, F.col("id") == F.col("_mid"), "left")
+             .select("group", F.col("_mid").isNotNull().alias("m")))
     keep = match_rate(flags, "group", "m", min_rate).select("group")
     return grouped.join(keep, "group", "left_semi")
