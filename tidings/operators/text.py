@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import _c, clean_tokens, cosine_similarity, l2_normalize
 from ..functions.wordlists import TOPIC_NAMES
+from ..session import cut_lineage
 from .relational import broadcast_if_small
 
 
@@ -82,8 +83,9 @@ def fit_phrases(td: DataFrame, min_count: int = 20, threshold: float = 10.0) ->
     """Phrase model: (a, b, phrase, score) for pairs with
     score = (n_ab - min_count) / (n_a * n_b) * |vocab| > threshold,
     where |vocab| counts distinct unigrams and bigrams (Mikolov et al. 2013)."""
-    uni = td.select(F.explode("tokens").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    bi = bigrams(td).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_ab"))
+    td = cut_lineage(td.select("doc_id", "tokens"))  # read four times below
+    uni = cut_lineage(td.select(F.explode("tokens").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")))
+    bi = cut_lineage(bigrams(td).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_ab")))
     vocab = uni.select(F.count(F.lit(1))).scalar() + bi.select(F.count(F.lit(1))).scalar()
     ua = uni.select(F.col("w").alias("a"), F.col("n").alias("n_a"))
     ub = uni.select(F.col("w").alias("b"), F.col("n").alias("n_b"))
@@ -174,6 +176,7 @@ def keywords(td: DataFrame, word_vectors: DataFrame, dims: int, n: int = 5) -> D
     """Top-n token occurrences by cosine to the document vector (duplicates
     consume slots, ties -> later position), returned as a sorted set; a
     document without known tokens keeps its raw tokens."""
+    td = cut_lineage(td.select("doc_id", "tokens"))  # read three times below
     dv = doc_vector(td, word_vectors, dims)
     wv = word_vectors.select(F.col("word").alias("token"), F.col("vec").alias("wvec"))
     occ = token_rows(td).join(wv, "token").join(dv, "doc_id")

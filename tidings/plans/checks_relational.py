@@ -319,14 +319,8 @@ def fn3(spark, sf):
     return d.select("doc_id", F.size(t).alias("n_tokens"), F.array_join(t, "|").alias("tokens"))
 
 
-_W = "replace(trim(regexp_replace(regexp_replace(lower(t), '[^\\p{L}\\p{N}]', ' ', 'g'), ' +', ' ', 'g')), 'ё', 'e')"
-
-
 @register("fn4_clean_token", f"""
-SELECT doc_id, array_to_string(list_filter(list_transform(regexp_extract_all(lower(text), '{_TOK}'),
-         lambda t: CASE WHEN length({_W}) > 1 AND regexp_matches({_W}, '^\\p{{L}}') THEN {_W} ELSE '' END),
-         lambda x: x <> ''), '|') AS tokens
-FROM documents""")
+SELECT doc_id, array_to_string({X.sql_tokens('text')}, '|') AS tokens FROM documents""")
 def fn4(spark, sf):
     d = read_table(spark, sf, "documents")
     return d.select("doc_id", F.array_join(S.clean_tokens("text"), "|").alias("tokens"))

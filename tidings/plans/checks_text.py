@@ -11,6 +11,7 @@ from ..operators import text as T
 from . import fixtures as X
 from .checks_sources import EN_STOP, LATIN_KEEP
 from .registry import register
+from ..session import cut_lineage
 
 TD = X.with_ctes(X.SQL_TOKEN_DOCS, X.SQL_TOKPOS)
 TDW = X.with_ctes(X.SQL_TOKEN_DOCS, X.SQL_TOKPOS, X.SQL_WORD_VECTORS)
@@ -20,8 +21,9 @@ DIMS = 64
 r6, sql_r6 = X.r6, X.sql_r6
 
 
-def _td(spark, sf):
-    return X.token_docs_like(spark, sf)
+def _td(spark, sf, materialise: bool = False):
+    td = X.token_docs_like(spark, sf)
+    return cut_lineage(td) if materialise else td
 
 
 @register("agg8_doc_freq", TD + """
@@ -51,7 +53,7 @@ def txt5(spark, sf):
 @register("agg9_doc2bow", _DICT_SQL + """
 SELECT t.doc_id, d.term_id, count(*) AS cnt FROM tokpos t JOIN dict d ON d.term = t.token GROUP BY t.doc_id, d.term_id""")
 def agg9(spark, sf):
-    td = _td(spark, sf)
+    td = _td(spark, sf, materialise=True)
     d = T.dictionary(_dict(spark, sf, td))
     return T.doc2bow(td, d).select("doc_id", "term_id", "cnt")
 

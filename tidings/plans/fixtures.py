@@ -199,15 +199,15 @@ def sql_dot(a: str, b: str, dims: int = 64) -> str:
 
 # --- token documents (FN3-FN5) and derived word resources --------------------
 SQL_TOK_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
-_SQL_W = ("replace(trim(regexp_replace(regexp_replace(lower(t), '[^\\p{L}\\p{N}]', ' ', 'g'), ' +', ' ', 'g')), "
-          "'ё', 'e')")
+SQL_WORD_RUN = r"[\p{L}\p{N}_]+"
 
 
 def sql_tokens(text: str) -> str:
     """DuckDB form of ``clean_tokens``."""
-    return (f"list_filter(list_transform(regexp_extract_all(lower(coalesce({text}, '')), '{SQL_TOK_PATTERN}'), "
-            f"lambda t: CASE WHEN length({_SQL_W}) > 1 AND regexp_matches({_SQL_W}, '^\\p{{L}}') "
-            f"THEN {_SQL_W} ELSE '' END), lambda x: x <> '')")
+    w = ("CASE WHEN strpos(t, '_') > 0 THEN trim(regexp_replace(translate(t, '_ё', ' e'), ' +', ' ', 'g')) "
+         "ELSE translate(t, 'ё', 'e') END")
+    return (f"list_filter(list_transform(regexp_extract_all(lower(coalesce({text}, '')), '{SQL_WORD_RUN}'), "
+            f"lambda t: {w}), lambda x: length(x) > 1 AND regexp_matches(x, '^\\p{{L}}'))")
 
 
 SQL_TOKEN_DOCS = f"token_docs AS (SELECT doc_id, {sql_tokens('text')} AS tokens FROM documents)"
