@@ -284,3 +284,18 @@ def intersects(a, b) -> Column:
 def minus_self(pool: DataFrame, own: DataFrame, key: str = "link") -> DataFrame:
     """SET5: pool minus own rows."""
     return pool.join(own.select(key), key, "left_anti")
+
+
+def importance(pairs: DataFrame, items: DataFrame, days: int = 3, ts_col: str = "timestamp") -> DataFrame:
+    """RNK5: per article, the number of similar articles (pairs a < b from
+    the similarity join) published within +-days; 0 when none."""
+    both = (pairs.select(F.col("a").alias("id"), F.col("b").alias("oid"))
+            .unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("oid"))))
+    ts = items.select("id", F.col(ts_col).alias("_t"))
+    ots = items.select(F.col("id").alias("oid"), F.col(ts_col).alias("_o"))
+    near_in_time = (both.join(ts, "id").join(ots, "oid")
+                    .filter(F.abs(F.unix_micros(F.col("_t").cast("timestamp"))
+                                  - F.unix_micros(F.col("_o").cast("timestamp"))) <= days * 86_400_000_000))
+    counts = near_in_time.groupBy("id").agg(F.count(F.lit(1)).alias("importance"))
+    return (items.select("id").join(counts, "id", "left")
+            .select("id", F.coalesce("importance", F.lit(0)).cast("long").alias("importance")))

@@ -370,3 +370,39 @@ def fn12(spark, sf):
     codes = X.news_codes_like(spark, sf).select("okved").distinct()
     # table form of the map lookup: a left join keeps misses as NULL
     return codes.join(rel, "okved", "left").select("okved", "rel")
+
+
+# ---- JN15 / AGG12: topic spine and report ---------------------------------------------
+from ..functions.wordlists import TOPIC_NAMES  # noqa: E402
+
+_TOPICS = X._sql_list(TOPIC_NAMES)
+_SPINE_SQL = NEWS_ROLES + f""",
+pool AS (SELECT * FROM news_like WHERE {_win_sql(1)}
+         AND source IN (SELECT source FROM role_sources WHERE role = '{X.ROLE}')),
+scored AS (SELECT id, title, {_TOPICS}[id % 10 + 1] AS topic FROM pool),
+best AS (SELECT topic, arg_max(title, id) AS title FROM scored GROUP BY topic),
+names AS (SELECT CAST(i - 1 AS INTEGER) AS topic_pos, {_TOPICS}[i] AS topic FROM range(1, 11) t(i)),
+spine AS (SELECT n.topic_pos, n.topic, coalesce(b.title, '-') AS title FROM names n LEFT JOIN best b ON b.topic = n.topic)
+"""
+
+
+def _spine(spark, sf):
+    n = R.for_role(R.time_window(X.news_like(spark, sf), X.AT, 1), X.role_sources(spark), X.ROLE)
+    names = F.array(*[F.lit(x) for x in TOPIC_NAMES])
+    scored = n.select("id", "title", F.element_at(names, (F.col("id") % 10 + 1).cast("int")).alias("topic"),
+                      F.lit(1).alias("importance"))
+    best = R.best_per_topic(scored)
+    spine_names = spark.createDataFrame(list(enumerate(TOPIC_NAMES)), "topic_pos int, topic string")
+    return R.topics_spine(spine_names, best)
+
+
+@register("jn15_topics_spine", _SPINE_SQL + "SELECT topic_pos, topic, title FROM spine")
+def jn15(spark, sf):
+    return _spine(spark, sf).select("topic_pos", "topic", "title")
+
+
+@register("agg12_format_report", _SPINE_SQL + """
+SELECT coalesce(string_agg('**' || topic || ':**' || chr(10) || title || chr(10) || chr(10), '' ORDER BY topic_pos)
+       FILTER (WHERE title <> '-'), '') AS report FROM spine""")
+def agg12(spark, sf):
+    return R.format_report(_spine(spark, sf))

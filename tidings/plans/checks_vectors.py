@@ -194,3 +194,25 @@ def jn10(spark, sf):
     cells, centers, nlist, nprobe = K.build_index(v)
     nn = K.knn_ivf(v, cells, centers, 5, nprobe)
     return nn.select("id", "nid", "rank", F.round("dist", 6).alias("dist"))
+
+
+def _vec_items(spark, sf):
+    v = X.vectors(spark, sf)
+    ts = (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+          + F.make_dt_interval(days=(F.col("id") % 90).cast("int"), hours=(F.col("id") % 24).cast("int")))
+    return v.withColumn("timestamp", ts)
+
+
+@register("rnk5_importance", VEC + f""", items AS (
+  SELECT id, vec, TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(id % 90 AS INTEGER)) + to_hours(CAST(id % 24 AS BIGINT)) AS ts
+  FROM vectors),
+pairs AS (
+  SELECT q.id AS a, d.id AS b FROM items q, items d
+  WHERE q.id <> d.id AND 1 - {X.sql_dot('q.vec', 'd.vec')} / sqrt({X.sql_dot('q.vec', 'q.vec')})
+        / sqrt({X.sql_dot('d.vec', 'd.vec')}) < {COS_T}
+    AND abs(epoch_us(q.ts) - epoch_us(d.ts)) <= 3 * 86400000000)
+SELECT i.id, CAST(count(p.b) AS BIGINT) AS importance FROM items i LEFT JOIN pairs p ON p.a = i.id GROUP BY i.id""")
+def rnk5(spark, sf):
+    items = _vec_items(spark, sf)
+    pairs = K.similar_pairs(items.select("id", "vec"), COS_T)
+    return R.importance(pairs, items, 3)
