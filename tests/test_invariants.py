@@ -271,3 +271,23 @@ def test_streaming_corpus_append(spark, tmp_path):
     r = out.orderBy("id").first()
     assert r["id"] == 0 and r["text"] == "t&x" and r["title"] == "title 0"
     assert r["refers_to"] == ["https://x.example.com/a"]
+
+
+@pytest.mark.parametrize("t", [0.6, 0.7])
+def test_similar_pairs_pivot_equals_blocked(spark, t):
+    from tidings.operators import knn as K
+    from tidings.plans import fixtures as X
+    v = X.vectors(spark, SF_SMALL).select("id", "vec")
+    a = {(r["a"], r["b"], round(r["dist"], 9)) for r in K.similar_pairs(v, t, method="blocked").collect()}
+    b = {(r["a"], r["b"], round(r["dist"], 9))
+         for r in K.similar_pairs(v, t, method="pivot", block_rows=50).collect()}
+    assert a == b
+
+
+def test_similar_pairs_pivot_planted(spark):
+    from tidings.operators import knn as K
+    rows = planted(n_clusters=6, per=10, dims=8, noise=0.05, seed=21, singles=20)
+    df = spark.createDataFrame(rows, "id long, vec array<float>")
+    a = {(r["a"], r["b"]) for r in K.similar_pairs(df, 0.2, method="blocked").collect()}
+    b = {(r["a"], r["b"]) for r in K.similar_pairs(df, 0.2, method="pivot", block_rows=8).collect()}
+    assert a == b and len(a) > 0

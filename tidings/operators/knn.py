@@ -129,13 +129,20 @@ def lookup_one(vector: list[float], data: DataFrame, k: int, spark=None, **kw) -
 # JN14 ------------------------------------------------------------------------
 def similar_pairs(vecs: DataFrame, t: float, id_col: str = "id", vec: str = "vec",
                   metric: str = "cosine", inclusive: bool = False,
-                  block_rows: int = BLOCK_ROWS) -> DataFrame:
+                  block_rows: int = BLOCK_ROWS, method: str = "auto") -> DataFrame:
     """All unordered pairs (a < b) with distance below ``t``.
 
     metric 'cosine': cosine distance on L2-normalised vectors, where
     cos_dist = |x - y|^2 / 2; 'sqeuclidean': the raw squared L2.
-    Blocks are compared only as (i <= j), so each pair is produced once.
     With ``inclusive`` the cut is ``<= t``.
+
+    method 'blocked': every block pair (i <= j) is compared once.
+    method 'pivot': exact metric partitioning (ClusterJoin, Das Sarma et al.
+    2014): each vector's home cell is its nearest pivot; it is also
+    replicated to every pivot p with (|y-p| - |y-home|) / 2 <= radius, which
+    guarantees that each pair within the radius meets in the home cell of one
+    of its ends.  'auto' uses pivots when the input spans several blocks and
+    the measured replication stays low, else falls back to blocks.
     """
     v = _prep(vecs, id_col, vec)
     if metric == "cosine":
@@ -146,7 +153,12 @@ def similar_pairs(vecs: DataFrame, t: float, id_col: str = "id", vec: str = "vec
     max_sq = t * scale
     if inclusive:
         max_sq = float(np.nextafter(max_sq, np.inf))
-    b = _n_blocks(v, block_rows)
+    n = v.count()
+    b = max(1, math.ceil(n / block_rows))
+    if method == "pivot" or (method == "auto" and b > 2):
+        p = _pivot_pairs(v, n, max_sq, block_rows, allow_fallback=(method == "auto"))
+        if p is not None:
+            return p.select("a", "b", (F.col("dist") / scale).alias("dist"))
     left = (v.withColumn("bi", _bucket("id", b))
             .withColumn("bj", _replicate(b)).filter(F.col("bj") >= F.col("bi")))
     right = (v.withColumn("bj", _bucket("id", b))
@@ -157,6 +169,61 @@ def similar_pairs(vecs: DataFrame, t: float, id_col: str = "id", vec: str = "vec
                     (F.col("dist") / scale).alias("dist"))
 
 
+MAX_PIVOTS = 2048
+
+
+def _replica_fn(piv_ids: np.ndarray, piv: np.ndarray, radius: float):
+    """Per batch: home pivot and every pivot cell the vector is copied to."""
+    pn = (piv * piv).sum(1)
+
+    def fn(batches):
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            x = _stack(pdf["vec"])
+            d2 = (x * x).sum(1)[:, None] + pn[None, :] - 2.0 * (x @ piv.T)
+            d = np.sqrt(np.maximum(d2, 0.0))
+            h = d.argmin(axis=1)
+            dh = d[np.arange(len(d)), h]
+            # slack keeps boundary pairs despite rounding; extra copies are harmless
+            r, c = np.nonzero((d - dh[:, None]) / 2.0 <= radius + 1e-7)
+            ids = pdf["id"].to_numpy(dtype=np.int64)
+            yield pd.DataFrame({"id": ids[r], "home": piv_ids[h[r]], "cell": piv_ids[c]})
+    return fn
+
+
+def _pivot_pairs(v: DataFrame, n: int, max_sq: float, block_rows: int,
+                 allow_fallback: bool) -> DataFrame | None:
+    """Pairs with squared L2 below ``max_sq`` via pivot cells (see above)."""
+    from ..session import cut_lineage
+    radius = math.sqrt(max_sq)
+    n_piv = int(max(2, min(n, MAX_PIVOTS, 2 * math.ceil(n / block_rows))))
+    # a bounded, deterministic sample of pivots (at most MAX_PIVOTS vectors)
+    piv_rows = (v.orderBy(F.xxhash64("id", F.lit(17)), "id").limit(n_piv).collect())
+    piv_ids = np.array([r["id"] for r in piv_rows], dtype=np.int64)
+    piv = np.stack([np.asarray(r["vec"], dtype=np.float64) for r in piv_rows])
+    schema = "id long, home long, cell long"
+    rep = cut_lineage(v.mapInPandas(_replica_fn(piv_ids, piv, radius), schema))
+    if allow_fallback and rep.count() > n * n_piv / 2:
+        return None   # pruning ineffective (high dimension / large radius)
+    home = rep.filter(F.col("home") == F.col("cell")).select("id", "cell")
+    sizes = (home.groupBy(F.col("cell").alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
+             .select("_cell", F.greatest(F.lit(1), F.ceil(F.col("_n") / block_rows)).cast("int").alias("_s")))
+    sizes = broadcast_if_small(sizes)
+    vv = v.select(F.col("id").alias("vid"), "vec")
+    left = (home.join(vv, F.col("id") == F.col("vid")).join(sizes, F.col("cell") == F.col("_cell"))
+            .withColumn("sub", F.pmod(F.xxhash64("id"), F.col("_s")).cast("int"))
+            .select("cell", "sub", "id", "vec"))
+    right = (rep.select(F.col("id").alias("rid0"), F.col("cell").alias("rcell"))
+             .join(vv, F.col("rid0") == F.col("vid")).join(sizes, F.col("rcell") == F.col("_cell"))
+             .withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)))
+             .select(F.col("rcell").alias("cell"), "sub", F.col("rid0").alias("id"), "vec"))
+    p = _block_pairs(left, right, ["cell", "sub"], None, max_sq, False).filter(F.col("id") != F.col("nid"))
+    # a pair may meet in both ends' home cells: orient and keep one copy
+    return (p.select(F.least("id", "nid").alias("a"), F.greatest("id", "nid").alias("b"), "dist")
+            .dropDuplicates(["a", "b"]))
+
+
 # AGG4 ------------------------------------------------------------------------
 def centroids(labeled: DataFrame, label_col: str = "label", vec: str = "vec",
               noise_label: int | None = -1) -> DataFrame:

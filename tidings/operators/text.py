@@ -178,9 +178,13 @@ def keywords(td: DataFrame, word_vectors: DataFrame, dims: int, n: int = 5) -> D
     document without known tokens keeps its raw tokens."""
     td = cut_lineage(td.select("doc_id", "tokens"))  # read three times below
     dv = doc_vector(td, word_vectors, dims)
-    wv = word_vectors.select(F.col("word").alias("token"), F.col("vec").alias("wvec"))
-    occ = token_rows(td).join(wv, "token").join(dv, "doc_id")
-    occ = occ.withColumn("cos", cosine_similarity("dvec", "wvec"))
+    # unit vectors once per word and once per document: one dot product per
+    # occurrence instead of three array passes
+    from ..functions.scalars import dot
+    wv = word_vectors.select(F.col("word").alias("token"), l2_normalize("vec", as_float=False).alias("wu"))
+    du = dv.select("doc_id", l2_normalize("dvec", as_float=False).alias("du"))
+    occ = token_rows(td).join(wv, "token").join(du, "doc_id")
+    occ = occ.withColumn("cos", dot("du", "wu"))
     w = Window.partitionBy("doc_id").orderBy(F.desc("cos"), F.desc("pos"))
     top = occ.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n)
     kw = top.groupBy("doc_id").agg(F.array_sort(F.collect_set("token")).alias("keywords"))
