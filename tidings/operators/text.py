@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import _c, clean_tokens, cosine_similarity, l2_normalize
+from ..functions.scalars import clean_tokens, l2_normalize
 from ..functions.wordlists import TOPIC_NAMES
 from ..session import cut_lineage
 from .relational import broadcast_if_small
