@@ -204,7 +204,7 @@ def test_html_strict_and_regex_agree_on_simple_markup(spark):
 def test_day_url_builder(spark):
     """Port of the one upstream test: a date in, one listing URL out."""
     from tidings.functions.extract import day_url
-    base = "https://news.example.com/lenta/"
+    base = "https://news.example.com/feed/"
     df = spark.createDataFrame([(dt.date(2022, 1, 4),)], "d date")
     got = df.select(day_url("d", base).alias("u")).first()["u"]
     assert got == f"{base}business/?filterType=all&d=4&m=1&y=2022"

@@ -145,23 +145,37 @@ def fit_word2vec(td: DataFrame, size: int = 100, window: int = 5, min_count: int
 
 
 # AGG13 -----------------------------------------------------------------------------
+def _sum_vectors(df: DataFrame, key: str, vec_col: str, dims: int, weight: Column | None = None) -> DataFrame:
+    """Element-wise vector sums per key as ``dims`` primitive sum aggregates:
+    hash aggregation with map-side partial sums and generated code (an
+    object aggregate would fall back to sorting with many keys)."""
+    w = (lambda i: F.col(vec_col)[i].cast("double")) if weight is None else \
+        (lambda i: F.col(vec_col)[i].cast("double") * weight)
+    aggs = [F.sum(w(i)).alias(f"_s{i}") for i in range(dims)]
+    out = df.groupBy(key).agg(F.count(F.lit(1)).alias("_cnt"), *aggs)
+    return out.select(key, "_cnt", F.array(*[F.col(f"_s{i}") for i in range(dims)]).alias("_sum"))
+
+
 def doc_vector(td: DataFrame, word_vectors: DataFrame, dims: int) -> DataFrame:
     """Mean of unit word vectors over in-vocabulary tokens (every occurrence);
     the zero vector when none is known."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
     wv = word_vectors.select(F.col("word").alias("token"), l2_normalize("vec", as_float=False).alias("u"))
     hits = token_rows(td).join(wv, "token")
-    means = hits.groupBy("doc_id").agg(Summarizer.mean(array_to_vector("u")).alias("_m")).select(
-        "doc_id", vector_to_array("_m", "float64").alias("dvec"))
+    sums = _sum_vectors(hits, "doc_id", "u", dims)
+    means = sums.select("doc_id", F.transform("_sum", lambda x: x / F.col("_cnt")).alias("dvec"))
     zero = F.array_repeat(F.lit(0.0).cast("double"), dims)
     return td.select("doc_id").join(means, "doc_id", "left").withColumn("dvec", F.coalesce("dvec", zero))
 
 
 # AGG14 -----------------------------------------------------------------------------
-def mean_pool(tok_vecs: DataFrame, doc_col: str = "doc_id", vec_col: str = "vec", mask_col: str = "mask") -> DataFrame:
-    """sum(mask * x) / max(sum(mask), 1e-9) per document, then L2-normalised
-    as the sentence vector (AGG14 + FN6)."""
+def mean_pool(tok_vecs: DataFrame, doc_col: str = "doc_id", vec_col: str = "vec", mask_col: str = "mask",
+              dims: int | None = None) -> DataFrame:
+    """sum(mask * x) / max(sum(mask), 1e-9) per document (AGG14)."""
+    if dims is not None:
+        s = _sum_vectors(tok_vecs, doc_col, vec_col, dims, F.col(mask_col).cast("double"))
+        n = tok_vecs.groupBy(doc_col).agg(F.sum(F.col(mask_col).cast("double")).alias("_n"))
+        return s.join(n, doc_col).select(
+            doc_col, F.transform("_sum", lambda x: x / F.greatest(F.col("_n"), F.lit(1e-9))).alias("pooled"))
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
     masked = tok_vecs.select(doc_col, F.col(mask_col).cast("double").alias("_m"),

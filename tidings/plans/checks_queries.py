@@ -2,7 +2,7 @@
 
 ``*_given`` variants replace the vector clustering / similarity search by
 groups derived from the data (exact-title groups), so that the whole
-composition has an SQL oracle; the plain variants run the full pipeline
+composition has an SQL oracle; the plain variants run the full composition
 (title vectors, complete-linkage clustering, kNN) and are checked by rows
 and by invariants in the tests.
 """

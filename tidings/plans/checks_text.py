@@ -183,7 +183,7 @@ SELECT doc_id, {sql_r6('pooled[1]')} AS p1, {sql_r6('sqrt(' + X.sql_dot('pooled'
 def agg14(spark, sf):
     rows = T.token_rows(_td(spark, sf)).join(X.word_vectors_like(spark, sf).withColumnRenamed("word", "token"), "token")
     tv = rows.select("doc_id", "vec", F.when(F.length("token") > 2, 1.0).otherwise(0.0).alias("mask"))
-    p = T.mean_pool(tv)
+    p = T.mean_pool(tv, dims=DIMS)
     return p.select("doc_id", r6(F.col("pooled")[0]).alias("p1"), r6(S.l2_norm("pooled")).alias("pnorm"))
 
 
