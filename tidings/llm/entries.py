@@ -6,6 +6,11 @@ import importlib
 
 _MODULES = {
     "op3_exact_dedup": "exact_dedup",
+    "op5_quality": "quality",
+    "op6_mixing": "mixing",
+    "op8_packing": "packing",
+    "op9_topk_search": "topk_search",
+    "op10_simhash": "simhash",
 }
 
 
