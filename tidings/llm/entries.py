@@ -5,9 +5,12 @@ from __future__ import annotations
 import importlib
 
 _MODULES = {
+    "op2_pii_pseudonyms": "pii",
     "op3_exact_dedup": "exact_dedup",
+    "op4_license_scan": "license_scan",
     "op5_quality": "quality",
     "op6_mixing": "mixing",
+    "op7_url_rules": "url_rules",
     "op8_packing": "packing",
     "op9_topk_search": "topk_search",
     "op10_simhash": "simhash",

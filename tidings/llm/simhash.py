@@ -11,11 +11,11 @@ A pivot table alone would compare every pair of rows.  The pairs that it
 looks at come from an exact split by the pigeonhole principle: of
 ``N_BLOCKS`` bit blocks, two fingerprints within ``max_bits`` agree on at
 least ``N_BLOCKS - max_bits``, so they share one of the keys formed by the
-combinations of that many blocks.  Keys of two nodes are verified as one
-pair; of larger keys the nodes are compared inside the key in numpy, which
-returns a spanning star per component and never the pairs; keys with more
-than ``KEY_ROWS`` nodes are cut into sub-blocks and compared block against
-block in separate tasks, all of them.  Components come from ``components``.
+combinations of that many blocks.  Nodes are shuffled and sorted by key and
+compared inside their key in numpy, which returns a spanning star per
+component and never the pairs; a key with more than ``KEY_ROWS`` nodes is cut into
+sub-blocks that are compared block against block in tasks of their own,
+all of them.  Components come from ``components``.
 
 Defined cases: a null text is empty; a text without words has fingerprint
 zero and is linked like any other; a null id is returned as null, and the
@@ -40,6 +40,7 @@ from tidings.llm.common import (LONG_MIN, components, documents, join_per_key, k
 N_BLOCKS = 7
 N_PIVOTS = 16
 KEY_ROWS = 4096
+SAMPLE_STEP = 64
 #: A-Z to a-z, every other byte unchanged.
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _PIECE = 1 << 20
@@ -100,14 +101,21 @@ def text_key(text_col: str = "text") -> Column:
 
 
 def _pivots(n: int) -> list[int]:
+    """The reference fingerprints."""
     rng = np.random.default_rng(10)
     return [int(x) for x in rng.integers(-2 ** 63, 2 ** 63, n, dtype=np.int64)]
 
 
-def pivot_table(nodes: DataFrame, n_pivots: int = N_PIVOTS) -> DataFrame:
-    """Adds ``dist``: the distances of ``fp`` to the reference fingerprints."""
-    return nodes.withColumn("dist", F.array(*[F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("byte")
-                                              for p in _pivots(n_pivots)]))
+def pivot_table(nodes: DataFrame) -> DataFrame:
+    """Adds the distances of ``fp`` to the reference fingerprints, a byte each:
+    ``d0`` holds the first eight of them, ``d1`` the others."""
+    packed = []
+    for eight in itertools.batched(_pivots(N_PIVOTS), 8):
+        d = F.lit(0).cast("long")
+        for i, p in enumerate(eight):
+            d = d.bitwiseOR(F.shiftleft(F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("long"), 8 * i))
+        packed.append(d)
+    return nodes.withColumns({"d0": packed[0], "d1": packed[1]})
 
 
 def _keys(max_bits: int, n_blocks: int) -> Column:
@@ -126,17 +134,10 @@ def _keys(max_bits: int, n_blocks: int) -> Column:
     return F.explode(F.array(*keys))
 
 
-def _close(a: str, b: str, max_bits: int, n_pivots: int) -> Column:
-    """Coordinate differences first, then the bits themselves."""
-    gap = F.greatest(*[F.abs(F.bit_count(F.col(a).bitwiseXOR(F.lit(p))) - F.bit_count(F.col(b).bitwiseXOR(F.lit(p))))
-                       for p in _pivots(n_pivots)])
-    return (gap <= max_bits) & (F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= max_bits)
-
-
 def _links(fa, da, fb, db, max_bits: int) -> np.ndarray:
     fa, fb = np.broadcast_arrays(fa, fb)
     near = np.abs(da - db).max(axis=1) <= max_bits
-    near[near] = np.bitwise_count(fa[near] ^ fb[near]) <= max_bits
+    near[near] = np.bitwise_count((fa[near] ^ fb[near]).view(np.uint64)) <= max_bits
     return near
 
 
@@ -158,21 +159,21 @@ def _star(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _edges(fp: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
     far = root != np.arange(len(root))
-    return pa.RecordBatch.from_arrays([pa.array(fp[far], pa.int64()), pa.array(fp[root[far]], pa.int64())],
-                                      names=["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.nulls(int(far.sum()), pa.int64()), pa.array(fp[far], pa.int64()),
+                                       pa.array(fp[root[far]], pa.int64())], names=["key", "a", "b"])
 
 
-def _dist(column: pa.Array, n_pivots: int) -> np.ndarray:
-    return np.asarray(column.flatten()).reshape(-1, n_pivots).astype(np.int16)
+def _dist(d0, d1) -> np.ndarray:
+    return np.stack([d0, d1], axis=1).view(np.int8).astype(np.int16)
 
 
-def _compare_runs(max_bits: int, n_pivots: int):
-    """Rows sorted by key; all pairs inside each run of one key, by distance
-    in the order, so that numpy works on all runs of a piece at once."""
-    def piece(key, fp, dist):
-        ia, ib = [], []
+def _compare_runs(max_bits: int, key_rows: int):
+    """Rows sorted by key: links inside each run of one key, all its pairs by
+    distance in the order, so that numpy works on all runs of a piece at once.
+    A run of more than ``key_rows`` is not compared; its key is returned."""
+    def piece(key, fp, d0, d1):
+        dist, ia, ib, lag = _dist(d0, d1), [], [], 1
         at = np.flatnonzero(key[1:] == key[:-1])
-        lag = 1
         while len(at):
             ok = _links(fp[at], dist[at], fp[at + lag], dist[at + lag], max_bits)
             ia.append(at[ok])
@@ -180,32 +181,36 @@ def _compare_runs(max_bits: int, n_pivots: int):
             lag += 1
             at = at[at + lag < len(key)]
             at = at[key[at] == key[at + lag]]
-        if not ia:
-            return None
-        return _edges(fp, _star(len(fp), np.concatenate(ia), np.concatenate(ib)))
+        if ia:
+            yield _edges(fp, _star(len(fp), np.concatenate(ia), np.concatenate(ib)))
 
     def run(batches):
-        rest = None
+        rest, skip = None, None
         for b in itertools.chain(batches, [None]):
             if b is None:
                 now, rest = rest, None
             else:
-                got = (b.column(0).to_numpy(), b.column(1).to_numpy(), _dist(b.column(2), n_pivots))
-                now = got if rest is None else tuple(np.concatenate(x) for x in zip(rest, got))
+                now = tuple(b.column(i).to_numpy() for i in range(4))
+                if skip is not None:
+                    now = tuple(x[now[0] != skip] for x in now)
+                if rest is not None:
+                    now = tuple(np.concatenate(x) for x in zip(rest, now))
                 last = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
                 now, rest = tuple(x[:last] for x in now), tuple(x[last:] for x in now)
-            if now is not None and len(now[0]) > 1:
-                out = piece(*now)
-                if out is not None:
-                    yield out
+                if len(rest[0]) > key_rows:
+                    skip, rest = rest[0][0], None
+                    yield pa.RecordBatch.from_arrays([pa.array([skip], pa.int64())] + [pa.nulls(1, pa.int64())] * 2,
+                                                     names=["key", "a", "b"])
+            if now is not None:
+                yield from piece(*now)
     return run
 
 
-def _compare_blocks(max_bits: int, n_pivots: int):
+def _compare_blocks(max_bits: int):
     """All pairs between two sub-blocks (or inside one) of a large key."""
     def run(key, table):
         fp, side = table["fp"].to_numpy(), table["side"].to_numpy()
-        dist = _dist(table["dist"].combine_chunks(), n_pivots)
+        dist = _dist(table["d0"].to_numpy(), table["d1"].to_numpy())
         left = np.flatnonzero(side == 0)
         right = np.flatnonzero(side == 1) if (side == 1).any() else left
         ia, ib = [], []
@@ -218,29 +223,36 @@ def _compare_blocks(max_bits: int, n_pivots: int):
     return run
 
 
-def near_edges(nodes: DataFrame, max_bits: int = 4, n_blocks: int = N_BLOCKS, n_pivots: int = N_PIVOTS,
-               key_rows: int = KEY_ROWS) -> DataFrame:
+def near_edges(nodes: DataFrame, max_bits: int = 4, n_blocks: int = N_BLOCKS, key_rows: int = KEY_ROWS) -> DataFrame:
     """Links ``a``, ``b`` between distinct fingerprints that have the same
-    components as all pairs within ``max_bits``."""
-    keyed = nodes.select("fp", _keys(max_bits, n_blocks).alias("key"))
-    found = stage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"),
-                                           F.max("fp").alias("b")).where("n > 1"), "simhash-keys")
-    pairs = found.where("n = 2").select("a", "b").where(_close("a", "b", max_bits, n_pivots))
-    table = pivot_table(nodes, n_pivots)
-    members = table.select("fp", "dist", _keys(max_bits, n_blocks).alias("key"))
-    small = found.where(f"n > 2 and n <= {key_rows}").select("key")
-    runs = (members.join(small, "key", "left_semi").select("key", "fp", "dist")
-            .repartition("key").sortWithinPartitions("key")
-            .mapInArrow(_compare_runs(max_bits, n_pivots), "a long, b long"))
-    large = found.where(f"n > {key_rows}").select("key", F.ceil(F.col("n") / key_rows).cast("long").alias("m"))
-    own = F.pmod(F.xxhash64("fp"), F.col("m"))
-    blocked = members.join(large, "key").withColumn("own", own)
+    components as all pairs within ``max_bits``.
+
+    One node in ``SAMPLE_STEP`` shows which keys may be large; those skip the
+    shuffle by key.  A large key that the sample missed is met there and goes
+    the same way; the sample decides nothing but the way.
+    """
+    table = pivot_table(nodes.select("fp"))
+    keyed = table.withColumn("key", _keys(max_bits, n_blocks))
+    sample = nodes.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLE_STEP)) == 0).select(
+        _keys(max_bits, n_blocks).alias("key"))
+    large = stage(sample.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+                  .where(F.col("n") > max(1, key_rows // (2 * SAMPLE_STEP))).select("key"), "simhash-large")
+    runs = stage(keyed.join(large, "key", "left_anti").select("key", "fp", "d0", "d1")
+                 .repartition("key").sortWithinPartitions("key")
+                 .mapInArrow(_compare_runs(max_bits, key_rows), "key long, a long, b long"), "simhash-links")
+    edges = runs.where("key is null").select("a", "b")
+    large = large.unionByName(runs.where("key is not null").select("key").distinct())
+    if large.isEmpty():
+        return edges
+    members = keyed.join(large, "key")
+    parts = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / key_rows).cast("long").alias("m"))
+    blocked = members.join(stage(parts, "simhash-parts"), "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("m")))
     blocked = blocked.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
-    blocked = blocked.select("key", "fp", "dist", F.least("own", "other").alias("i"),
+    blocked = blocked.select("key", "fp", "d0", "d1", F.least("own", "other").alias("i"),
                              F.greatest("own", "other").alias("j"),
                              (F.col("own") > F.col("other")).cast("int").alias("side"))
-    blocks = blocked.groupBy("key", "i", "j").applyInArrow(_compare_blocks(max_bits, n_pivots), "a long, b long")
-    return pairs.unionByName(runs).unionByName(blocks)
+    blocks = blocked.groupBy("key", "i", "j").applyInArrow(_compare_blocks(max_bits), "key long, a long, b long")
+    return edges.unionByName(blocks.select("a", "b"))
 
 
 def near_groups(fps: DataFrame, max_bits: int = 4, **options) -> DataFrame:
