@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 _MODULES = {
+    "op1_language_id": "language_id",
     "op2_pii_pseudonyms": "pii",
     "op3_exact_dedup": "exact_dedup",
     "op4_license_scan": "license_scan",
