@@ -6,8 +6,8 @@ and the strict HTML mode, which run as Arrow-batched pandas UDFs.
 
 from __future__ import annotations
 
-import html as _html
 import unicodedata
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -21,20 +21,38 @@ from .wordlists import MAX_URL_LENGTH, RU_KEEP, RU_STOPWORDS
 # Fixed value: whitespace class (ASCII controls, NEL and Unicode separators).
 SPACE_CLASS = r"[\t\n\x0B\f\r\x1C-\x1F\x{85}\p{Z}]"
 
-# HTML entities decoded in regex mode, in decoding order
-# (&amp; last so that '&amp;lt;' stays '&lt;').
-HTML_ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-    ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"),
-    ("&mdash;", "—"), ("&ndash;", "–"), ("&laquo;", "«"),
-    ("&raquo;", "»"), ("&hellip;", "…"), ("&amp;", "&"),
-]
+# The named character references of the HTML standard, from the standard library.
+_NAMED = "\x02".join(f"{k[:-1]}\x01{v}" for k, v in sorted(html5.items()) if k.endswith(";"))
+ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+# A tag ends at the first '>' outside quotes; a stray quote ends it at the next '>'.
+TAG = r"<[A-Za-z/!?](?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>|<[A-Za-z/!?][^<>]*>"
 
 # RFC 3986 appendix B: scheme, authority, path, query, fragment.
 URI_PATTERN = r"^(([^:/?#]+):)?(//([^/?#]*))?([^?#]*)(\?([^#]*))?(#(.*))?$"
 
 
 # CLN1 -----------------------------------------------------------------------
+def _entity_char(e: Column) -> Column:
+    """The characters of one reference; unknown names stay as written."""
+    body = F.substring(e, F.lit(2), F.length(e) - 2)
+    code = (F.when(body.rlike("^#[xX]"), F.conv(F.substring(body, F.lit(3), F.length(body)), 16, 10))
+            .when(body.startswith("#"), F.substring(body, F.lit(2), F.length(body))).cast("int"))
+    valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+    name = F.element_at(F.str_to_map(F.lit(_NAMED), F.lit("\x02"), F.lit("\x01")), body)
+    return F.when(body.startswith("#"), char).otherwise(F.coalesce(name, e))
+
+
+def decode_entities(c) -> Column:
+    """Named and numeric character references, each decoded once."""
+    x = _c(c)
+    found = F.transform(F.regexp_extract_all(x, F.lit(ENTITY), F.lit(0)), _entity_char)
+    pieces = F.split(x, ENTITY, -1)
+    joined = F.array_join(F.flatten(F.zip_with(pieces, F.concat(found, F.array(F.lit(""))),
+                                               lambda a, b: F.array(a, b))), "")
+    return F.when(x.rlike(ENTITY), joined).otherwise(x)
+
+
 def html_to_text(c) -> Column:
     """Visible text of an HTML fragment: script/style/template bodies and
     comments dropped, tags removed without separator, entities decoded."""
@@ -42,10 +60,7 @@ def html_to_text(c) -> Column:
     for tag in ("script", "style", "template"):
         x = F.regexp_replace(x, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
     x = F.regexp_replace(x, r"(?s)<!--.*?-->", "")
-    x = F.regexp_replace(x, r"<[^>]*>", "")
-    for ent, ch in HTML_ENTITIES:
-        x = F.replace(x, F.lit(ent), F.lit(ch))
-    return x
+    return decode_entities(F.regexp_replace(x, TAG, ""))
 
 
 class _TextCollector(HTMLParser):
@@ -110,18 +125,32 @@ def norm_unicode(c, form: str = "NFC") -> Column:
     return _nfc_udf(_c(c)) if form == "NFC" else _make_norm_udf(form)(_c(c))
 
 
-def entity_unescape_strict(s: str | None) -> str | None:
-    return None if s is None else _html.unescape(s)
-
-
 # CLN4 -----------------------------------------------------------------------
 def _uri_part(c: Column, group: int) -> Column:
     return F.regexp_extract(c, URI_PATTERN, group)
 
 
+def remove_dot_segments(path) -> Column:
+    """RFC 3986 section 5.2.4 on a path that begins with '/'."""
+    p = _c(path)
+    parts = F.split(p, "/", -1)
+    ends = F.element_at(parts, -1).isin(".", "..")
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.array().cast("array<string>"), lambda acc, x: F.when(
+        x == ".", acc).when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(
+        F.concat(acc, F.array(x))))
+    clean = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(ends & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit("")))
+    return F.when(p.contains("/."), clean).otherwise(p)
+
+
+def _clean_path(ref: Column) -> Column:
+    """Dot segments of the path removed, query and fragment kept."""
+    path = F.regexp_extract(ref, r"^[^?#]*", 0)
+    return F.concat(remove_dot_segments(path), F.substring(ref, F.length(path) + 1, F.length(ref)))
+
+
 def resolve_url(base, ref) -> Column:
     """Resolve one reference against a base URL (absolute, '//', '/', '?',
-    '#', '' and relative forms).  Dot segments are kept as written."""
+    '#', '' and relative forms), dot segments removed."""
     b, r = _c(base), _c(ref)
     scheme = _uri_part(b, 2)
     authority = _uri_part(b, 3)
@@ -132,11 +161,11 @@ def resolve_url(base, ref) -> Column:
     directory = F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, r"[^/]*$", ""))
     return (F.when(r.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), r)
             .when(r.startswith("//"), F.concat(scheme, F.lit(":"), r))
-            .when(r.startswith("/"), F.concat(origin, r))
+            .when(r.startswith("/"), F.concat(origin, _clean_path(r)))
             .when(r.startswith("?"), F.concat(origin, path, r))
             .when(r.startswith("#"), F.concat(base_no_frag, r))
             .when(r == "", base_no_frag)
-            .otherwise(F.concat(origin, directory, r)))
+            .otherwise(F.concat(origin, _clean_path(F.concat(directory, r)))))
 
 
 def resolve_urls(base, arr) -> Column:
@@ -145,8 +174,13 @@ def resolve_urls(base, arr) -> Column:
 
 # CLN5 / CLN6 / CLN8 -----------------------------------------------------------
 def parse_iso(c) -> Column:
-    """ISO-8601 string -> wall-clock TIMESTAMP_NTZ (NULL when unparsable)."""
-    return F.try_to_timestamp(_c(c)).cast("timestamp_ntz")
+    """ISO-8601 string -> wall-clock TIMESTAMP_NTZ (NULL when unparsable).
+    A stamp with an offset becomes Moscow wall time, like every other row of
+    the corpus; one without is taken as it stands."""
+    x = _c(c)
+    wall = F.try_to_timestamp(x).cast("timestamp_ntz")
+    moscow = F.convert_timezone(F.current_timezone(), F.lit("Europe/Moscow"), wall)
+    return F.when(x.rlike(r"[T ][0-9:.]+ ?(?:Z|[+-][0-9]{2}(?::?[0-9]{2})?)$"), moscow).otherwise(wall)
 
 
 def clamp_epoch(c) -> Column:
@@ -189,15 +223,19 @@ def with_dense_id(df: DataFrame, order_by: list[str], id_col: str = "id") -> Dat
 
 
 # CLN9 -----------------------------------------------------------------------
-URL_SYNTAX = r"^https?://[^\s/?#:@]+(:[0-9]+)?([/?#][^\s]*)?$"
+URL_SYNTAX = r"^https?://([^\s/?#@]*@)?(\[[0-9A-Fa-f:.]+\]|[^\s/?#:@\[\]]+)(:[0-9]+)?([/?#][^\s]*)?$"
 
 
-def validation_reason(required: list[str], url_col: str = "link") -> Column:
-    """First failed check as a string, NULL when the record is valid."""
+def validation_reason(required: list[str], url_col: str = "link", urls_col: str | None = None) -> Column:
+    """First failed check as a string, NULL when the record is valid; every
+    element of ``urls_col`` is checked like ``url_col``."""
     expr = F.lit(None).cast("string")
     checks = [(F.col(c).isNull(), f"missing {c}") for c in required]
     checks.append((~F.col(url_col).rlike(URL_SYNTAX), f"bad url {url_col}"))
     checks.append((F.length(url_col) > MAX_URL_LENGTH, f"url too long {url_col}"))
+    if urls_col:
+        bad = lambda u: F.coalesce(~u.rlike(URL_SYNTAX) | (F.length(u) > MAX_URL_LENGTH), F.lit(True))
+        checks.append((F.coalesce(F.exists(urls_col, bad), F.lit(False)), f"bad url in {urls_col}"))
     for cond, why in reversed(checks):
         expr = F.when(F.coalesce(cond, F.lit(True)), F.lit(why)).otherwise(expr)
     return expr
@@ -206,7 +244,8 @@ def validation_reason(required: list[str], url_col: str = "link") -> Column:
 def validate_news(df: DataFrame, required=("link", "text", "title", "source", "timestamp", "refers_to"),
                   url_col: str = "link") -> tuple[DataFrame, DataFrame]:
     """Split into (good, bad-with-reason); both are lazy views of one scan."""
-    tagged = df.withColumn("_reason", validation_reason(list(required), url_col))
+    urls_col = "refers_to" if "refers_to" in df.columns else None
+    tagged = df.withColumn("_reason", validation_reason(list(required), url_col, urls_col))
     good = tagged.filter(F.col("_reason").isNull()).drop("_reason")
     bad = tagged.filter(F.col("_reason").isNotNull()).withColumnRenamed("_reason", "reason")
     return good, bad

@@ -1,9 +1,8 @@
 """Page extraction as column expressions (EXT1-EXT17).
 
-Per-site parsers become rules over regular expressions that both Spark (Java
-regex) and plain SQL engines (RE2) read alike: no look-around, paragraphs are
-split on their opening tags so that unclosed ``<p>`` elements end where the
-next one starts, as an HTML parser would close them.
+Per-site parsers become rules over regular expressions; paragraphs are split
+on their opening tags so that unclosed ``<p>`` elements end where the next one
+starts, as an HTML parser would close them.
 """
 
 from __future__ import annotations
@@ -11,12 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .clean import html_to_text, norm_space
+from .clean import decode_entities, html_to_text, norm_space, parse_iso, resolve_url
 from .scalars import _c
 from .wordlists import MAX_URL_LENGTH, RU_MONTHS_GENITIVE
 
-HREF_PATTERN = r'<a[^>]*href="([^"]*)"'
-URL_IN_TEXT_PATTERN = r'https?://[^\s<>"]+'
+# Fixed value: what counts as a URL in plain text.
+URL_IN_TEXT_PATTERN = (r"https?://(?:www\.)?[-a-zA-Z0-9@:%._\+~#=]{1,256}\.[a-zA-Z0-9()]{1,6}\b"
+                       r"[-a-zA-Z0-9()@:%_\+.~#?&/=]*")
 
 
 def inner(html, tag: str, attrs: str = r"[^>]*") -> Column:
@@ -46,7 +46,7 @@ def paragraphs(container) -> Column:
     its ``</p>``; text before the first paragraph is dropped."""
     pieces = F.split(_c(container), r"(?i)<p\b[^>]*>")
     body = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
-    return F.transform(body, lambda p: F.substring_index(p, "</p>", 1))
+    return F.transform(body, lambda p: F.regexp_extract(p, r"(?is)^(.*?)(?:</p\s*>|$)", 1))
 
 
 def extract_body(html, container: str = "article", drop_blocks: str | None = "div",
@@ -61,31 +61,54 @@ def extract_body(html, container: str = "article", drop_blocks: str | None = "di
 
 
 # EXT3 ------------------------------------------------------------------------
-def extract_links(c) -> Column:
-    """Every ``href`` value in the given markup."""
-    return F.regexp_extract_all(_c(c), F.lit(HREF_PATTERN), 1)
+def _attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute in double, single or no quotes; NULL without it."""
+    value = F.regexp_extract(tag, rf"(?is)(?:^|[\s\"']){name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", 1)
+    bare = F.when(value.rlike("^[\"']"), F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+    return F.when(value != "", decode_entities(bare))
+
+
+def anchors(c) -> Column:
+    """Every ``<a>`` with an ``href``: array of (href, text)."""
+    pieces = F.split(_c(c), r"(?i)<a(?=[\s/>])")
+    after = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
+    tag = lambda p: F.regexp_extract(p, r"(?s)^(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+", 0)
+    found = F.transform(after, lambda p: F.struct(
+        _attribute(tag(p), "href").alias("href"),
+        norm_space(html_to_text(F.regexp_extract(F.substring(p, F.length(tag(p)) + 2, F.length(p)),
+                                                 r"(?is)^(.*?)(?:</a\b|$)", 1))).alias("text")))
+    return F.filter(found, lambda a: a["href"].isNotNull())
+
+
+def extract_links(c, drop_texts: list[str] | None = None) -> Column:
+    """Every ``href`` value in the given markup, but for links whose text is
+    one of ``drop_texts``."""
+    found = anchors(c)
+    if drop_texts:
+        found = F.filter(found, lambda a: ~a["text"].isin(list(drop_texts)))
+    return F.transform(found, lambda a: a["href"])
 
 
 # EXT4 ------------------------------------------------------------------------
-def filter_links(arr, host=None, deny: list[str] | None = None, need_dot: bool = True) -> Column:
-    """Keep links that contain '.', are not mailto: / file://, are at most
-    2083 characters, are not alphanumeric-only and not denied; a '/'-prefixed
-    link gets the host in front."""
-    deny = deny or []
+def filter_links(arr, base=None, deny: list[str] | None = None, need_dot: bool = True) -> Column:
+    """Links resolved against ``base`` and then kept when they contain '.',
+    are no mailto: / file:// links, have at most 2083 characters, are not
+    letters and digits only and are not in ``deny``; a link that begins with
+    '/' is kept as its host's."""
+    deny = list(deny or [])
 
     def keep(x):
-        ok = (~x.startswith("mailto:")) & (~x.startswith("file://")) & (F.length(x) <= MAX_URL_LENGTH) \
-            & (~x.rlike(r"^[A-Za-z0-9]+$"))
+        raw, full = x["raw"], x["full"]
+        ok = ~raw.contains("file://") & (F.length(full) <= MAX_URL_LENGTH) & ~raw.rlike(r"^[\p{L}\p{N}]+$")
+        if deny:
+            ok = ok & ~raw.isin(deny) & ~full.isin(deny)
         if need_dot:
-            ok = ok & x.contains(".")
-        for d in deny:
-            ok = ok & ~x.contains(d)
-        return ok
+            ok = ok & full.contains(".")
+        return ~raw.contains("mailto:") & (raw != "") & (raw.startswith("/") | ok)
 
-    kept = F.filter(_c(arr), keep)
-    if host is None:
-        return kept
-    return F.transform(kept, lambda x: F.when(x.startswith("/"), F.concat(_c(host), x)).otherwise(x))
+    pairs = F.transform(_c(arr), lambda x: F.struct(
+        x.alias("raw"), (x if base is None else resolve_url(_c(base), x)).alias("full")))
+    return F.transform(F.filter(pairs, keep), lambda x: x["full"])
 
 
 # EXT5 ------------------------------------------------------------------------
@@ -105,8 +128,8 @@ def host_of(url) -> Column:
 # EXT6 ------------------------------------------------------------------------
 def first_link_per_p(container) -> Column:
     """First link of every paragraph that has one, joined by newlines."""
-    firsts = F.transform(paragraphs(container), lambda p: F.regexp_extract(p, HREF_PATTERN, 1))
-    return F.array_join(F.filter(firsts, lambda x: x != ""), "\n")
+    firsts = F.transform(paragraphs(container), lambda p: F.get(anchors(p), F.lit(0))["href"])
+    return F.array_join(F.filter(firsts, lambda x: x.isNotNull() & (x != "")), "\n")
 
 
 # EXT7 ------------------------------------------------------------------------
@@ -142,7 +165,7 @@ SITE_FORMATS = {
 def parse_site_ts(c, fmt: str) -> Column:
     """Site date strings -> TIMESTAMP_NTZ.  fmt: a key of SITE_FORMATS,
     'epoch' (UTC wall time), 'epoch_msk' (Moscow wall time) or 'iso'
-    (fraction cut, offset applied)."""
+    (fraction cut; with an offset, Moscow wall time)."""
     x = _c(c)
     if fmt in SITE_FORMATS:
         return F.try_to_timestamp(x, F.lit(SITE_FORMATS[fmt])).cast("timestamp_ntz")
@@ -153,7 +176,7 @@ def parse_site_ts(c, fmt: str) -> Column:
                                   F.timestamp_seconds(x.cast("long")).cast("timestamp_ntz"))
     if fmt == "iso":
         cut = F.regexp_replace(x, r"\.[0-9]+", "")
-        return F.try_to_timestamp(cut).cast("timestamp_ntz")
+        return parse_iso(cut)
     raise ValueError(f"unknown format {fmt}")
 
 
@@ -182,11 +205,16 @@ def route_posts(posts: DataFrame, type_col: str = "type") -> DataFrame:
 
 # EXT13 -----------------------------------------------------------------------
 def messages_to_news(msgs: DataFrame, base: str = "https://t.me/") -> DataFrame:
-    """Message text (else caption) becomes the title, TEXT_LINK entity urls
+    """Message text (else caption) becomes the title, TEXT_LINK urls of the
+    text's entities (for a caption, of ``caption_entities`` if there are any)
     the references, the link is built from channel and id; text is ''.
     Messages with neither text nor caption are dropped."""
     title = F.coalesce(F.nullif(F.col("text"), F.lit("")), F.nullif(F.col("caption"), F.lit("")))
-    links = F.transform(F.filter(F.coalesce("entities", F.array()), lambda e: e["type"] == "TEXT_LINK"),
+    own = F.col("entities")
+    if "caption_entities" in msgs.columns:
+        from_text = F.coalesce(F.col("text") != "", F.lit(False))
+        own = F.when(from_text, own).otherwise(F.coalesce("caption_entities", "entities"))
+    links = F.transform(F.filter(F.coalesce(own, F.array()), lambda e: e["type"] == "TEXT_LINK"),
                         lambda e: e["url"])
     return (msgs.withColumn("_title", title).filter(F.col("_title").isNotNull())
             .select(F.concat(F.lit(base), F.col("channel"), F.lit("/"), F.col("id").cast("string")).alias("link"),

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import knn
-from .relational import broadcast_if_small, is_small, match_rate, min_group_size
+from .relational import match_rate, min_group_size
 
 
 # ---- connected components -------------------------------------------------------
@@ -60,18 +60,38 @@ def cluster_dbscan(vecs: DataFrame, eps: float = 0.35, min_samples: int = 2, id_
     count plus itself reaches ``min_samples``; border points take the smallest
     label among their core neighbours."""
     v = vecs.select(F.col(id_col).alias("id"), F.col(vec).alias("vec"))
-    pairs = cut_lineage(knn.similar_pairs(v, eps, metric=metric, inclusive=True).select("a", "b"))
+    # identical vectors are one point with a weight
+    pairs, member = knn.similar_classes(v, eps, metric=metric, inclusive=True)
+    pairs = cut_lineage(pairs.select("a", "b"))
+    weight = member.groupBy(F.col("rep").alias("id")).agg(F.count(F.lit(1)).alias("w"))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    deg = both.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("deg"))
-    core = deg.filter(F.col("deg") + 1 >= min_samples).select("id")
+    deg = (both.join(weight.select(F.col("id").alias("b"), "w"), "b")
+           .groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("deg")))
+    core = cut_lineage(weight.join(deg, "id", "left").where(
+        F.col("w") + F.coalesce("deg", F.lit(0)) >= min_samples).select("id"))
     core_edges = (pairs.join(core.withColumnRenamed("id", "a"), "a", "left_semi")
                   .join(core.withColumnRenamed("id", "b"), "b", "left_semi"))
     core_lab = connected_components(core, core_edges)
     border = (both.join(core, both["a"] == core["id"], "left_anti")
               .join(core_lab.select(F.col("id").alias("b"), "label"), "b")
               .groupBy(F.col("a").alias("id")).agg(F.min("label").alias("blabel")))
-    return (v.select("id").join(core_lab, "id", "left").join(border, "id", "left")
-            .select("id", F.coalesce("label", "blabel", F.lit(-1)).cast("long").alias("label")))
+    labels = (weight.select("id").join(core_lab, "id", "left").join(border, "id", "left")
+              .select(F.col("id").alias("rep"), F.coalesce("label", "blabel", F.lit(-1)).cast("long").alias("label")))
+    return member.join(labels, "rep").select("id", "label")
+
+
+def _follow(ids: DataFrame, merges: list[DataFrame]) -> DataFrame:
+    """(id, label): every id led through all merges.  A cluster merges into a
+    smaller label and is gone, so the merges are a forest and its components,
+    with their smallest id, are the final clusters: one pass at the end in
+    place of a rewrite of all labels in every round."""
+    if not merges:
+        return ids.select("id", F.col("id").alias("label"))
+    edges = merges[0]
+    for m in merges[1:]:
+        edges = edges.unionByName(m)
+    edges = cut_lineage(edges.select(F.col("new").alias("a"), F.col("old").alias("b")))
+    return connected_components(ids, edges)
 
 
 # ---- CLU1 complete linkage -------------------------------------------------------
@@ -91,14 +111,14 @@ def cluster_complete(vecs: DataFrame, t: float = 0.2, id_col: str = "id", vec: s
     dup = None
     if edges is None:
         # identical vectors merge first at distance 0 in any merge order:
-        # collapse them to their smallest id, cluster the representatives,
-        # re-expand at the end (exact, and no round per duplicate)
-        rep = v.groupBy("vec").agg(F.min("id").alias("rid"))
-        dup = cut_lineage(v.join(rep, "vec").select("id", "rid"))
-        v = v.join(dup.filter(F.col("id") == F.col("rid")).select("id"), "id", "left_semi")
-        edges = knn.similar_pairs(v, t, metric=metric).select("a", "b", F.col("dist").alias("d"))
+        # cluster their representatives, re-expand at the end (exact, and no
+        # round per duplicate)
+        edges, member = knn.similar_classes(v, t, metric=metric)
+        edges = edges.select("a", "b", F.col("dist").alias("d"))
+        dup = member.select("id", F.col("rep").alias("rid"))
+        v = dup.filter(F.col("id") == F.col("rid")).select("id")
     e = cut_lineage(edges.select("a", "b", "d"))
-    members = cut_lineage(v.select("id", F.col("id").alias("label")))
+    merges: list[DataFrame] = []
     while True:
         both = (e.select(F.col("a").alias("c"), F.col("b").alias("o"), "d", "a", "b")
                 .unionByName(e.select(F.col("b").alias("c"), F.col("a").alias("o"), "d", "a", "b")))
@@ -109,9 +129,7 @@ def cluster_complete(vecs: DataFrame, t: float = 0.2, id_col: str = "id", vec: s
         mutual = cut_lineage(mutual)
         if mutual.limit(1).count() == 0:
             break
-        small = is_small(mutual)
-        bc = F.broadcast if small else (lambda d: d)
-        remap = bc(mutual)
+        remap = mutual
         merged = remap.select(F.col("new").alias("c")).withColumn("parts", F.lit(2))
 
         re = (e.alias("e")
@@ -124,13 +142,12 @@ def cluster_complete(vecs: DataFrame, t: float = 0.2, id_col: str = "id", vec: s
         grouped = re.groupBy("a", "b").agg(F.max("d").alias("d"), F.count(F.lit(1)).alias("cnt"))
         pa = merged.select(F.col("c").alias("a"), F.col("parts").alias("pa"))
         pb = merged.select(F.col("c").alias("b"), F.col("parts").alias("pb"))
-        e = (grouped.join(bc(pa), "a", "left").join(bc(pb), "b", "left")
+        e = (grouped.join(pa, "a", "left").join(pb, "b", "left")
              .filter(F.col("cnt") == F.coalesce("pa", F.lit(1)) * F.coalesce("pb", F.lit(1)))
              .select("a", "b", "d"))
         e = cut_lineage(e)
-        members = cut_lineage(
-            members.join(remap, members["label"] == remap["old"], "left")
-            .select("id", F.coalesce("new", "label").alias("label")))
+        merges.append(remap.select(F.col("old"), F.col("new"), F.lit(len(merges)).alias("round")))
+    members = _follow(v.select("id"), merges)
     if dup is not None:
         members = dup.join(members.select(F.col("id").alias("rid"), "label"), "rid").select("id", "label")
     return members
@@ -233,7 +250,7 @@ def personalised_trends(grouped: DataFrame, codes: DataFrame, user_codes, min_ra
     if isinstance(user_codes, (list, tuple)):
         user_codes = grouped.sparkSession.createDataFrame([(c,) for c in user_codes], "okved string")
     cand = codes.select("news_id", F.explode(F.array(F.col("okved"), code_prefix("okved", 1))).alias("_c"))
-    user = broadcast_if_small(user_codes.select(F.col("okved").alias("_c")).distinct())
+    user = user_codes.select(F.col("okved").alias("_c")).distinct()
     matched = cand.join(user, "_c", "left_semi").select(F.col("news_id").alias("_mid")).distinct()
     flags = (grouped.select("id", "group").join(matched, F.col("id") == F.col("_mid"), "left")
              .select("group", F.col("_mid").isNotNull().alias("m")))

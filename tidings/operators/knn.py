@@ -1,4 +1,4 @@
-"""Vector joins: exact / bucketed (IVF) kNN, similarity self-join, centroids.
+"""Vector joins: exact / bucketed (IVF) kNN, range joins, centroids.
 
 Vectors are ``array<float>`` columns that always travel with their id.  The
 distance work runs in one small numpy kernel applied per *block pair* through
@@ -7,9 +7,10 @@ block key), numpy does a blocked matrix product inside each task, and only the
 surviving candidates (top-k per query, or pairs under a threshold) leave the
 task - all-pairs rows are never materialised.
 
-Block sizes are bounded (``block_rows``), so one task never holds more than
-two blocks whatever the data size or key skew: hot IVF cells are split into
-sub-blocks sized from their counted population.
+Every cell is cut on both sides: its left rows into sub-blocks of about half of
+``block_rows``, its right rows too, and every pair of sub-blocks is a group of
+its own, so a cell with a large share of the rows is many groups and no group
+grows with the data.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import l2_normalize, sq_l2
-from .relational import broadcast_if_small
+from ..session import cut_lineage
 
 BLOCK_ROWS = 2048
 
@@ -44,8 +45,7 @@ def _pair_kernel(k: int | None, max_sq: float | None, triangle: bool):
     k: keep, per left row, candidates whose distance is within the k-th
        smallest (ties kept; the exact cut happens later per query).
     max_sq: keep only distances strictly below it.
-    triangle: self-join mode keyed by (block i, block j): on a diagonal
-       group (i == j) keep each unordered pair once (left id < right id).
+    triangle: self-join mode, keep each pair as left id < right id.
     """
     def fn(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if len(left) == 0 or len(right) == 0:
@@ -57,7 +57,7 @@ def _pair_kernel(k: int | None, max_sq: float | None, triangle: bool):
         dist = (q * q).sum(1)[:, None] + (d * d).sum(1)[None, :] - 2.0 * (q @ d.T)
         np.maximum(dist, 0.0, out=dist)
         mask = np.ones(dist.shape, dtype=bool)
-        if triangle and key[0] == key[1]:
+        if triangle:
             mask &= qid[:, None] < did[None, :]
         if max_sq is not None:
             mask &= dist < max_sq
@@ -119,61 +119,35 @@ def knn_exact(queries: DataFrame, data: DataFrame, k: int, q_id: str = "id", d_i
 
 
 # VEC4 -------------------------------------------------------------------------
-def lookup_one(vector: list[float], data: DataFrame, k: int, spark=None, **kw) -> DataFrame:
-    """Single-vector lookup: a one-row query frame through ``knn_exact``."""
-    spark = spark or data.sparkSession
-    q = spark.createDataFrame([(-1, [float(x) for x in vector])], "id long, vec array<float>")
-    return knn_exact(q, data, k, **kw)
-
-
-# JN14 ------------------------------------------------------------------------
-def similar_pairs(vecs: DataFrame, t: float, id_col: str = "id", vec: str = "vec",
-                  metric: str = "cosine", inclusive: bool = False,
-                  block_rows: int = BLOCK_ROWS, method: str = "auto") -> DataFrame:
-    """All unordered pairs (a < b) with distance below ``t``.
-
-    metric 'cosine': cosine distance on L2-normalised vectors, where
-    cos_dist = |x - y|^2 / 2; 'sqeuclidean': the raw squared L2.
-    With ``inclusive`` the cut is ``<= t``.
-
-    method 'blocked': every block pair (i <= j) is compared once.
-    method 'pivot': exact metric partitioning (ClusterJoin, Das Sarma et al.
-    2014): each vector's home cell is its nearest pivot; it is also
-    replicated to every pivot p with (|y-p| - |y-home|) / 2 <= radius, which
-    guarantees that each pair within the radius meets in the home cell of one
-    of its ends.  'auto' uses pivots when the input spans several blocks and
-    the measured replication stays low, else falls back to blocks.
-    """
-    v = _prep(vecs, id_col, vec)
-    if metric == "cosine":
-        v = v.withColumn("vec", l2_normalize("vec", as_float=False))
-        scale = 2.0
-    else:
-        scale = 1.0
-    max_sq = t * scale
-    if inclusive:
-        max_sq = float(np.nextafter(max_sq, np.inf))
-    n = v.count()
-    b = max(1, math.ceil(n / block_rows))
-    if method == "pivot" or (method == "auto" and b > 2):
-        p = _pivot_pairs(v, n, max_sq, block_rows, allow_fallback=(method == "auto"))
-        if p is not None:
-            return p.select("a", "b", (F.col("dist") / scale).alias("dist"))
-    left = (v.withColumn("bi", _bucket("id", b))
-            .withColumn("bj", _replicate(b)).filter(F.col("bj") >= F.col("bi")))
-    right = (v.withColumn("bj", _bucket("id", b))
-             .withColumn("bi", _replicate(b)).filter(F.col("bi") <= F.col("bj")))
-    p = _block_pairs(left, right, ["bi", "bj"], None, max_sq, True)
-    # every unordered pair is produced exactly once; orient it as a < b
-    return p.select(F.least("id", "nid").alias("a"), F.greatest("id", "nid").alias("b"),
-                    (F.col("dist") / scale).alias("dist"))
-
-
-MAX_PIVOTS = 2048
-
-
-def _replica_fn(piv_ids: np.ndarray, piv: np.ndarray, radius: float):
-    """Per batch: home pivot and every pivot cell the vector is copied to."""
+def lookup_one(vector: list[float], data: DataFrame, k: int, d_id: str = "id", vec: str = "vec") -> DataFrame:
+    """Single-vector lookup (nid, dist, rank): one scan with the vector as a
+    literal and a top-k per partition; nothing is shuffled but k rows each."""
+    q = F.array(*[F.lit(float(x)) for x in vector])
+    near = data.select(F.col(d_id).alias("nid"), sq_l2(F.col(vec), q).alias("dist")).orderBy("dist", "nid").limit(k)
+    return near.withColumn("rank", F.row_number().over(Window.orderBy("dist", "nid")))  # k rows
+
+
+# range joins ------------------------------------------------------------------
+def sub_blocks(left: DataFrame, right: DataFrame, key: str, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Adds ``li`` and ``ri`` to both sides of a join by ``key``: every left
+    row meets every right row of its key in exactly one (key, li, ri) group,
+    and a side of a group has about half of ``block_rows`` rows."""
+    half = max(1, block_rows // 2)
+
+    def parts(side: DataFrame, name: str) -> DataFrame:
+        return side.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / half).cast("int").alias(name))
+    # keys without a partner on the other side leave here
+    cuts = cut_lineage(parts(left, "_ln").join(parts(right, "_rn"), key))
+    own = lambda n: F.pmod(F.xxhash64("id", F.lit(3)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    lo = left.join(cuts, key).withColumn("li", own("_ln")).withColumn("ri", every("_rn"))
+    hi = right.join(cuts, key).withColumn("ri", own("_rn")).withColumn("li", every("_ln"))
+    return lo.drop("_ln", "_rn"), hi.drop("_ln", "_rn")
+
+
+def _cells_fn(piv: np.ndarray, radius: float, copies: bool):
+    """Per batch: each vector with its home cell (nearest pivot) or, for the
+    other side, with every cell that may hold a partner within ``radius``."""
     pn = (piv * piv).sum(1)
 
     def fn(batches):
@@ -181,47 +155,114 @@ def _replica_fn(piv_ids: np.ndarray, piv: np.ndarray, radius: float):
             if len(pdf) == 0:
                 continue
             x = _stack(pdf["vec"])
-            d2 = (x * x).sum(1)[:, None] + pn[None, :] - 2.0 * (x @ piv.T)
-            d = np.sqrt(np.maximum(d2, 0.0))
-            h = d.argmin(axis=1)
-            dh = d[np.arange(len(d)), h]
-            # slack keeps boundary pairs despite rounding; extra copies are harmless
-            r, c = np.nonzero((d - dh[:, None]) / 2.0 <= radius + 1e-7)
-            ids = pdf["id"].to_numpy(dtype=np.int64)
-            yield pd.DataFrame({"id": ids[r], "home": piv_ids[h[r]], "cell": piv_ids[c]})
+            d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + pn[None, :] - 2.0 * (x @ piv.T), 0.0))
+            if copies:
+                # slack keeps boundary pairs despite rounding; extra copies are harmless
+                r, c = np.nonzero((d - d.min(axis=1)[:, None]) / 2.0 <= radius + 1e-7)
+            else:
+                r, c = np.arange(len(d)), d.argmin(axis=1)
+            yield pd.DataFrame({"cell": c.astype(np.int64), "id": pdf["id"].to_numpy(dtype=np.int64)[r],
+                                "vec": pdf["vec"].to_numpy()[r]})
     return fn
 
 
-def _pivot_pairs(v: DataFrame, n: int, max_sq: float, block_rows: int,
-                 allow_fallback: bool) -> DataFrame | None:
-    """Pairs with squared L2 below ``max_sq`` via pivot cells (see above)."""
-    from ..session import cut_lineage
-    radius = math.sqrt(max_sq)
-    n_piv = int(max(2, min(n, MAX_PIVOTS, 2 * math.ceil(n / block_rows))))
-    # a bounded, deterministic sample of pivots (at most MAX_PIVOTS vectors)
-    piv_rows = (v.orderBy(F.xxhash64("id", F.lit(17)), "id").limit(n_piv).collect())
-    piv_ids = np.array([r["id"] for r in piv_rows], dtype=np.int64)
-    piv = np.stack([np.asarray(r["vec"], dtype=np.float64) for r in piv_rows])
-    schema = "id long, home long, cell long"
-    rep = cut_lineage(v.mapInPandas(_replica_fn(piv_ids, piv, radius), schema))
-    if allow_fallback and rep.count() > n * n_piv / 2:
-        return None   # pruning ineffective (high dimension / large radius)
-    home = rep.filter(F.col("home") == F.col("cell")).select("id", "cell")
-    sizes = (home.groupBy(F.col("cell").alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
-             .select("_cell", F.greatest(F.lit(1), F.ceil(F.col("_n") / block_rows)).cast("int").alias("_s")))
-    sizes = broadcast_if_small(sizes)
-    vv = v.select(F.col("id").alias("vid"), "vec")
-    left = (home.join(vv, F.col("id") == F.col("vid")).join(sizes, F.col("cell") == F.col("_cell"))
-            .withColumn("sub", F.pmod(F.xxhash64("id"), F.col("_s")).cast("int"))
-            .select("cell", "sub", "id", "vec"))
-    right = (rep.select(F.col("id").alias("rid0"), F.col("cell").alias("rcell"))
-             .join(vv, F.col("rid0") == F.col("vid")).join(sizes, F.col("rcell") == F.col("_cell"))
-             .withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)))
-             .select(F.col("rcell").alias("cell"), "sub", F.col("rid0").alias("id"), "vec"))
-    p = _block_pairs(left, right, ["cell", "sub"], None, max_sq, False).filter(F.col("id") != F.col("nid"))
-    # a pair may meet in both ends' home cells: orient and keep one copy
-    return (p.select(F.least("id", "nid").alias("a"), F.greatest("id", "nid").alias("b"), "dist")
-            .dropDuplicates(["a", "b"]))
+def range_pairs(left: DataFrame, right: DataFrame, max_sq: float, block_rows: int = BLOCK_ROWS,
+                triangle: bool = False) -> DataFrame:
+    """(id, nid, dist): every left and right row (``id``, ``vec``) with squared
+    L2 distance strictly below ``max_sq``.
+
+    Exact metric partitioning (ClusterJoin, Das Sarma et al. 2014): a left
+    row lies in the cell of its nearest pivot p; a right row y is copied to
+    the cells with |y - p| - min |y - p'| <= 2 r, which holds for the cell of every
+    left row within r of it.  So a pair meets in one cell and comes once.
+    About sqrt(n) pivots, chosen by a hash, are the only rows the driver sees.
+    """
+    n = left.count()
+    n_pivots = max(1, math.ceil(math.sqrt(n)))
+    rows = left.orderBy(F.xxhash64("id", F.lit(17)), "id").limit(n_pivots).select("vec").collect()
+    empty = left.sparkSession.createDataFrame([], _PAIR_SCHEMA)
+    if not rows:
+        return empty
+    piv = np.unique(np.stack([np.asarray(r["vec"], dtype=np.float64) for r in rows]), axis=0)
+    schema = T.StructType([T.StructField("cell", T.LongType()), T.StructField("id", T.LongType()),
+                           T.StructField("vec", T.ArrayType(T.DoubleType()))])
+    doubles = lambda df: df.select("id", F.col("vec").cast("array<double>").alias("vec"))
+    home = cut_lineage(doubles(left).mapInPandas(_cells_fn(piv, 0.0, False), schema))
+    copies = cut_lineage(doubles(right).mapInPandas(_cells_fn(piv, math.sqrt(max_sq), True), schema))
+    lo, hi = sub_blocks(home, copies, "cell", block_rows)
+    return _block_pairs(lo, hi, ["cell", "li", "ri"], None, max_sq, triangle)
+
+
+def near_rows(queries: DataFrame, data: DataFrame, k: int, max_sq: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(id, nid, dist, rank): the ``k`` nearest rows of every query that lie
+    below ``max_sq``; a range join, then a rank per query."""
+    return _final_topk(range_pairs(_prep(queries, "id", "vec"), _prep(data, "id", "vec"), max_sq, block_rows), k)
+
+
+def threshold_or_best_rows(queries: DataFrame, data: DataFrame, k: int, max_sq: float,
+                           block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(id, nid, dist, rank): the ``k`` nearest rows at ``max_sq`` or nearer;
+    a query without any gets its nearest row.  Only those are searched exactly."""
+    within = cut_lineage(near_rows(queries, data, k, float(np.nextafter(max_sq, np.inf)), block_rows))
+    rest = queries.join(within.select("id").distinct(), "id", "left_anti")
+    return within.unionByName(knn_exact(rest, data, 1, block_rows=block_rows))
+
+
+# JN14 ------------------------------------------------------------------------
+def collapse(v: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Identical vectors as one: (representatives (id, vec), membership (id, rep)).
+
+    Grouped by a hash; a vector that differs from its group's representative
+    (a hash collision) stands for itself."""
+    h = v.withColumn("_h", F.xxhash64("vec"))
+    first = h.groupBy("_h").agg(F.min("id").alias("rep"))
+    reps = h.join(first, "_h").where("id = rep").select("_h", "rep", F.col("vec").alias("_v"))
+    member = cut_lineage(h.join(reps, "_h").select(
+        "id", F.when(F.col("vec") == F.col("_v"), F.col("rep")).otherwise(F.col("id")).alias("rep")))
+    return cut_lineage(v.join(member.where("id = rep").select("id"), "id", "left_semi")), member
+
+
+def similar_classes(vecs: DataFrame, t: float, id_col: str = "id", vec: str = "vec", metric: str = "cosine",
+                    inclusive: bool = False, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a < b, dist) below ``t`` between representatives of identical
+    vectors, and the membership (id, rep): m copies cost m rows, not m^2 / 2.
+
+    metric 'cosine': on unit vectors, where cos_dist = |x - y|^2 / 2; a zero
+    vector is 1 away from every other, so it has no pair and stands for
+    itself (cuts above 1 are refused).  'sqeuclidean': the raw squared L2.  With
+    ``inclusive`` the cut is ``<= t``."""
+    v = _prep(vecs, id_col, vec)
+    alone, scale = None, 1.0
+    if metric == "cosine":
+        if t > 1:
+            raise ValueError("cosine cuts lie between 0 and 1")
+        has_direction = F.exists("vec", lambda x: x != 0)
+        alone = v.where(~has_direction).select("id", F.col("id").alias("rep"))
+        v, scale = v.where(has_direction).withColumn("vec", l2_normalize("vec", as_float=False)), 2.0
+    max_sq = t * scale
+    if inclusive:
+        max_sq = float(np.nextafter(max_sq, np.inf))
+    reps, member = collapse(v)
+    p = range_pairs(reps, reps, max_sq, block_rows, triangle=True)
+    return (p.select(F.col("id").alias("a"), F.col("nid").alias("b"), (F.col("dist") / scale).alias("dist")),
+            member if alone is None else member.unionByName(alone))
+
+
+def similar_pairs(vecs: DataFrame, t: float, id_col: str = "id", vec: str = "vec",
+                  metric: str = "cosine", inclusive: bool = False,
+                  block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """All unordered pairs (a < b, dist) of rows below ``t``: the pairs between
+    representatives, expanded by their members.  Use ``similar_classes`` where
+    the pairs of copies are not wanted one by one."""
+    pairs, member = similar_classes(vecs, t, id_col, vec, metric, inclusive, block_rows)
+    ma = member.select(F.col("id").alias("x"), F.col("rep").alias("a"))
+    mb = member.select(F.col("id").alias("y"), F.col("rep").alias("b"))
+    far = pairs.join(ma, "a").join(mb, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "dist")
+    if not (t > 0 or (inclusive and t == 0)):
+        return far
+    copies = (ma.join(mb, ma["a"] == mb["b"]).where("x < y")
+              .select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(0.0).alias("dist")))
+    return far.unionByName(copies)
 
 
 # AGG4 ------------------------------------------------------------------------
@@ -286,21 +327,20 @@ def knn_ivf(queries: DataFrame, data_cells: DataFrame, centers: DataFrame, k: in
             block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Bucketed kNN: each query searches only its ``nprobe`` nearest cells.
 
-    ``data_cells`` is (id, vec, cell) as written by the index build.  Cells
-    larger than ``block_rows`` are split into sub-blocks (counted per cell,
-    nlist rows), and queries are replicated to every sub-block of a probed
-    cell, so a hot cell never lands in one task."""
+    ``data_cells`` is (id, vec, cell) as written by the index build; read from
+    the store, a join on the partition column prunes the cells that no query
+    probes.  Queries and rows of a cell are cut into bounded sub-blocks."""
     probes = assign_cells(queries, centers, nprobe).select(F.col("id").alias("pid"), "cell")
-    sizes = (data_cells.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"))
-             .select("cell", F.greatest(F.lit(1), F.ceil(F.col("_n") / block_rows)).cast("int").alias("_s")))
-    sizes = broadcast_if_small(sizes)
-    right = (data_cells.join(sizes, "cell")
-             .withColumn("sub", F.pmod(F.xxhash64("id"), F.col("_s")).cast("int"))
-             .select("cell", "sub", "id", "vec"))
-    left = (queries.select("id", "vec").join(probes, F.col("id") == F.col("pid")).join(sizes, "cell")
-            .withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)))
-            .select("cell", "sub", "id", "vec"))
-    return _final_topk(_block_pairs(left, right, ["cell", "sub"], k, None, False), k)
+    left = cut_lineage(queries.select("id", "vec").join(probes, F.col("id") == F.col("pid"))
+                       .select("cell", "id", "vec"))
+    left, right = sub_blocks(left, data_cells.select("cell", "id", "vec"), "cell", block_rows)
+    return _final_topk(_block_pairs(left, right, ["cell", "li", "ri"], k, None, False), k)
+
+
+def search_probes(nlist: int, share: float = 0.6) -> int:
+    """Cells to probe for a recall@10 of 0.9 on vectors without much cluster
+    structure (tested); the index's own default, a quarter, finds about 0.7."""
+    return max(1, math.ceil(nlist * share))
 
 
 def build_index(vecs: DataFrame, nlist: int | None = None, seed: int = 7) -> tuple[DataFrame, DataFrame, int, int]:

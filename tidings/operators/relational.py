@@ -1,8 +1,7 @@
 """Filters, joins, aggregations, ranking and set operators (2.4-2.8).
 
 All are DataFrame -> DataFrame compositions; Catalyst pushes the filters to
-the scan and AQE picks join strategies at run time.  Small sides are only
-broadcast behind a row-count check (``broadcast_if_small``).
+the scan and AQE picks join strategies at run time, by the bytes of each side.
 """
 
 from __future__ import annotations
@@ -12,20 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import _c, code_prefix
 
-# Row bound under which a dimension-like side is broadcast explicitly.
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """Bounded check: reads at most ``max_rows + 1`` rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast only a side with a checked size; beyond it AQE decides
-    (shuffle join, with its own runtime size check)."""
-    return F.broadcast(df) if is_small(df, max_rows) else df
-
 
 def _ts(at) -> Column:
     return at if isinstance(at, Column) else F.lit(str(at)).cast("timestamp_ntz")
@@ -43,7 +28,7 @@ def for_role(df: DataFrame, role_sources: DataFrame, role: str,
              source_col: str = "source") -> DataFrame:
     """FLT2: source in the role's list (semi join on a config-sized table)."""
     srcs = role_sources.filter(F.col("role") == role).select(F.col("source").alias("_src")).distinct()
-    return df.join(broadcast_if_small(srcs), F.col(source_col) == F.col("_src"), "left_semi")
+    return df.join(srcs, F.col(source_col) == F.col("_src"), "left_semi")
 
 
 def before_horizon(df: DataFrame, at, days: int = 30, ts_col: str = "timestamp") -> DataFrame:
@@ -117,19 +102,13 @@ def effective_codes(user_codes: DataFrame, related: DataFrame | None = None,
     base = user_codes.select(code_prefix("okved", 2).alias("okved")).distinct()
     out = base
     if related is not None:
-        rel = base.join(broadcast_if_small(related), "okved").select(F.col("related").alias("okved"))
+        rel = base.join(related, "okved").select(F.col("related").alias("okved"))
         out = out.unionByName(rel)
     if role_codes is not None:
         out = out.unionByName(role_codes.select("okved"))
     return out.distinct()
 
 
-def suits_of(links: DataFrame, citations: DataFrame, link_col: str = "link") -> DataFrame:
-    """JN7: citing links per link, [] when there are none."""
-    j = links.join(citations.withColumnRenamed("link", "_l"), F.col(link_col) == F.col("_l"), "left").drop("_l")
-    return j.withColumn("suits", F.coalesce(F.col("suits"), F.array().cast("array<string>")))
-
-
 def join_word_vectors(tokens: DataFrame, word_vectors: DataFrame, token_col: str = "token") -> DataFrame:
     """JN11: token x word vector; out-of-vocabulary tokens drop out."""
     return tokens.join(word_vectors.withColumnRenamed("word", token_col), token_col, "inner")
@@ -203,17 +182,6 @@ def time_extent(df: DataFrame, ts_col: str = "timestamp") -> DataFrame:
     return df.agg(F.min(ts_col).alias("min_ts"), F.max(ts_col).alias("max_ts"))
 
 
-def schema_report(df: DataFrame) -> list[tuple[str, str]]:
-    """AGG7 (schema part): column names and types from the plan, no job."""
-    return df.dtypes
-
-
-def suits(edges: DataFrame) -> DataFrame:
-    """AGG11: sorted citing links per cited link."""
-    return edges.groupBy(F.col("cited_link").alias("link")).agg(
-        F.array_sort(F.collect_list("citing_link")).alias("suits"))
-
-
 def format_report(spine: DataFrame, order_col: str = "topic_pos", topic_col: str = "topic",
                   title_col: str = "title") -> DataFrame:
     """AGG12: one report string in fixed topic order, '-' topics skipped."""
@@ -286,16 +254,31 @@ def minus_self(pool: DataFrame, own: DataFrame, key: str = "link") -> DataFrame:
     return pool.join(own.select(key), key, "left_anti")
 
 
-def importance(pairs: DataFrame, items: DataFrame, days: int = 3, ts_col: str = "timestamp") -> DataFrame:
-    """RNK5: per article, the number of similar articles (pairs a < b from
-    the similarity join) published within +-days; 0 when none."""
-    both = (pairs.select(F.col("a").alias("id"), F.col("b").alias("oid"))
-            .unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("oid"))))
-    ts = items.select("id", F.col(ts_col).alias("_t"))
-    ots = items.select(F.col("id").alias("oid"), F.col(ts_col).alias("_o"))
-    near_in_time = (both.join(ts, "id").join(ots, "oid")
-                    .filter(F.abs(F.unix_micros(F.col("_t").cast("timestamp"))
-                                  - F.unix_micros(F.col("_o").cast("timestamp"))) <= days * 86_400_000_000))
-    counts = near_in_time.groupBy("id").agg(F.count(F.lit(1)).alias("importance"))
+def importance(pairs: DataFrame, items: DataFrame, days: int = 3, ts_col: str = "timestamp",
+               member: DataFrame | None = None) -> DataFrame:
+    """RNK5: per article, the number of similar articles published within
+    +-days; 0 when none.
+
+    ``pairs`` (a < b) are between representatives and ``member`` (id, rep)
+    names each article's; without ``member`` every article stands for itself.
+    Articles are counted per representative and time: an event goes to the
+    three buckets of ``days`` around it, an article looks into its own, and a
+    range window inside (representative, bucket) counts them, so neither copies
+    nor a long-lived hot group are paired up."""
+    if member is None:
+        member = items.select("id", F.col("id").alias("rep"))
+    span = days * 86_400_000_000
+    at = items.select("id", F.unix_micros(F.col(ts_col).cast("timestamp")).alias("_t")).join(member, "id")
+    both = (pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            .unionByName(member.select(F.col("rep").alias("a"), F.col("rep").alias("b")).distinct()))
+    bucket = F.floor(F.col("_t") / F.lit(span)).cast("long")
+    events = (at.groupBy("rep", "_t").agg(F.count(F.lit(1)).alias("_w"))
+              .join(both, F.col("rep") == F.col("b"))
+              .select("a", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_k"), "_t", "_w",
+                      F.lit(None).cast("long").alias("id")))
+    asked = at.select(F.col("rep").alias("a"), bucket.alias("_k"), "_t", F.lit(0).cast("long").alias("_w"), "id")
+    w = Window.partitionBy("a", "_k").orderBy("_t").rangeBetween(-span, span)
+    counts = (events.unionByName(asked).withColumn("_n", F.sum("_w").over(w)).where("id is not null")
+              .select("id", (F.col("_n") - 1).alias("importance")))  # without the article itself
     return (items.select("id").join(counts, "id", "left")
             .select("id", F.coalesce("importance", F.lit(0)).cast("long").alias("importance")))

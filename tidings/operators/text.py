@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from ..functions.scalars import clean_tokens, l2_normalize
 from ..functions.wordlists import TOPIC_NAMES
 from ..session import cut_lineage
-from .relational import broadcast_if_small
 
 
 def token_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -105,7 +104,7 @@ def apply_phrases(td: DataFrame, phrases: DataFrame, mode: str = "replace") -> D
     (run start found with a window over candidate positions of one document);
     tokens are re-assembled per document.  mode 'append' keeps the original
     tokens and appends the phrase tokens."""
-    ph = broadcast_if_small(phrases.select("a", "b").distinct())
+    ph = phrases.select("a", "b").distinct()
     cand = bigrams(td).join(ph, ["a", "b"], "left_semi").select("doc_id", "pos")
     w = Window.partitionBy("doc_id").orderBy("pos")
     runs = (cand.withColumn("_start", F.when(F.lag("pos").over(w) == F.col("pos") - 1, F.lit(None))
@@ -276,7 +275,7 @@ def topic_terms(cvm, lda_model, n: int = 10) -> DataFrame:
     d = lda_model.describeTopics(n).select(
         "topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "tw"))
     return (d.select("topic", "rank", F.col("tw.termIndices").alias("term_idx"), F.col("tw.termWeights").alias("w"))
-            .join(broadcast_if_small(vocab), "term_idx"))
+            .join(vocab, "term_idx"))
 
 
 def topic_summary(td: DataFrame, cvm, lda_model) -> dict[str, DataFrame]:

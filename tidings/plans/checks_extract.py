@@ -11,12 +11,16 @@ from . import fixtures as X
 from .registry import register
 
 
-# ---- SQL builders mirroring the column expressions ------------------------------
+# ---- SQL of its own: plain patterns, enough for the markup of the driver's pages ----
+PLAIN_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"),
+                  ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&")]
+
+
 def sql_html_text(x: str) -> str:
     for tag in ("script", "style", "template"):
         x = f"regexp_replace({x}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', '', 'g')"
     x = f"regexp_replace(regexp_replace({x}, '(?s)<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g')"
-    for ent, ch in CL.HTML_ENTITIES:
+    for ent, ch in PLAIN_ENTITIES:
         x = f"replace({x}, '{ent}', '{ch.replace(chr(39), chr(39) * 2)}')"
     return x
 
@@ -40,7 +44,7 @@ def sql_body(html: str) -> str:
     return f"array_to_string(list_filter({ps}, lambda z: z <> ''), ' ')"
 
 
-HREF = E.HREF_PATTERN.replace("'", "''")
+HREF = '<a[^>]*href="([^"]*)"'
 HOST_SQL = "regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*)', 1)"
 
 
@@ -65,19 +69,21 @@ def ext3(spark, sf):
     return p.select("page_id", F.explode(E.extract_links(E.inner("html", "body"))).alias("href"))
 
 
-DENY = ["/tag/", "utm_"]
+DENY = ["/the", "/of"]
+_DIR_SQL = "regexp_extract(url, '^([^?#]*/)', 1)"
 
 
 @register("ext4_filter_links", f"""
-SELECT page_id, unnest(list_transform(list_filter(regexp_extract_all(html, '{HREF}', 1), lambda x:
-    NOT starts_with(x, 'mailto:') AND NOT starts_with(x, 'file://') AND length(x) <= 2083
-    AND NOT regexp_matches(x, '^[A-Za-z0-9]+$') AND contains(x, '.')
-    AND NOT contains(x, '/tag/') AND NOT contains(x, 'utm_')),
-  lambda x: CASE WHEN starts_with(x, '/') THEN {HOST_SQL} || x ELSE x END)) AS link
+SELECT page_id, unnest(list_filter(list_transform(list_filter(regexp_extract_all(html, '{HREF}', 1), lambda x:
+    NOT contains(x, 'mailto:') AND (starts_with(x, '/') OR (NOT contains(x, 'file://')
+    AND NOT regexp_matches(x, '^[A-Za-z0-9]+$') AND x NOT IN ('/the', '/of')))),
+  lambda x: CASE WHEN regexp_matches(x, '^[a-z]+:') THEN x WHEN starts_with(x, '/') THEN {HOST_SQL} || x
+            WHEN starts_with(x, '#') THEN regexp_extract(url, '^([^#]*)', 1) || x ELSE {_DIR_SQL} || x END),
+  lambda y: contains(y, '.') AND length(y) <= 2083)) AS link
 FROM pages""")
 def ext4(spark, sf):
     p = _pages(spark, sf)
-    links = E.filter_links(E.extract_links("html"), E.host_of("url"), DENY)
+    links = E.filter_links(E.extract_links("html"), "url", DENY)
     return p.select("page_id", F.explode(links).alias("link"))
 
 
@@ -101,7 +107,7 @@ def ext6(spark, sf):
 
 @register("ext7_text_urls", f"""
 SELECT page_id, unnest(regexp_extract_all('Read ' || url || ' and ' || {sql_inner('html', 'h1')},
-    '{E.URL_IN_TEXT_PATTERN}', 0)) AS u FROM pages""")
+    'https?://[-A-Za-z0-9.]+\.[a-z]+[A-Za-z0-9._/?=&#-]*', 0)) AS u FROM pages""")
 def ext7(spark, sf):
     p = _pages(spark, sf)
     txt = F.concat(F.lit("Read "), F.col("url"), F.lit(" and "), E.inner("html", "h1"))
@@ -127,7 +133,7 @@ SELECT event_id,
   strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS ymd,
   strftime(make_timestamp(CAST(floor(epoch(ts)) AS BIGINT) * 1000000), '%Y-%m-%d %H:%M:%S') AS ep,
   strftime(CAST(timezone('Europe/Moscow', make_timestamp(CAST(floor(epoch(ts)) AS BIGINT) * 1000000)::TIMESTAMPTZ) AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS ep_msk,
-  strftime(date_trunc('second', ts) - INTERVAL 3 HOUR, '%Y-%m-%d %H:%M:%S') AS iso
+  strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS iso
 FROM events""")
 def ext10(spark, sf):
     e = read_table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
@@ -170,7 +176,7 @@ def _posts(spark, sf):
 
 @register("ext12_route_posts", f"""
 SELECT conv_id, turn, CASE WHEN type = 'simple' THEN '' ELSE title END AS title,
-       CAST(CASE WHEN type = 'simple' THEN len(regexp_extract_all(text, '{E.URL_IN_TEXT_PATTERN}', 0)) ELSE 0 END AS INTEGER) AS n_links
+       CAST(CASE WHEN type = 'simple' THEN len(regexp_extract_all(text, 'https?://[-A-Za-z0-9.]+\.[a-z]+[A-Za-z0-9._/?=&#-]*', 0)) ELSE 0 END AS INTEGER) AS n_links
 FROM ({_POST_SQL}) WHERE type IN ('simple', 'news', 'review')""")
 def ext12(spark, sf):
     r = E.route_posts(_posts(spark, sf))

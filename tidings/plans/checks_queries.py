@@ -233,7 +233,7 @@ def q5(spark, sf):
 
 @register("q6_build_index")
 def q6(spark, sf):
-    vecs, params = Q.build_index(X.vectors(spark, sf).select("id", "vec"), scratch_path(spark, "index"), 64)
+    vecs, _, _ = Q.build_index(X.vectors(spark, sf).select("id", "vec"), scratch_path(spark, "index"), 64)
     return vecs.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
 
 

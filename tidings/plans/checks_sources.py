@@ -9,11 +9,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import clean as CL
+from ..functions import extract as E
 from ..operators import knn as K
 from ..operators import relational as R
 from ..session import read_table, scratch_path
 from ..sources import io as IO
 from . import fixtures as X
+from .checks_extract import PLAIN_ENTITIES
 from .registry import register
 
 NEWS = X.with_ctes(X.SQL_NEWS_LIKE)
@@ -129,8 +131,8 @@ def src9(spark, sf):
 def src10(spark, sf):
     v = X.vectors(spark, sf)
     cells, centers, nlist, nprobe = K.build_index(v)
-    path = IO.write_vectors(cells, nlist, nprobe, 64, scratch_path(spark, "index"))
-    vecs, params = IO.read_vectors(spark, path)
+    path = IO.write_vectors(cells, centers, nlist, nprobe, 64, scratch_path(spark, "index"))
+    vecs, _, _ = IO.read_vectors(spark, path)
     return vecs.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -184,7 +186,7 @@ def src14(spark, sf):
 
 # ---- cleaning ----------------------------------------------------------------------
 _ENT_SQL = "html"
-for _e, _c in CL.HTML_ENTITIES:
+for _e, _c in PLAIN_ENTITIES:
     _ENT_SQL = f"replace({_ENT_SQL}, '{_e}', '{_c.replace(chr(39), chr(39) * 2)}')"
 _HTML_SQL = "html"
 for _tag in ("script", "style", "template"):
@@ -238,7 +240,7 @@ SELECT page_id, unnest(list_transform(regexp_extract_all(html, '{_HREF}', 1), la
   END)) AS link FROM pages""")
 def cln4(spark, sf):
     p = read_table(spark, sf, "pages")
-    hrefs = F.regexp_extract_all("html", F.lit(_HREF), 1)
+    hrefs = E.extract_links("html")
     return p.select("page_id", F.explode(CL.resolve_urls("url", hrefs)).alias("link"))
 
 
@@ -276,7 +278,7 @@ def cln8(spark, sf):
 SELECT page_id, CASE
   WHEN url IS NULL THEN 'missing link'
   WHEN html IS NULL THEN 'missing text'
-  WHEN NOT regexp_matches(url, '{CL.URL_SYNTAX}') THEN 'bad url link'
+  WHEN NOT regexp_matches(url, '^https?://[^\s/?#:@]+(:[0-9]+)?([/?#][^\s]*)?$') THEN 'bad url link'
   WHEN length(url) > 2083 THEN 'url too long link' END AS reason
 FROM pages""")
 def cln9(spark, sf):

@@ -76,7 +76,7 @@ def jn9(spark, sf):
 SELECT id, nid, round(dist, 6) AS dist FROM ranked WHERE rank <= 100 AND id <> nid AND dist < {SQ_NEAR}""")
 def flt7(spark, sf):
     v = X.vectors(spark, sf)
-    nn = R.near(K.knn_exact(v, v, 100), SQ_NEAR)
+    nn = K.near_rows(v, v, 100, SQ_NEAR).where("id <> nid")
     return nn.select("id", "nid", F.round("dist", 6).alias("dist"))
 
 
@@ -85,7 +85,7 @@ SELECT id, string_agg(CAST(nid AS VARCHAR), ',' ORDER BY dist, nid) AS similar
 FROM ranked WHERE rank <= 100 AND id <> nid AND dist < {SQ_NEAR} GROUP BY id""")
 def vec5(spark, sf):
     v = X.vectors(spark, sf)
-    nn = R.near(K.knn_exact(v, v, 100), SQ_NEAR)
+    nn = K.near_rows(v, v, 100, SQ_NEAR).where("id <> nid")
     lst = nn.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("dist", "nid"))).alias("l"))
     return lst.select("id", F.array_join(F.transform("l", lambda x: x["nid"].cast("string")), ",").alias("similar"))
 
@@ -109,8 +109,8 @@ ranked AS (SELECT *, row_number() OVER (ORDER BY dist, nid) AS rank FROM pairs)
 SELECT nid, CAST(rank AS INTEGER) AS rank, round(dist, 6) AS dist FROM ranked WHERE rank <= 10""")
 def vec4(spark, sf):
     v = X.vectors(spark, sf)
-    q = v.filter(F.col("id") == v.select(F.max("id")).scalar())
-    nn = K.knn_exact(q, v, 10)
+    vector = v.orderBy(F.desc("id")).first()["vec"]
+    nn = K.lookup_one(vector, v, 10)
     return nn.select("nid", "rank", F.round("dist", 6).alias("dist"))
 
 
@@ -125,8 +125,7 @@ kept AS (SELECT * FROM ranked WHERE rank <= 100 AND (rank = 1 OR dist <= {SQ_NEA
 def _tag_pairs(spark, sf):
     arts = X.vectors(spark, sf).filter(F.col("id") >= 50)
     tax = X.taxonomy_like(spark, sf)
-    nn = K.knn_exact(arts, tax.select(F.col("code_id").alias("id"), "vec"), 100)
-    nn = R.threshold_or_best(nn, SQ_NEAR)
+    nn = K.threshold_or_best_rows(arts, tax.select(F.col("code_id").alias("id"), "vec"), 100, SQ_NEAR)
     return nn.join(tax.select(F.col("code_id").alias("nid"), "code"), "nid")
 
 
@@ -192,7 +191,7 @@ def vec3(spark, sf):
 def jn10(spark, sf):
     v = X.vectors(spark, sf)
     cells, centers, nlist, nprobe = K.build_index(v)
-    nn = K.knn_ivf(v, cells, centers, 5, nprobe)
+    nn = K.knn_ivf(v, cells, centers, 5, K.search_probes(nlist))
     return nn.select("id", "nid", "rank", F.round("dist", 6).alias("dist"))
 
 
@@ -214,5 +213,5 @@ pairs AS (
 SELECT i.id, CAST(count(p.b) AS BIGINT) AS importance FROM items i LEFT JOIN pairs p ON p.a = i.id GROUP BY i.id""")
 def rnk5(spark, sf):
     items = _vec_items(spark, sf)
-    pairs = K.similar_pairs(items.select("id", "vec"), COS_T)
-    return R.importance(pairs, items, 3)
+    pairs, member = K.similar_classes(items.select("id", "vec"), COS_T)
+    return R.importance(pairs, items, 3, member=member)

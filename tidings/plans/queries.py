@@ -1,7 +1,7 @@
 """End-to-end queries (Q1-Q9) as compositions of the operators.
 
-Each returns a lazy DataFrame; the iterative clusterer is the only part that
-triggers intermediate jobs (one small action per round).
+Each returns a DataFrame; clustering, range joins, dense ids and model fits run
+jobs of their own before it is read.
 """
 
 from __future__ import annotations
@@ -111,7 +111,7 @@ def insights(spark: SparkSession, news: DataFrame, roles: DataFrame, edges: Data
     if near is None:
         vecs = vectors if vectors is not None else T.vectorize(news, "title", "id")
         q = vecs.join(members, "id", "left_semi")
-        near = R.near(K.knn_exact(q, vecs, k), max_sq)
+        near = K.near_rows(q, vecs, k, max_sq).where("id <> nid")
     else:
         near = near.join(members, "id", "left_semi")
     pool_ids = future_pool(news, edges, near)
@@ -139,18 +139,16 @@ def build_corpus(spark: SparkSession, root: str, lines_glob: str = "*.jsonl", wh
 def build_tags(article_vecs: DataFrame, taxonomy_vecs: DataFrame, k: int = 100, max_sq: float = 0.62) -> DataFrame:
     """Q5: (news_id, okveds) - codes of the k nearest taxonomy vectors with
     squared L2 <= max_sq or the best one, cut to level 2, distinct."""
-    nn = K.knn_exact(article_vecs, taxonomy_vecs.select(F.col("code_id").alias("id"), "vec"), k)
-    nn = R.threshold_or_best(nn, max_sq)
+    nn = K.threshold_or_best_rows(article_vecs, taxonomy_vecs.select(F.col("code_id").alias("id"), "vec"), k, max_sq)
     pairs = nn.join(taxonomy_vecs.select(F.col("code_id").alias("nid"), "code"), "nid")
     return R.code_set(pairs.select(F.col("id").alias("news_id"), F.col("code").alias("okved")))
 
 
-def build_index(vecs: DataFrame, path: str, dims: int) -> tuple[DataFrame, DataFrame]:
-    """Q6: cells (k-means, nlist = round(sqrt n)) written partitioned by cell
-    with a parameter row; returns (vectors, params) read back."""
+def build_index(vecs: DataFrame, path: str, dims: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Q6: cells (k-means, nlist = round(sqrt n)) written partitioned by cell,
+    with centres and a parameter row; returns (vectors, centres, params) read back."""
     cells, centers, nlist, nprobe = K.build_index(vecs)
-    IO.write_vectors(cells, nlist, nprobe, dims, path)
-    centers.write.mode("overwrite").parquet(f"{path}/centers")
+    IO.write_vectors(cells, centers, nlist, nprobe, dims, path)
     return IO.read_vectors(vecs.sparkSession, path)
 
 
@@ -167,6 +165,6 @@ def build_topics(td: DataFrame, min_count: int = 20, k: int = 10, no_below: int
 def demo_similar(vecs: DataFrame, n: int = 10, k: int = 100, max_sq: float = 0.35, seed: int = 42) -> DataFrame:
     """Q9: similar articles (ordered id list) for a deterministic sample."""
     sample = R.sample_n(vecs, n, seed)
-    nn = R.near(K.knn_exact(sample, vecs, k), max_sq)
+    nn = K.near_rows(sample, vecs, k, max_sq).where("id <> nid")
     return nn.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dist", "nid"))),
                                             lambda x: x["nid"]).alias("similar"))

@@ -10,6 +10,7 @@ from .. import schemas
 from ..functions.clean import clamp_epoch, parse_iso, to_iso, validate_news, with_dense_id
 from ..session import scratch_path
 
+LONG_MIN = -(2 ** 63)
 RAW_ARRAY_MAP = T.MapType(T.StringType(), T.ArrayType(schemas.RAW_NEWS))
 
 
@@ -20,31 +21,49 @@ def _scratch(spark: SparkSession, name: str, path: str | None) -> str:
 # SRC1 -----------------------------------------------------------------------
 def read_news(spark: SparkSession, path: str) -> DataFrame:
     """JSON Lines corpus with ISO timestamps -> NEWS rows (id kept if present)."""
-    sch = schemas.RAW_NEWS.add("id", T.LongType())
+    sch = T.StructType([*schemas.RAW_NEWS.fields, T.StructField("id", T.LongType())])
     raw = spark.read.schema(sch).json(path)
     return raw.select("id", "link", "text", "title", "source",
                       parse_iso("timestamp").alias("timestamp"), "refers_to")
 
 
 # SRC2 -----------------------------------------------------------------------
-def read_mixed_json(spark: SparkSession, root: str, lines_glob: str = "*.jsonl",
-                    whole_glob: str = "*.json") -> DataFrame:
-    """All ``*.jsonl`` (one record per line) and ``*.json`` files below root.
+def scan_mixed_json(spark: SparkSession, root: str, lines_glob: str = "*.jsonl",
+                    whole_glob: str = "*.json") -> tuple[DataFrame, DataFrame]:
+    """All ``*.jsonl`` (one record per line) and ``*.json`` files below root,
+    as (records, quarantine).
 
     A ``.json`` file whose object has exactly one top-level key holds a
     wrapped list of records; otherwise the object is one record.  Whole
-    files are read as text (one row per file) and decoded with ``from_json``
-    chosen by the number of top-level keys."""
-    lines = (spark.read.schema(schemas.RAW_NEWS)
-             .option("recursiveFileLookup", "true").option("pathGlobFilter", lines_glob).json(root))
+    files are read as text (one row per file, as their format asks) and
+    decoded with ``from_json`` chosen by the number of top-level keys.  Lines
+    and files that are no JSON object, and wrapped values that are no list of
+    records, go to the quarantine with their path and content."""
+    text = spark.read.option("recursiveFileLookup", "true")
+    lines = text.option("pathGlobFilter", lines_glob).text(root).select(
+        F.col("_metadata.file_path").alias("path"), "value").where(F.trim("value") != "")
+    lines = lines.withColumn("r", F.from_json("value", schemas.RAW_NEWS))
+    keys = F.json_object_keys("value")
     files = (spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
-             .option("pathGlobFilter", whole_glob).text(root))
-    nkeys = F.size(F.json_object_keys("value"))
-    wrapped = (files.filter(nkeys == 1)
-               .select(F.explode(F.map_values(F.from_json("value", RAW_ARRAY_MAP))).alias("l"))
-               .select(F.explode("l").alias("r")).select("r.*"))
-    single = files.filter(nkeys != 1).select(F.from_json("value", schemas.RAW_NEWS).alias("r")).select("r.*")
-    return lines.unionByName(wrapped).unionByName(single)
+             .option("pathGlobFilter", whole_glob).text(root)
+             .select(F.col("_metadata.file_path").alias("path"), "value").withColumn("n", F.size(keys)))
+    wrapped = files.where("n = 1").withColumn("l", F.element_at(F.map_values(F.from_json("value", RAW_ARRAY_MAP)), 1))
+    single = files.where("n > 1").withColumn("r", F.from_json("value", schemas.RAW_NEWS))
+    is_line = F.json_object_keys("value").isNotNull()
+    records = (lines.where(is_line).select("r.*")
+               .unionByName(wrapped.where("l is not null").select(F.explode("l").alias("r"))
+                            .where("r is not null").select("r.*"))
+               .unionByName(single.select("r.*")))
+    broken = (lines.where(~is_line).select("path", "value")
+              .unionByName(files.where("n is null or n < 1").select("path", "value"))
+              .unionByName(wrapped.where("l is null").select("path", "value")))
+    return records, broken
+
+
+def read_mixed_json(spark: SparkSession, root: str, lines_glob: str = "*.jsonl",
+                    whole_glob: str = "*.json") -> DataFrame:
+    """The records of ``scan_mixed_json``."""
+    return scan_mixed_json(spark, root, lines_glob, whole_glob)[0]
 
 
 # SRC3 -----------------------------------------------------------------------
@@ -72,7 +91,7 @@ def write_taxonomy(df: DataFrame, path: str) -> str:
 # SRC5 -----------------------------------------------------------------------
 def write_csv_by_date(df: DataFrame, path: str, ts_col: str = "timestamp") -> str:
     """One folder per calendar day (partition pruning on read)."""
-    (df.withColumn("date", F.to_date(F.col(ts_col))).write.mode("overwrite")
+    (df.withColumn("date", F.to_date(F.col(ts_col))).hint("rebalance", "date").write.mode("overwrite")
        .partitionBy("date").option("header", "true").csv(path))
     return path
 
@@ -126,42 +145,84 @@ def write_roles(roles: DataFrame, path: str) -> str:
     return path
 
 
+# Related-code map (JN4) -------------------------------------------------------
+def read_related_codes(spark: SparkSession, path: str) -> DataFrame:
+    """{code: [related codes]} objects, one per line -> edges (okved, related).
+    Codes are normalised: blanks dropped, one-digit sections padded, a final
+    full stop dropped."""
+    m = spark.read.text(path).select(
+        F.from_json("value", T.MapType(T.StringType(), T.ArrayType(T.StringType()))).alias("m"))
+    kv = m.select(F.explode("m").alias("k", "v")).select("k", F.explode("v").alias("v"))
+
+    def normal(c):
+        x = F.regexp_replace(F.regexp_replace(c, r"\s+", ""), r"\.$", "")
+        return F.regexp_replace(x, r"^([0-9])(\.|$)", "0$1$2")
+    return kv.select(normal(F.col("k")).alias("okved"), normal(F.col("v")).alias("related")).where(
+        "okved <> '' and related <> ''").distinct()
+
+
 # SRC9 -----------------------------------------------------------------------
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
 # SRC10 ----------------------------------------------------------------------
-def write_vectors(data_cells: DataFrame, nlist: int, nprobe: int, dims: int, path: str) -> str:
-    """Vectors partitioned by cell (a probe reads only its cells) plus a
-    one-row parameter table."""
-    data_cells.select("id", "vec", "cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/vectors")
+def write_vectors(data_cells: DataFrame, centers: DataFrame, nlist: int, nprobe: int, dims: int, path: str) -> str:
+    """Vectors partitioned by cell (a probe reads only its cells), the cells'
+    centres and a one-row parameter table.  Rows are rebalanced by cell first:
+    few files per cell, and a large cell is split over several tasks."""
+    (data_cells.select("id", "vec", "cell").hint("rebalance", "cell").write.mode("overwrite")
+     .partitionBy("cell").parquet(f"{path}/vectors"))
+    centers.select("cell", "vec").write.mode("overwrite").parquet(f"{path}/centers")
     spark = data_cells.sparkSession
     spark.createDataFrame([(nlist, nprobe, dims)], "nlist long, nprobe long, dims long") \
         .write.mode("overwrite").parquet(f"{path}/params")
     return path
 
 
-def read_vectors(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/vectors"), spark.read.parquet(f"{path}/params")
+def read_vectors(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(vectors with their cell, centres, parameters)."""
+    vecs = spark.read.parquet(f"{path}/vectors").withColumn("cell", F.col("cell").cast("long"))
+    return vecs, spark.read.parquet(f"{path}/centers"), spark.read.parquet(f"{path}/params")
 
 
 # SRC11 ----------------------------------------------------------------------
-def append_news(new_rows: DataFrame, table_path: str, spark: SparkSession | None = None) -> DataFrame:
+def stored_batches(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the ``batch=<number>`` folders; none when there is no table."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(p)]
+    return [int(x[6:]) for x in names if x.startswith("batch=")]
+
+
+def append_news(new_rows: DataFrame, table_path: str, spark: SparkSession | None = None,
+                batch: int | None = None) -> DataFrame:
     """Validate, give ids after the current maximum, append; returns the
-    stored rows (with ids).  Invalid rows are dropped (see validate_news)."""
+    stored rows (with ids).
+
+    Every append is a folder of its own, ``batch=<number>``, written in
+    overwrite mode: a batch that is written again (a replayed epoch) takes its
+    former place and the ids after the batches before it.  Invalid rows go to
+    ``<table>_rejected`` in the same way, with their reason.  Only a missing
+    table counts as empty; one that cannot be read is an error."""
     spark = spark or new_rows.sparkSession
-    good, _bad = validate_news(new_rows.drop("id") if "id" in new_rows.columns else new_rows)
-    try:
-        cur = spark.read.parquet(table_path)
-        start = cur.select(F.coalesce(F.max("id") + 1, F.lit(0))).first()[0]
-    except Exception:  # first append: no table yet
-        start = 0
-    with_ids = with_dense_id(good, ["link", "timestamp"], "_n")
-    stored = with_ids.withColumn("id", (F.col("_n") + F.lit(start)).cast("long")).drop("_n")
+    good, bad = validate_news(new_rows.drop("id") if "id" in new_rows.columns else new_rows)
+    known = stored_batches(spark, table_path)
+    batch = max(known, default=-1) + 1 if batch is None else batch
+    start = 0
+    for b in sorted((b for b in known if b < batch), reverse=True):  # ids rise with the batch
+        top = spark.read.schema(schemas.NEWS).parquet(f"{table_path}/batch={b}").agg(F.max("id")).first()[0]
+        if top is not None:
+            start = top + 1
+            break
+    with_ids = with_dense_id(good, ["link", "timestamp", "title", "source", "text"], "_n")
+    stored = with_ids.withColumn("id", (F.col("_n") + F.lit(start)).cast("long"))
     stored = stored.select([f.name for f in schemas.NEWS.fields])
-    stored.write.mode("append").parquet(table_path)
-    return spark.read.parquet(table_path).filter(F.col("id") >= start)
+    stored.write.mode("overwrite").parquet(f"{table_path}/batch={batch}")
+    bad.write.mode("overwrite").parquet(f"{table_path.rstrip('/')}_rejected/batch={batch}")
+    return spark.read.schema(stored.schema).parquet(f"{table_path}/batch={batch}")
 
 
 # SRC12 ----------------------------------------------------------------------
@@ -184,10 +245,11 @@ def merge_profiles(current: DataFrame | None, changes: DataFrame) -> DataFrame:
             ch = ch.withColumn(c, F.lit(None).cast(t))
     if current is not None:
         base = current.select(
-            "id", F.lit(-1).cast("long").alias("seq"), "state", "chat_id", "last_message_id",
-            F.lit(None).cast("string").alias("add_okved"), F.lit(True).alias("reset_okveds"))
-        seeded = current.select("id", F.lit(-1).cast("long").alias("seq"),
-                                F.explode_outer("okveds").alias("add_okved"))
+            "id", F.lit(LONG_MIN).cast("long").alias("seq"), "state", "chat_id", "last_message_id",
+            F.lit(None).cast("string").alias("add_okved"), F.lit(None).cast("boolean").alias("reset_okveds"))
+        # stored codes come before every change, in their stored order
+        seeded = current.select("id", F.posexplode("okveds").alias("p", "add_okved")).select(
+            "id", (F.lit(LONG_MIN + 1) + F.col("p")).alias("seq"), "add_okved")
         ch = ch.select(base.columns).unionByName(base).unionByName(
             seeded.select("id", "seq", F.lit(None).cast("string").alias("state"),
                           F.lit(None).cast("int").alias("chat_id"),
@@ -204,6 +266,9 @@ def merge_profiles(current: DataFrame | None, changes: DataFrame) -> DataFrame:
         F.collect_list(F.when(F.col("add_okved").isNotNull(), F.struct("seq", "add_okved"))).alias("_adds"),
         F.max("seq").alias("seq"))
     kept = F.filter("_adds", lambda x: F.coalesce(x["seq"] >= F.col("_reset"), F.col("_reset").isNull()))
+    if current is not None:  # without a change, the stored number stays
+        agg = agg.join(current.select("id", F.col("seq").alias("_stored")), "id", "left").withColumn(
+            "seq", F.greatest("seq", "_stored"))
     return agg.select("id", "seq", "chat_id", F.coalesce("state", F.lit("NEW")).alias("state"),
                       "last_message_id",
                       F.transform(F.array_sort(kept), lambda x: x["add_okved"]).alias("okveds"))
@@ -212,6 +277,6 @@ def merge_profiles(current: DataFrame | None, changes: DataFrame) -> DataFrame:
 # SRC14 ----------------------------------------------------------------------
 def write_landing(df: DataFrame, path: str, ts_col: str = "timestamp", mode: str = "append") -> str:
     """Append-only landing zone partitioned by source and day."""
-    (df.withColumn("date", F.to_date(F.col(ts_col))).write.mode(mode)
+    (df.withColumn("date", F.to_date(F.col(ts_col))).hint("rebalance", "source", "date").write.mode(mode)
        .partitionBy("source", "date").json(path))
     return path

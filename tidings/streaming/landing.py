@@ -3,8 +3,9 @@
 New crawler files (JSON Lines records) are picked up by ``readStream``,
 cleaned with the same row-local expressions as the batch build, and each
 micro-batch is appended to the corpus table with ids after the current
-maximum (``append_news``).  The stream checkpoint lives in the shared
-checkpoint folder, so a restarted query resumes exactly where it stopped.
+maximum (``append_news``), in a folder named by its epoch: an epoch that is run
+again after a failure overwrites its own rows.  The stream checkpoint lives in
+the shared checkpoint folder.
 """
 
 from __future__ import annotations
@@ -38,20 +39,8 @@ def stream_corpus(spark: SparkSession, landing_dir: str, table_path: str, checkp
     cleaned = clean_records(raw)
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        append_news(batch, table_path, spark)
+        append_news(batch, table_path, spark, batch=epoch_id)
 
     w = cleaned.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
-
-
-def daily_counts_stream(spark: SparkSession, landing_dir: str, glob: str = "*.json",
-                        watermark: str = "2 days") -> DataFrame:
-    """Articles per (source, day) with a watermark on the article time, for
-    monitoring the landing zone; late records beyond the watermark are
-    dropped by the state store."""
-    raw = (spark.readStream.schema(schemas.RAW_NEWS).option("recursiveFileLookup", "true")
-           .option("pathGlobFilter", glob).json(landing_dir))
-    ts = CL.parse_iso("timestamp").cast("timestamp")
-    return (raw.withColumn("ts", ts).withWatermark("ts", watermark)
-            .groupBy("source", F.window("ts", "1 day")).agg(F.count(F.lit(1)).alias("n")))
