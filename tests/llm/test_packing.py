@@ -64,17 +64,19 @@ def test_small_sequences(spark, tokenizer):
 def test_cached_words_give_the_same_ids(tokenizer, text):
     cache = P._cache(public_tokenizers.path("byte_bpe_50k.json"))
     want = tokenizer.encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(cache.encode(text), "<u4").tolist() == want
+    got = cache.encode_many([text, "", text + " x"])
+    assert np.frombuffer(got[0], "<u4").tolist() == want and got[1] == b""
 
 
 def test_a_full_cache_gives_the_same_ids(tokenizer, monkeypatch):
     monkeypatch.setattr(P, "CACHE_WORDS", 40)
+    monkeypatch.setattr(P, "SLICE_CHARS", 30)
     cache = P.WordCache(public_tokenizers.path("byte_bpe_50k.json"))
     for k in range(5):
-        text = " ".join(f"word{i * (k + 1)}." for i in range(100))
-        assert np.frombuffer(cache.encode(text), "<u4").tolist() == tokenizer.encode(
+        text = "\n".join(" ".join(f"word{i * (k + 1) + j}." for i in range(20)) for j in range(5))
+        assert np.frombuffer(cache.encode_many([text])[0], "<u4").tolist() == tokenizer.encode(
             text, add_special_tokens=False).ids
-        assert len(cache.ids) <= 60
+        assert len(cache.first) + len(cache.after) <= 80
 
 
 @settings(max_examples=60, deadline=None)

@@ -35,68 +35,142 @@ from tidings.llm.common import documents, stage, text_of
 SEQUENCE = 2048
 END_ID = 0
 RANK_ROWS = 50_000
-#: Words whose ids a Python worker remembers, and bytes of new words per call.
-CACHE_WORDS = 600_000
+#: Words whose ids a Python worker remembers, half of them without a blank before.
+CACHE_WORDS = 3_000_000
+#: Text that is cut into words at once.
+SLICE_CHARS = 1 << 16
 _VOCABULARY = "byte_bpe_50k.json"
 
 
 class WordCache:
-    """Token ids (little-endian 32-bit) of words with the blank before them.
+    """Token ids (little-endian 32-bit) of words, each learnt once per worker.
 
-    A blank after a character that is not white space always begins a new
-    word of the byte-level pattern, so a text's ids are the ids of its parts
-    between such blanks, and each distinct part is tokenised once per worker.
+    The byte-level pattern begins a new word at white space that follows
+    another character, and takes a line break between two other characters as a
+    word of its own.  So a text's ids are the ids of its parts cut before
+    such blanks and around such line breaks; a part with the blank before it
+    is kept in ``after``, one without in ``first``.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.ids: dict[str, bytes] = {}
-
-    def _encode(self, parts: list[str]) -> None:
-        for part, e in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)):
-            self.ids[part] = np.array(e.ids, "<u4").tobytes()
-
-    def _learn(self, parts: set[str]) -> None:
-        """A final full stop or comma after a letter is a word of its own."""
-        if len(self.ids) + len(parts) > CACHE_WORDS:
-            self.ids.clear()
-        ends = {p: p[:-1] for p in parts if p[-1:] in (".", ",") and p[-2:-1].isalpha()}
-        bare = {ends.get(p, p) for p in parts} | {p[-1] for p in ends}
-        self._encode([p for p in bare if p not in self.ids])
-        for p, stem in ends.items():
-            self.ids[p] = self.ids[stem] + self.ids[p[-1]]
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        parts = _parts(text)
+        self.line = self._ids("\n")
+        self.first: dict[str, bytes] = {}
+        self.after: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def _learn(self, known: dict[str, bytes], words: set[str], before: str) -> None:
+        """Words without white space, many at once: one per line, and the line
+        breaks' id parts them again.  A final full stop or comma after a letter
+        is a word of its own."""
+        words = {w for w in words if w and w not in known}
+        ends = {w: w[:-1] for w in words if w[-1] in ".," and w[-2:-1].isalpha()}
+        new = [w for w in {ends.get(w, w) for w in words} if w not in known]
+        for i in range(0, len(new), 4096):
+            some = new[i:i + 4096]
+            ids = np.frombuffer(self._ids("\n".join([before + w for w in some])), "<u4")
+            at = np.flatnonzero(ids == np.frombuffer(self.line, "<u4")[0]).tolist()
+            data = ids.tobytes()
+            for w, lo, hi in zip(some, [0, *[x + 1 for x in at]], [*at, len(ids)]):
+                known[w] = data[4 * lo:4 * hi]
+        marks = {m: self._ids(m) for m in ".,"} if ends else {}
+        for w, stem in ends.items():
+            known[w] = known[stem] + marks[w[-1]]
+
+    def _prepare(self, firsts: set[str], afters: set[str]) -> None:
+        for known, words, before in ((self.first, firsts, ""), (self.after, afters, " ")):
+            if not all(map(known.__contains__, words)):
+                if len(known) > CACHE_WORDS // 2:
+                    known.clear()
+                self._learn(known, words, before)
+
+    def _slices(self, slices: list[str]) -> list[bytes]:
+        """Ids of regular slices: pieces of texts that begin at the start of a
+        text or with the blank at which they were cut."""
+        cut = [[line.split(" ") for line in text.split("\n")] for text in slices]
+        self.first[""] = b""  # the empty text, and what stands before a cut
         try:
-            return b"".join(map(self.ids.__getitem__, parts))
+            return self._known(cut)
         except KeyError:
-            out = []
-            for i in range(0, len(parts), CACHE_WORDS // 4):
-                some = parts[i:i + CACHE_WORDS // 4]
-                new = {p for p in some if p not in self.ids}
-                if len(self.ids) + 2 * len(new) > CACHE_WORDS:
-                    new = set(some)
-                self._learn(new)
-                out += map(self.ids.__getitem__, some)
-            return b"".join(out)
+            words = [w for lines in cut for w in lines]
+            self._prepare({w[0] for w in words}, set().union(*[w[1:] for w in words]))
+            self.first[""] = b""
+            return self._known(cut)
+
+    def _known(self, cut: list[list[list[str]]]) -> list[bytes]:
+        first, after = self.first.__getitem__, self.after.__getitem__
+        return [self.line.join([first(w[0]) + b"".join(map(after, w[1:])) for w in lines]) for lines in cut]
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Ids of every text, about ``SLICE_CHARS`` of text at a time."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        held, size = [], 0
+
+        def flush():
+            nonlocal held, size
+            for (i, _), ids in zip(held, self._slices([x for _, x in held])):
+                out[i].append(ids)
+            held, size = [], 0
+
+        for i, text in enumerate(texts):
+            if _irregular(text):
+                flush()
+                out[i] = [self._part(p) for p in _parts(text)]
+                continue
+            start = 0
+            while start < len(text):
+                end = text.find(" ", start + SLICE_CHARS) if len(text) - start > SLICE_CHARS else -1
+                end = len(text) if end < 0 else end
+                held.append((i, text[start:end]))
+                size, start = size + end - start, end
+                if size >= SLICE_CHARS:
+                    flush()
+        flush()
+        return [b"".join(x) for x in out]
+
+    def _part(self, part: str) -> bytes:
+        """Ids of a part of an irregular text; those with white space inside
+        are tokenised as they stand."""
+        blank = part[0] == " "
+        word = part[blank:]
+        if not word or len(word) > 64 or any(c.isspace() for c in word):
+            return self._ids(part)
+        self._prepare(set() if blank else {word}, {word} if blank else set())
+        return (self.after if blank else self.first)[word]
+
+
+#: White space other than blanks and line breaks, by any definition.
+_OTHER_SPACE = ("\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+                "\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
+def _irregular(text: str) -> bool:
+    """Whether a blank or line break has white space beside it, or begins or
+    ends the text, or there is other white space."""
+    return (text[:1] in (" ", "\n") or text[-1:] in (" ", "\n")) and text != "" or any(
+        x in text for x in ("  ", " \n", "\n ", "\n\n")) or any(c in text for c in _OTHER_SPACE)
 
 
 def _parts(text: str) -> list[str]:
     """``text`` cut before every blank that stands between two characters
     which are not white space."""
-    words = text.split(" ")
-    parts, open_part = [words[0]], ""
-    for w in words[1:]:
-        last = parts[-1][-1:]
-        if w and last and not last.isspace() and not w[0].isspace():
-            parts.append(" " + w)
-        else:
-            parts[-1] += " " + w
+    parts: list[str] = []
+    run: list[str] = []
+    for i, w in enumerate(text.split(" ")):
+        if i:
+            last = run[-1][-1:]
+            if w and last and not last.isspace() and not w[0].isspace():
+                parts.append("".join(run))
+                run = [" " + w]
+                continue
+            run.append(" ")
+        if w or not run:
+            run.append(w)
+    parts.append("".join(run))
     return [p for p in parts if p]
 
 
@@ -120,11 +194,11 @@ def token_pieces(docs: DataFrame, vocabulary: str = _VOCABULARY, sequence: int =
     ``length``, ``ids_crc32`` and, if wanted, the token ``ids`` themselves.
     ``vocabulary`` is a file of the tokenizer package or a path."""
     def run(batches):
-        encode = _cache(_vocabulary(vocabulary)).encode
+        encode = _cache(_vocabulary(vocabulary)).encode_many
         for b in batches:
             out: list[list] = [[], [], [], [], [], []]
-            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
-                data = encode(t.as_py()) + END_ID.to_bytes(4, "little")
+            for i, data in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist())):
+                data += END_ID.to_bytes(4, "little")
                 n = len(data) // 4
                 first = n % sequence or sequence
                 start, piece, length = 0, 0, min(first, n)
