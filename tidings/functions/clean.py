@@ -255,14 +255,13 @@ def validate_news(df: DataFrame, required=("link", "text", "title", "source", "t
 def clean_text(cols: list, keep: str = RU_KEEP, stop: list[str] = RU_STOPWORDS) -> Column:
     """Lower-case, letters outside ``keep`` -> space, fields joined with a
     space, stop words dropped, hyphens split, spaces squeezed."""
-    keep_class = "[^" + keep.replace("\\", "\\\\").replace("]", "\\]").replace("-", "\\-") + "]"
-    fields = [F.regexp_replace(F.lower(_c(c)), keep_class, " ") for c in cols]
-    joined = F.concat_ws(" ", *fields)
-    words = F.filter(F.split(F.trim(joined), " +"), lambda w: w != "")
-    stop_arr = F.array(*[F.lit(s) for s in stop]) if stop else F.array().cast("array<string>")
-    kept = F.filter(words, lambda w: ~F.array_contains(stop_arr, w))
-    out = F.regexp_replace(F.array_join(kept, " "), "-", " ")
-    return F.trim(F.regexp_replace(out, " +", " "))
+    chars = keep.replace("\\", "\\\\").replace("]", "\\]").replace("-", "\\-").replace(" ", "")
+    fields = [F.lower(_c(c)) for c in cols]
+    words = F.split(F.concat_ws(" ", *fields), f"[^{chars}]+")
+    drop = ["", *stop]
+    joined = F.array_join(F.filter(words, lambda w: ~w.isin(drop)), " ")
+    hyphens = F.trim(F.regexp_replace(F.replace(joined, F.lit("-"), F.lit(" ")), " +", " "))
+    return F.when(F.contains(joined, F.lit("-")), hyphens).otherwise(joined)
 
 
 def flatten_taxonomy(keep: str = RU_KEEP, stop: list[str] = RU_STOPWORDS) -> Column:

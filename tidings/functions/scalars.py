@@ -1,6 +1,6 @@
 """Scalar Column -> Column functions (FN1-FN12).
 
-All are built-in expressions so they stay inside whole-stage codegen.
+All are built-in expressions so they stay as native expressions.
 """
 
 from __future__ import annotations
@@ -63,20 +63,25 @@ def drop_empty(arr) -> Column:
 
 
 WORD_RUN_PATTERN = r"[\p{L}\p{N}_]+"
+LETTER_RUN_PATTERN = r"(?<![\p{L}\p{N}_])\p{L}[\p{L}\p{N}_]+"
 
 
 def clean_tokens(text, yo_to_latin_e: bool = True) -> Column:
     """FN3 + FN4 + FN5 in one pass: text -> cleaned non-empty tokens.
 
     Punctuation runs always clean to '' and are dropped, so only word runs
-    are extracted; inside a word run the only junk character is '_', so
-    the regex work per token reduces to one first-letter test."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(_c(text), F.lit(""))), F.lit(WORD_RUN_PATTERN), 0)
+    are extracted.  Inside a word run the only junk character is '_'; a text
+    without any (nearly all) needs one pattern for runs of two or more
+    characters that begin with a letter, and no step per token."""
+    low = F.lower(F.coalesce(_c(text), F.lit("")))
     src, dst = ("_ё", " e") if yo_to_latin_e else ("_", " ")
-    cleaned = F.transform(words, lambda t: F.when(
+    plain = F.regexp_extract_all(F.translate(low, src[1:], dst[1:]) if yo_to_latin_e else low,
+                                 F.lit(LETTER_RUN_PATTERN), F.lit(0))
+    words = F.transform(F.regexp_extract_all(low, F.lit(WORD_RUN_PATTERN), F.lit(0)), lambda t: F.when(
         F.instr(t, "_") > 0, F.trim(F.regexp_replace(F.translate(t, src, dst), " +", " ")))
         .otherwise(F.translate(t, src, dst)))
-    return F.filter(cleaned, lambda w: (F.length(w) > 1) & w.rlike(r"^\p{L}"))
+    slow = F.filter(words, lambda w: (F.length(w) > 1) & w.rlike(r"^\p{L}"))
+    return F.when(F.instr(low, "_") > 0, slow).otherwise(plain)
 
 
 # FN6-FN8: dense vectors stored as array<float> --------------------------------

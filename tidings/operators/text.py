@@ -7,12 +7,14 @@ from Spark ML (HashingTF, Word2Vec, CountVectorizer, LDA).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clean_tokens, l2_normalize
 from ..functions.wordlists import TOPIC_NAMES
-from ..session import cut_lineage
+from ..session import stage_table
 
 
 def token_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -81,15 +83,25 @@ def bigrams(td: DataFrame) -> DataFrame:
 def fit_phrases(td: DataFrame, min_count: int = 20, threshold: float = 10.0) -> DataFrame:
     """Phrase model: (a, b, phrase, score) for pairs with
     score = (n_ab - min_count) / (n_a * n_b) * |vocab| > threshold,
-    where |vocab| counts distinct unigrams and bigrams (Mikolov et al. 2013)."""
-    td = cut_lineage(td.select("doc_id", "tokens"))  # read four times below
-    uni = cut_lineage(td.select(F.explode("tokens").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")))
-    bi = cut_lineage(bigrams(td).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_ab")))
-    vocab = uni.select(F.count(F.lit(1))).scalar() + bi.select(F.count(F.lit(1))).scalar()
+    where |vocab| counts distinct unigrams and bigrams (Mikolov et al. 2013).
+
+    Only counts above ``min_count`` can score; the others are counted for
+    |vocab| while the aggregates are written and go no further."""
+    if threshold < 0:
+        raise ValueError("threshold must not be negative")
+
+    def frequent(counts: DataFrame, n: str, name: str) -> tuple[DataFrame, int]:
+        seen = Observation()
+        kept = stage_table(counts.observe(seen, F.count(F.lit(1)).alias("n")).where(F.col(n) > min_count), name)
+        return kept, seen.get["n"]
+
+    uni, n_uni = frequent(td.select(F.explode("tokens").alias("w")).groupBy("w").agg(
+        F.count(F.lit(1)).alias("n")), "n", "unigrams")
+    bi, n_bi = frequent(bigrams(td).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_ab")), "n_ab", "bigrams")
     ua = uni.select(F.col("w").alias("a"), F.col("n").alias("n_a"))
     ub = uni.select(F.col("w").alias("b"), F.col("n").alias("n_b"))
-    scored = (bi.join(ua, "a").join(ub, "b")
-              .withColumn("score", (F.col("n_ab") - F.lit(float(min_count))) / (F.col("n_a") * F.col("n_b")) * vocab))
+    scored = (bi.join(ua, "a").join(ub, "b").withColumn(
+        "score", (F.col("n_ab") - F.lit(float(min_count))) / (F.col("n_a") * F.col("n_b")) * F.lit(n_uni + n_bi)))
     return (scored.filter(F.col("score") > threshold)
             .select("a", "b", F.concat("a", F.lit("_"), "b").alias("phrase"), "score", "n_ab"))
 
@@ -99,34 +111,32 @@ def apply_phrases(td: DataFrame, phrases: DataFrame, mode: str = "replace") -> D
     """Greedy left-to-right phrase joining (a pair is joined unless its first
     token was already consumed by the previous phrase).
 
-    Relational form: candidate positions come from a join with the phrase
-    table; in a run of consecutive candidates every second one is taken
-    (run start found with a window over candidate positions of one document);
-    tokens are re-assembled per document.  mode 'append' keeps the original
-    tokens and appends the phrase tokens."""
+    Candidate positions come from a join with the phrase table; in a run of
+    consecutive candidates every second one is taken (run start found with a
+    window over the candidates of one document).  The taken positions go back
+    to the document as one array and its tokens are cut at them, so tokens
+    are shuffled once, as arrays.  mode 'append' keeps the original tokens and
+    appends the phrase tokens."""
     ph = phrases.select("a", "b").distinct()
     cand = bigrams(td).join(ph, ["a", "b"], "left_semi").select("doc_id", "pos")
     w = Window.partitionBy("doc_id").orderBy("pos")
     runs = (cand.withColumn("_start", F.when(F.lag("pos").over(w) == F.col("pos") - 1, F.lit(None))
                             .otherwise(F.col("pos")))
             .withColumn("_start", F.last("_start", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))))
-    taken = runs.filter((F.col("pos") - F.col("_start")) % 2 == 0).select("doc_id", "pos")
-    toks = token_rows(td)
-    nxt = toks.select("doc_id", (F.col("pos") - 1).alias("pos"), F.col("token").alias("_next"))
-    skip = taken.select("doc_id", (F.col("pos") + 1).alias("pos"), F.lit(True).alias("_skip"))
-    out = (toks.join(taken.withColumn("_take", F.lit(True)), ["doc_id", "pos"], "left")
-           .join(nxt, ["doc_id", "pos"], "left").join(skip, ["doc_id", "pos"], "left")
-           .filter(F.col("_skip").isNull())
-           .select("doc_id", "pos", F.when(F.col("_take"), F.concat("token", F.lit("_"), "_next"))
-                   .otherwise(F.col("token")).alias("tok")))
-    merged = out.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "tok"))).alias("_l"))
-    phrased = merged.select("doc_id", F.transform("_l", lambda x: x["tok"]).alias("phrased"))
-    res = td.join(phrased, "doc_id", "left").withColumn(
-        "phrased", F.coalesce("phrased", F.array().cast("array<string>")))
+    taken = (runs.filter((F.col("pos") - F.col("_start")) % 2 == 0)
+             .groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("_at")))
+    res = td.join(taken, "doc_id", "left").withColumn("_at", F.coalesce("_at", F.array().cast("array<int>")))
+    begin = lambda i: F.when(i == 0, 0).otherwise(F.element_at("_at", F.greatest(i, F.lit(1))) + 2)
+    joined = lambda p: F.concat(F.element_at("tokens", p + 1), F.lit("_"), F.element_at("tokens", p + 2))
+    cut = F.flatten(F.transform("_at", lambda p, i: F.concat(
+        F.slice("tokens", begin(i) + 1, p - begin(i)), F.array(joined(p)))))
+    end = begin(F.size("_at"))
+    phrased = F.when(F.size("_at") == 0, F.col("tokens")).otherwise(
+        F.concat(cut, F.slice("tokens", end + 1, F.greatest(F.size("tokens") - end, F.lit(0)))))
     if mode == "replace":
-        return res.select("doc_id", F.col("phrased").alias("tokens"))
+        return res.select("doc_id", phrased.alias("tokens"))
     if mode == "append":
-        return res.select("doc_id", F.concat("tokens", F.filter("phrased", lambda t: t.contains("_"))).alias("tokens"))
+        return res.select("doc_id", F.concat("tokens", F.transform("_at", joined)).alias("tokens"))
     raise ValueError("mode must be 'replace' or 'append'")
 
 
@@ -144,24 +154,20 @@ def fit_word2vec(td: DataFrame, size: int = 100, window: int = 5, min_count: int
 
 
 # AGG13 -----------------------------------------------------------------------------
-def _sum_vectors(df: DataFrame, key: str, vec_col: str, dims: int, weight: Column | None = None) -> DataFrame:
-    """Element-wise vector sums per key as ``dims`` primitive sum aggregates:
-    hash aggregation with map-side partial sums and generated code (an
-    object aggregate would fall back to sorting with many keys)."""
-    w = (lambda i: F.col(vec_col)[i].cast("double")) if weight is None else \
-        (lambda i: F.col(vec_col)[i].cast("double") * weight)
-    aggs = [F.sum(w(i)).alias(f"_s{i}") for i in range(dims)]
-    out = df.groupBy(key).agg(F.count(F.lit(1)).alias("_cnt"), *aggs)
-    return out.select(key, "_cnt", F.array(*[F.col(f"_s{i}") for i in range(dims)]).alias("_sum"))
+def token_counts(td: DataFrame) -> DataFrame:
+    """(doc_id, token, n): every distinct token of a document once."""
+    return td.select("doc_id", F.explode("tokens").alias("token")).groupBy("doc_id", "token").agg(
+        F.count(F.lit(1)).alias("n"))
 
 
 def doc_vector(td: DataFrame, word_vectors: DataFrame, dims: int) -> DataFrame:
-    """Mean of unit word vectors over in-vocabulary tokens (every occurrence);
-    the zero vector when none is known."""
+    """Mean of unit word vectors over in-vocabulary tokens (every occurrence,
+    joined once per distinct token); the zero vector when none is known."""
     wv = word_vectors.select(F.col("word").alias("token"), l2_normalize("vec", as_float=False).alias("u"))
-    hits = token_rows(td).join(wv, "token")
-    sums = _sum_vectors(hits, "doc_id", "u", dims)
-    means = sums.select("doc_id", F.transform("_sum", lambda x: x / F.col("_cnt")).alias("dvec"))
+    hits = token_counts(td).join(wv, "token")
+    sums = hits.groupBy("doc_id").agg(F.sum("n").alias("_cnt"), *[
+        F.sum(F.col("u")[i] * F.col("n")).alias(f"_s{i}") for i in range(dims)])
+    means = sums.select("doc_id", F.array(*[F.col(f"_s{i}") / F.col("_cnt") for i in range(dims)]).alias("dvec"))
     zero = F.array_repeat(F.lit(0.0).cast("double"), dims)
     return td.select("doc_id").join(means, "doc_id", "left").withColumn("dvec", F.coalesce("dvec", zero))
 
@@ -171,10 +177,11 @@ def mean_pool(tok_vecs: DataFrame, doc_col: str = "doc_id", vec_col: str = "vec"
               dims: int | None = None) -> DataFrame:
     """sum(mask * x) / max(sum(mask), 1e-9) per document (AGG14)."""
     if dims is not None:
-        s = _sum_vectors(tok_vecs, doc_col, vec_col, dims, F.col(mask_col).cast("double"))
-        n = tok_vecs.groupBy(doc_col).agg(F.sum(F.col(mask_col).cast("double")).alias("_n"))
-        return s.join(n, doc_col).select(
-            doc_col, F.transform("_sum", lambda x: x / F.greatest(F.col("_n"), F.lit(1e-9))).alias("pooled"))
+        m = F.col(mask_col).cast("double")
+        s = tok_vecs.groupBy(doc_col).agg(F.sum(m).alias("_n"), *[
+            F.sum(F.col(vec_col)[i].cast("double") * m).alias(f"_s{i}") for i in range(dims)])
+        n = F.greatest(F.col("_n"), F.lit(1e-9))
+        return s.select(doc_col, F.array(*[F.col(f"_s{i}") / n for i in range(dims)]).alias("pooled"))
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
     masked = tok_vecs.select(doc_col, F.col(mask_col).cast("double").alias("_m"),
@@ -185,22 +192,36 @@ def mean_pool(tok_vecs: DataFrame, doc_col: str = "doc_id", vec_col: str = "vec"
 
 
 # RNK7 / TXT4 ------------------------------------------------------------------------
+def _best_tokens(n: int):
+    """One document's distinct tokens with their unit vectors, counts and last
+    ``n`` positions: mean vector, cosines, the n best occurrences as a set."""
+    def run(key, table):
+        u = np.asarray(table["u"].combine_chunks().flatten(), dtype=np.float64).reshape(table.num_rows, -1)
+        mean = (u * np.asarray(table["n"])[:, None]).sum(axis=0) / np.asarray(table["n"]).sum()
+        norm = np.sqrt((mean * mean).sum())
+        cos = np.round(u @ mean / norm, 12) if norm else np.zeros(len(u))
+        last = table["last"].to_pylist()
+        occ = sorted(((-c, -p, i) for i, (c, ps) in enumerate(zip(cos, last)) for p in ps))[:n]
+        words = table["token"].to_pylist()
+        found = sorted({words[i] for _, _, i in occ})
+        return pa.table({"doc_id": pa.array([key[0].as_py()], pa.int64()),
+                         "keywords": pa.array([found], pa.list_(pa.string()))})
+    return run
+
+
 def keywords(td: DataFrame, word_vectors: DataFrame, dims: int, n: int = 5) -> DataFrame:
     """Top-n token occurrences by cosine to the document vector (duplicates
     consume slots, ties -> later position), returned as a sorted set; a
-    document without known tokens keeps its raw tokens."""
-    td = cut_lineage(td.select("doc_id", "tokens"))  # read three times below
-    dv = doc_vector(td, word_vectors, dims)
-    # unit vectors once per word and once per document: one dot product per
-    # occurrence instead of three array passes
-    from ..functions.scalars import dot
-    wv = word_vectors.select(F.col("word").alias("token"), l2_normalize("vec", as_float=False).alias("wu"))
-    du = dv.select("doc_id", l2_normalize("dvec", as_float=False).alias("du"))
-    occ = token_rows(td).join(wv, "token").join(du, "doc_id")
-    occ = occ.withColumn("cos", dot("du", "wu"))
-    w = Window.partitionBy("doc_id").orderBy(F.desc("cos"), F.desc("pos"))
-    top = occ.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n)
-    kw = top.groupBy("doc_id").agg(F.array_sort(F.collect_set("token")).alias("keywords"))
+    document without known tokens keeps its raw tokens.
+
+    A vector is joined once per (document, distinct token), with the token's
+    count and its last ``n`` positions - no earlier occurrence can be among
+    the best n - and a document's rows are scored together."""
+    wv = word_vectors.select(F.col("word").alias("token"), l2_normalize("vec", as_float=False).alias("u"))
+    occ = token_rows(td).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"), F.slice(
+        F.sort_array(F.collect_list("pos"), asc=False), 1, n).alias("last"))
+    kw = (occ.join(wv, "token").groupBy("doc_id")
+          .applyInArrow(_best_tokens(n), "doc_id long, keywords array<string>"))
     return (td.join(kw, "doc_id", "left")
             .select("doc_id", F.coalesce("keywords", F.col("tokens")).alias("keywords")))
 
@@ -238,18 +259,20 @@ def sentence_vector(df: DataFrame, flat_col: Column, id_col: str = "id", **kw) -
 # TXT5-TXT10 (topic model) --------------------------------------------------------------
 def fit_topics(td: DataFrame, k: int = 10, no_below: int = 3, no_above: float = 0.5,
                max_iter: int = 20, seed: int = 42):
-    """Dictionary (CountVectorizer with document-frequency limits) + online
-    LDA with a learned document prior.  Returns (cv_model, lda_model)."""
+    """Dictionary (TXT5 on AGG8) + online LDA with a learned document prior.
+    Returns (cv_model, lda_model).
+
+    Every iteration sees every document, and the dictionary is not cut: all
+    kept terms are used.  Spark ML keeps the k x terms topic matrix and the
+    terms on the driver; the term prior stays fixed, it cannot learn it."""
     from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizer
-    n = td.count()
-    cv = CountVectorizer(inputCol="tokens", outputCol="features", minDF=float(no_below),
-                         maxDF=float(max(1, int(no_above * n))))
-    cvm = cv.fit(td)
-    bow = cvm.transform(td)
+    from pyspark.ml.feature import CountVectorizerModel
+    terms = filter_extremes(doc_freq(td), td.count(), no_below, no_above)
+    vocabulary = [r["term"] for r in terms.orderBy(F.desc("df"), "term").select("term").collect()]
+    cvm = CountVectorizerModel.from_vocabulary(vocabulary or [""], inputCol="tokens", outputCol="features")
     lda = LDA(k=k, maxIter=max_iter, optimizer="online", optimizeDocConcentration=True, seed=seed,
-              featuresCol="features")
-    return cvm, lda.fit(bow)
+              subsamplingRate=1.0, featuresCol="features")
+    return cvm, lda.fit(stage_table(cvm.transform(td).select("doc_id", "features"), "bags"))
 
 
 def assign_topic(td: DataFrame, cvm, lda_model, names: list[str] = TOPIC_NAMES) -> DataFrame:
@@ -278,15 +301,20 @@ def topic_terms(cvm, lda_model, n: int = 10) -> DataFrame:
             .join(vocab, "term_idx"))
 
 
+def doc_lengths(td: DataFrame) -> DataFrame:
+    return td.select("doc_id", F.size("tokens").alias("length"))
+
+
+def term_frequencies(td: DataFrame) -> DataFrame:
+    return td.select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
+
+
 def topic_summary(td: DataFrame, cvm, lda_model) -> dict[str, DataFrame]:
     """TXT10: topic-term, doc-topic, document lengths, term frequencies."""
     from pyspark.ml.functions import vector_to_array
-    bow = cvm.transform(td)
-    doc_topic = lda_model.transform(bow).select("doc_id", vector_to_array("topicDistribution").alias("mix"))
-    lengths = td.select("doc_id", F.size("tokens").alias("length"))
-    tf = td.select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
+    doc_topic = lda_model.transform(cvm.transform(td)).select("doc_id", vector_to_array("topicDistribution").alias("mix"))
     return {"topic_term": topic_terms(cvm, lda_model, 30), "doc_topic": doc_topic,
-            "doc_length": lengths, "term_frequency": tf}
+            "doc_length": doc_lengths(td), "term_frequency": term_frequencies(td)}
 
 
 def get_topics(td: DataFrame, phrases: DataFrame, word_vectors: DataFrame, dims: int, cvm, lda_model,

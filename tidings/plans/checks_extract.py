@@ -107,7 +107,7 @@ def ext6(spark, sf):
 
 @register("ext7_text_urls", f"""
 SELECT page_id, unnest(regexp_extract_all('Read ' || url || ' and ' || {sql_inner('html', 'h1')},
-    'https?://[-A-Za-z0-9.]+\.[a-z]+[A-Za-z0-9._/?=&#-]*', 0)) AS u FROM pages""")
+    'https?://[-A-Za-z0-9.]+[.][a-z]+[A-Za-z0-9._/?=&#-]*', 0)) AS u FROM pages""")
 def ext7(spark, sf):
     p = _pages(spark, sf)
     txt = F.concat(F.lit("Read "), F.col("url"), F.lit(" and "), E.inner("html", "h1"))
@@ -176,7 +176,7 @@ def _posts(spark, sf):
 
 @register("ext12_route_posts", f"""
 SELECT conv_id, turn, CASE WHEN type = 'simple' THEN '' ELSE title END AS title,
-       CAST(CASE WHEN type = 'simple' THEN len(regexp_extract_all(text, 'https?://[-A-Za-z0-9.]+\.[a-z]+[A-Za-z0-9._/?=&#-]*', 0)) ELSE 0 END AS INTEGER) AS n_links
+       CAST(CASE WHEN type = 'simple' THEN len(regexp_extract_all(text, 'https?://[-A-Za-z0-9.]+[.][a-z]+[A-Za-z0-9._/?=&#-]*', 0)) ELSE 0 END AS INTEGER) AS n_links
 FROM ({_POST_SQL}) WHERE type IN ('simple', 'news', 'review')""")
 def ext12(spark, sf):
     r = E.route_posts(_posts(spark, sf))

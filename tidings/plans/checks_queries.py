@@ -17,7 +17,7 @@ from ..operators import graph as G
 from ..operators import knn as K
 from ..operators import relational as R
 from ..operators import text as T
-from ..session import read_table, scratch_path
+from ..session import read_table, scratch_path, stage_table
 from ..sources import io as IO
 from . import fixtures as X
 from . import queries as Q
@@ -182,9 +182,12 @@ def q3rg(spark, sf):
 @register("q3_insights")
 def q3(spark, sf):
     news = X.news_like(spark, sf)
-    vecs = T.vectorize(news, "title", "id")
-    spine, report = Q.insights(spark, news, X.roles_table(spark), G.citation_edges(news), given_topics(news),
-                               X.AT, X.ROLE, vectors=vecs, max_sq=0.35)
+    vecs = stage_table(T.vectorize(news, "title", "id"), "title-vectors")
+    td = X.token_docs_like(spark, sf)
+    phrases, wv, cvm, lda = Q.build_topics(td, 20, 10, 3, 0.5, 32, 5, 42)
+    spine, report = Q.insights(spark, news, X.roles_table(spark), G.citation_edges(news), None,
+                               X.AT, X.ROLE, topic_model=(phrases, wv, 32, cvm, lda), importance_t=0.35,
+                               vectors=vecs, max_sq=0.35)
     return spine
 
 
@@ -219,13 +222,13 @@ def q4(spark, sf):
 
 @register("q5_build_tags", X.with_ctes(X.SQL_VECTORS, X.SQL_TAXONOMY) + f""", pairs AS (
   SELECT q.id, t.code_id, t.code, {X.sql_dist('q.vec', 't.vec')} AS dist
-  FROM vectors q, taxonomy_like t WHERE q.id >= 50),
+  FROM vectors q, taxonomy_like t),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, code_id) AS rank FROM pairs),
 kept AS (SELECT * FROM ranked WHERE rank <= 100 AND (rank = 1 OR dist <= 1.3))
 SELECT id AS news_id, unnest(list_distinct(list(split_part(code, '.', 1) || '.' || split_part(code, '.', 2)))) AS okved
 FROM kept GROUP BY id""")
 def q5(spark, sf):
-    arts = X.vectors(spark, sf).filter(F.col("id") >= 50).select("id", "vec")
+    arts = X.vectors(spark, sf).select("id", "vec")
     tags = Q.build_tags(arts, X.taxonomy_like(spark, sf), 100, 1.3)
     path = IO.write_code_map(tags, scratch_path(spark, "tags"))
     return IO.read_code_map(spark, path)

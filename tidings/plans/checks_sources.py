@@ -23,12 +23,12 @@ TS = X.sql_ts('"timestamp"')
 
 
 def _news_out(df):
-    return df.select("id", "link", "title", "source", X.ts_str(F.col("timestamp")).alias("ts"),
-                     F.size("refers_to").alias("n_refs"))
+    return df.select("id", "link", "text", "title", "source", X.ts_str(F.col("timestamp")).alias("ts"),
+                     F.array_join("refers_to", " ").alias("refs"))
 
 
 _NEWS_OUT_SQL = NEWS + f"""
-SELECT id, link, title, source, {TS} AS ts, CAST(len(refers_to) AS INTEGER) AS n_refs FROM news_like"""
+SELECT id, link, text, title, source, {TS} AS ts, array_to_string(refers_to, ' ') AS refs FROM news_like"""
 
 
 @register("src1_read_news", _NEWS_OUT_SQL)
@@ -40,10 +40,10 @@ def src1(spark, sf):
 @register("src3_write_news", _NEWS_OUT_SQL)
 def src3(spark, sf):
     path = IO.write_news(X.news_like(spark, sf), scratch_path(spark, "news"))
-    raw = spark.read.json(path, schema="id long, link string, title string, source string, "
+    raw = spark.read.json(path, schema="id long, link string, text string, title string, source string, "
                                        "timestamp string, refers_to array<string>")
-    return raw.select("id", "link", "title", "source",
-                      F.regexp_replace("timestamp", "T", " ").alias("ts"), F.size("refers_to").alias("n_refs"))
+    return raw.select("id", "link", "text", "title", "source",
+                      F.regexp_replace("timestamp", "T", " ").alias("ts"), F.array_join("refers_to", " ").alias("refs"))
 
 
 @register("src2_read_mixed_json", NEWS + f"""
@@ -75,7 +75,7 @@ def src2(spark, sf):
 _TAX_SQL = """
 SELECT lpad(CAST(doc_id % 97 AS VARCHAR), 2, '0') || '.' || CAST(doc_id AS VARCHAR) AS Kod,
        split_part(text, chr(10), 1) AS Name, source AS SectionName,
-       CASE WHEN n_chars % 3 = 0 THEN NULL ELSE substr(text, 1, 120) END AS Notes, doc_id
+       CASE WHEN n_chars % 3 = 0 THEN NULL ELSE text END AS Notes, doc_id
 FROM documents"""
 
 
@@ -85,7 +85,7 @@ def _taxonomy_from_docs(spark, sf):
         F.concat(F.lpad((F.col("doc_id") % 97).cast("string"), 2, "0"), F.lit("."),
                  F.col("doc_id").cast("string")).alias("Kod"),
         F.substring_index("text", "\n", 1).alias("Name"), F.col("source").alias("SectionName"),
-        F.when(F.col("n_chars") % 3 == 0, F.lit(None)).otherwise(F.substring("text", 1, 120)).alias("Notes"),
+        F.when(F.col("n_chars") % 3 == 0, F.lit(None)).otherwise(F.col("text")).alias("Notes"),
         "doc_id")
 
 
@@ -96,12 +96,12 @@ def src4(spark, sf):
 
 
 @register("src5_write_csv_by_date", NEWS + f"""
-SELECT id, title FROM news_like WHERE CAST("timestamp" AS DATE) = DATE '2024-02-10'""")
+SELECT id, title, strftime("timestamp", '%Y-%m-%d') AS day FROM news_like""")
 def src5(spark, sf):
     path = IO.write_csv_by_date(X.news_like(spark, sf).select("id", "title", "timestamp"),
                                 scratch_path(spark, "bydate"))
     back = spark.read.option("header", "true").schema("id long, title string, timestamp string, date date").csv(path)
-    return back.filter(F.col("date") == F.lit("2024-02-10").cast("date")).select("id", "title")
+    return back.select("id", "title", F.date_format("date", "yyyy-MM-dd").alias("day"))
 
 
 @register("src6_code_map", X.with_ctes(X.SQL_NEWS_CODES) + """
@@ -177,11 +177,12 @@ def src13(spark, sf):
     return m.select("id", "seq", "state", F.array_join("okveds", ",").alias("okveds"))
 
 
-@register("src14_write_landing", NEWS + "SELECT source, CAST(count(*) AS BIGINT) AS n FROM news_like GROUP BY source")
+@register("src14_write_landing", NEWS + """
+SELECT id, source, strftime("timestamp", '%Y-%m-%d') AS day, title, link FROM news_like""")
 def src14(spark, sf):
     path = IO.write_landing(X.news_like(spark, sf).drop("text"), scratch_path(spark, "landing"), mode="overwrite")
-    back = spark.read.json(path, schema="id long, source string, date date")
-    return back.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    back = spark.read.json(path, schema="id long, title string, link string, source string, date date")
+    return back.select("id", "source", F.date_format("date", "yyyy-MM-dd").alias("day"), "title", "link")
 
 
 # ---- cleaning ----------------------------------------------------------------------
@@ -244,6 +245,15 @@ def cln4(spark, sf):
     return p.select("page_id", F.explode(CL.resolve_urls("url", hrefs)).alias("link"))
 
 
+@register("cln5_parse_iso_offset", NEWS + """
+SELECT id, strftime("timestamp", '%Y-%m-%d %H:%M:%S') AS moscow, strftime("timestamp" + INTERVAL 3 HOUR, '%Y-%m-%d %H:%M:%S') AS utc
+FROM news_like""")
+def cln5_offset(spark, sf):
+    s = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss")
+    n = X.news_like(spark, sf).select("id", F.concat(s, F.lit("+03:00")).alias("m"), F.concat(s, F.lit("Z")).alias("u"))
+    return n.select("id", X.ts_str(CL.parse_iso("m")).alias("moscow"), X.ts_str(CL.parse_iso("u")).alias("utc"))
+
+
 @register("cln5_parse_iso", NEWS + f"SELECT id, {X.sql_ts('try_cast(strftime(\"timestamp\", \'%Y-%m-%dT%H:%M:%S\') AS TIMESTAMP)')} AS ts FROM news_like")
 def cln5(spark, sf):
     n = X.news_like(spark, sf).select("id", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss").alias("s"))
@@ -278,7 +288,7 @@ def cln8(spark, sf):
 SELECT page_id, CASE
   WHEN url IS NULL THEN 'missing link'
   WHEN html IS NULL THEN 'missing text'
-  WHEN NOT regexp_matches(url, '^https?://[^\s/?#:@]+(:[0-9]+)?([/?#][^\s]*)?$') THEN 'bad url link'
+  WHEN NOT regexp_matches(url, '^https?://[^ /?#:@]+(:[0-9]+)?([/?#][^ ]*)?$') THEN 'bad url link'
   WHEN length(url) > 2083 THEN 'url too long link' END AS reason
 FROM pages""")
 def cln9(spark, sf):

@@ -11,7 +11,6 @@ from ..operators import text as T
 from . import fixtures as X
 from .checks_sources import EN_STOP, LATIN_KEEP
 from .registry import register
-from ..session import cut_lineage
 
 TD = X.with_ctes(X.SQL_TOKEN_DOCS, X.SQL_TOKPOS)
 TDW = X.with_ctes(X.SQL_TOKEN_DOCS, X.SQL_TOKPOS, X.SQL_WORD_VECTORS)
@@ -21,9 +20,8 @@ DIMS = 64
 r6, sql_r6 = X.r6, X.sql_r6
 
 
-def _td(spark, sf, materialise: bool = False):
-    td = X.token_docs_like(spark, sf)
-    return cut_lineage(td) if materialise else td
+def _td(spark, sf):
+    return X.token_docs_like(spark, sf)
 
 
 @register("agg8_doc_freq", TD + """
@@ -53,7 +51,7 @@ def txt5(spark, sf):
 @register("agg9_doc2bow", _DICT_SQL + """
 SELECT t.doc_id, d.term_id, count(*) AS cnt FROM tokpos t JOIN dict d ON d.term = t.token GROUP BY t.doc_id, d.term_id""")
 def agg9(spark, sf):
-    td = _td(spark, sf, materialise=True)
+    td = _td(spark, sf)
     d = T.dictionary(_dict(spark, sf, td))
     return T.doc2bow(td, d).select("doc_id", "term_id", "cnt")
 
@@ -80,7 +78,27 @@ def txt1(spark, sf):
     return p.select("a", "b", "n_ab", r6(F.col("score")).alias("score"))
 
 
-@register("txt2_apply_phrases")
+_PHRASE_SQL = TD.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+uni AS (SELECT token AS w, count(*) AS n FROM tokpos GROUP BY token),
+bi AS (SELECT a, b, count(*) AS n_ab FROM
+       (SELECT unnest(tokens[1:len(tokens) - 1]) AS a, unnest(tokens[2:]) AS b FROM token_docs) GROUP BY a, b),
+v AS (SELECT (SELECT count(*) FROM uni) + (SELECT count(*) FROM bi) AS v),
+ph AS (SELECT a, b FROM bi JOIN uni ua ON ua.w = bi.a JOIN uni ub ON ub.w = bi.b, v
+       WHERE (n_ab - {float(MIN_COUNT)}) / (ua.n * ub.n) * v.v > 10.0),
+nxt AS (SELECT doc_id, pos, token, lead(token) OVER (PARTITION BY doc_id ORDER BY pos) AS follower FROM tokpos),
+cand AS (SELECT doc_id, pos FROM nxt JOIN ph ON ph.a = nxt.token AND ph.b = nxt.follower),
+runs AS (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM cand),
+taken AS (SELECT doc_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, run ORDER BY pos) AS k FROM runs)
+          WHERE k % 2 = 1),
+words AS (SELECT n.doc_id, n.pos, CASE WHEN t.pos IS NULL THEN n.token ELSE n.token || '_' || n.follower END AS tok
+          FROM nxt n LEFT JOIN taken t ON t.doc_id = n.doc_id AND t.pos = n.pos
+          LEFT JOIN taken s ON s.doc_id = n.doc_id AND s.pos = n.pos - 1 WHERE s.pos IS NULL)
+"""
+
+
+@register("txt2_apply_phrases", _PHRASE_SQL + """
+SELECT d.doc_id, CAST(count(w.tok) AS INTEGER) AS n, coalesce(string_agg(w.tok, ' ' ORDER BY w.pos), '') AS tokens
+FROM token_docs d LEFT JOIN words w ON w.doc_id = d.doc_id GROUP BY d.doc_id""")
 def txt2(spark, sf):
     td = _td(spark, sf)
     out = T.apply_phrases(td, T.fit_phrases(td, MIN_COUNT, 10.0), "replace")
@@ -96,17 +114,17 @@ def jn11(spark, sf):
 
 
 _LEMMA_SQL = """
-lemmas AS (SELECT token AS word, substr(token, 1, 5) AS lemma,
+lemmas AS (SELECT token AS word, regexp_replace(token, '(ing|ly|es|s)$', '') AS lemma,
            CASE WHEN length(token) <= 4 THEN 'PREP' WHEN suffix(token, 'ing') THEN 'VERB'
                 WHEN suffix(token, 'ly') THEN 'ADVB' ELSE 'NOUN' END AS pos
-           FROM (SELECT DISTINCT token FROM tokpos WHERE length(token) >= 4))"""
+           FROM (SELECT DISTINCT token FROM tokpos))"""
 
 
 def _lemmas(spark, sf):
-    w = T.token_rows(_td(spark, sf)).select("token").filter(F.length("token") >= 4).distinct()
+    w = T.token_rows(_td(spark, sf)).select("token").distinct()
     pos = (F.when(F.length("token") <= 4, "PREP").when(F.col("token").endswith("ing"), "VERB")
            .when(F.col("token").endswith("ly"), "ADVB").otherwise("NOUN"))
-    return w.select(F.col("token").alias("word"), F.substring("token", 1, 5).alias("lemma"), pos.alias("pos"))
+    return w.select(F.col("token").alias("word"), F.regexp_replace("token", "(ing|ly|es|s)$", "").alias("lemma"), pos.alias("pos"))
 
 
 @register("jn12_lemmatise", TD.rstrip() + "," + _LEMMA_SQL + f"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import text as T
-from ..session import cut_lineage
+from ..session import stage_table
 from . import fixtures as X
 from . import queries as Q
 from .registry import register
@@ -19,8 +19,16 @@ K_TOPICS = 10
 ITER = 10
 
 
+def _inputs(spark, sf):
+    """Tokens, phrases, word vectors and the keyword lists that topics use."""
+    td = X.token_docs_like(spark, sf)
+    phrases = stage_table(T.fit_phrases(td, 20), "phrases")
+    wv = stage_table(X.word_vectors_like(spark, sf), "word-vectors")
+    return td, phrases, wv, Q.topic_lists(td, phrases, wv, 64)
+
+
 def _td(spark, sf):
-    return cut_lineage(X.token_docs_like(spark, sf))
+    return _inputs(spark, sf)[3]
 
 
 def _models(spark, sf, td):
@@ -29,8 +37,8 @@ def _models(spark, sf, td):
 
 @register("txt3_fit_word2vec")
 def txt3(spark, sf):
-    _, wv = T.fit_word2vec(_td(spark, sf), 100, 5, 1, 42)
-    return wv.select("word", F.size("vec").alias("dims"))
+    _, wv = T.fit_word2vec(X.token_docs_like(spark, sf), 100, 5, 1, 42)
+    return wv
 
 
 @register("txt6_fit_lda")
@@ -50,10 +58,8 @@ def txt7(spark, sf):
 
 @register("txt8_get_topics")
 def txt8(spark, sf):
-    td = _td(spark, sf)
-    phrases = T.fit_phrases(td, 20)
-    wv = X.word_vectors_like(spark, sf)
-    cvm, lda = _models(spark, sf, td)
+    td, phrases, wv, lists = _inputs(spark, sf)
+    cvm, lda = _models(spark, sf, lists)
     return T.get_topics(td, phrases, wv, 64, cvm, lda).select("doc_id", "topic")
 
 
@@ -67,11 +73,33 @@ def txt9(spark, sf):
     return T.topic_over_time(mix, slices).select("slice", "topic_idx", F.round("weight", 6).alias("weight"))
 
 
+TD = X.with_ctes(X.SQL_TOKEN_DOCS, X.SQL_TOKPOS)
+
+
+@register("txt10_doc_length", TD + "SELECT doc_id, CAST(len(tokens) AS INTEGER) AS length FROM token_docs")
+def txt10_length(spark, sf):
+    return T.doc_lengths(X.token_docs_like(spark, sf))
+
+
+@register("txt10_term_frequency", TD + "SELECT token AS term, count(*) AS tf FROM tokpos GROUP BY token")
+def txt10_tf(spark, sf):
+    return T.term_frequencies(X.token_docs_like(spark, sf))
+
+
 @register("txt10_topic_summary")
 def txt10(spark, sf):
     td = _td(spark, sf)
     cvm, lda = _models(spark, sf, td)
-    return T.topic_summary(td, cvm, lda)["doc_length"]
+    s = T.topic_summary(td, cvm, lda)
+    return s["doc_topic"].select("doc_id", F.posexplode("mix").alias("topic", "weight")).join(
+        s["doc_length"], "doc_id")
+
+
+@register("txt10_topic_term")
+def txt10_terms(spark, sf):
+    td = _td(spark, sf)
+    cvm, lda = _models(spark, sf, td)
+    return T.topic_summary(td, cvm, lda)["topic_term"]
 
 
 @register("rnk9_topic_terms")
@@ -83,5 +111,5 @@ def rnk9(spark, sf):
 
 @register("q8_build_topics")
 def q8(spark, sf):
-    phrases, wv, cvm, lda = Q.build_topics(_td(spark, sf), 20, K_TOPICS, 3, 0.5, 100, ITER, 42)
+    phrases, wv, cvm, lda = Q.build_topics(X.token_docs_like(spark, sf), 20, K_TOPICS, 3, 0.5, 100, ITER, 42)
     return T.topic_terms(cvm, lda, 10).select("topic", "rank", "term")

@@ -116,14 +116,14 @@ def vec4(spark, sf):
 
 _TAG_SQL = X.with_ctes(X.SQL_VECTORS, X.SQL_TAXONOMY) + f""", pairs AS (
   SELECT q.id, t.code_id, t.code, {X.sql_dist('q.vec', 't.vec')} AS dist
-  FROM vectors q, taxonomy_like t WHERE q.id >= 50),
+  FROM vectors q, taxonomy_like t),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, code_id) AS rank FROM pairs),
 kept AS (SELECT * FROM ranked WHERE rank <= 100 AND (rank = 1 OR dist <= {SQ_NEAR}))
 """
 
 
 def _tag_pairs(spark, sf):
-    arts = X.vectors(spark, sf).filter(F.col("id") >= 50)
+    arts = X.vectors(spark, sf)
     tax = X.taxonomy_like(spark, sf)
     nn = K.threshold_or_best_rows(arts, tax.select(F.col("code_id").alias("id"), "vec"), 100, SQ_NEAR)
     return nn.join(tax.select(F.col("code_id").alias("nid"), "code"), "nid")

@@ -97,8 +97,8 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def taxonomy_like(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Code vectors: embeddings with vec_id < 50, code = label.NN form."""
-    e = read_table(spark, sf_dir, "embeddings").filter(F.col("vec_id") < 50)
+    """Code vectors: all embeddings, code = label.NN form."""
+    e = read_table(spark, sf_dir, "embeddings")
     return e.select(
         F.col("vec_id").alias("code_id"),
         F.concat(F.lpad(F.col("label").cast("string"), 2, "0"), F.lit("."),
@@ -163,7 +163,7 @@ taxonomy_like AS (
   SELECT vec_id AS code_id,
          lpad(CAST(label AS VARCHAR), 2, '0') || '.' || CAST(vec_id % 10 AS VARCHAR) AS code,
          embedding AS vec
-  FROM embeddings WHERE vec_id < 50
+  FROM embeddings
 )"""
 
 SQL_PROFILES = """
@@ -213,12 +213,12 @@ def sql_tokens(text: str) -> str:
 SQL_TOKEN_DOCS = f"token_docs AS (SELECT doc_id, {sql_tokens('text')} AS tokens FROM documents)"
 SQL_TOKPOS = ("tokpos AS (SELECT doc_id, unnest(range(0, len(tokens))) AS pos, unnest(tokens) AS token "
               "FROM token_docs)")
-# word vectors: every distinct token of at most 8 characters gets an embedding
-# row chosen by its length and first character
+# word vectors: every distinct token gets an embedding row chosen by its length
+# and first character
 SQL_WORD_VECTORS = """
 word_vectors AS (
   SELECT w.word, e.embedding AS vec FROM
-    (SELECT DISTINCT token AS word FROM tokpos WHERE length(token) <= 8) w
+    (SELECT DISTINCT token AS word FROM tokpos) w
     JOIN embeddings e ON e.vec_id = (length(w.word) * 37 + ascii(w.word)) % (SELECT count(*) FROM embeddings)
 )"""
 
@@ -233,7 +233,7 @@ def word_vectors_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     td = token_docs_like(spark, sf_dir)
     e = read_table(spark, sf_dir, "embeddings")
     n = e.select(F.count(F.lit(1))).scalar()
-    words = td.select(F.explode("tokens").alias("word")).filter(F.length("word") <= 8).distinct()
+    words = td.select(F.explode("tokens").alias("word")).distinct()
     words = words.withColumn("vec_id", (F.length("word") * 37 + F.ascii("word")) % n)
     return words.join(e.select("vec_id", F.col("embedding").alias("vec")), "vec_id").select("word", "vec")
 

@@ -16,6 +16,7 @@ from ..operators import graph as G
 from ..operators import knn as K
 from ..operators import relational as R
 from ..operators import text as T
+from ..session import stage_table
 from ..sources import io as IO
 
 
@@ -96,8 +97,9 @@ def future_pool(news: DataFrame, edges: DataFrame, near_ids: DataFrame, depth: i
     return R.link_to_id(news, reached).select("id").distinct()
 
 
-def insights(spark: SparkSession, news: DataFrame, roles: DataFrame, edges: DataFrame, topics: DataFrame,
-             at, role: str, filter_type: str = "all", codes: list[str] | None = None,
+def insights(spark: SparkSession, news: DataFrame, roles: DataFrame, edges: DataFrame, topics: DataFrame | None,
+             at, role: str, filter_type: str = "all", codes: list[str] | None = None, *,
+             topic_model: tuple | None = None, importance_t: float | None = None,
              near: DataFrame | None = None, vectors: DataFrame | None = None,
              max_sq: float = 0.35, k: int = 100, horizon_days: int = 30,
              topic_names: list[str] = TOPIC_NAMES, **kw) -> tuple[DataFrame, DataFrame]:
@@ -105,7 +107,11 @@ def insights(spark: SparkSession, news: DataFrame, roles: DataFrame, edges: Data
 
     near: given (id, nid) neighbour pairs; otherwise the top groups' members
     are searched over all title vectors (k = 100, squared L2 < max_sq, self
-    removed).  topics: (id, topic) for the pool articles (TXT8 output)."""
+    removed).  topics: (id, topic) for the pool articles; without it they are
+    inferred from the pool's titles (TXT8) by ``topic_model`` = (phrases, word
+    vectors, dims, dictionary, LDA).  With ``importance_t`` an article's
+    importance is its number of similar pool articles within three days
+    (RNK5) on the title vectors, else all count alike."""
     grouped = grouped_window(spark, news, roles, at, role, filter_type, codes, 7, vectors=vectors, **kw)
     members = grouped.join(F.broadcast(top_groups(grouped, 3).select("group")), "group").select("id")
     if near is None:
@@ -116,7 +122,17 @@ def insights(spark: SparkSession, news: DataFrame, roles: DataFrame, edges: Data
         near = near.join(members, "id", "left_semi")
     pool_ids = future_pool(news, edges, near)
     pool = R.before_horizon(R.in_pool(news, pool_ids, "id"), at, horizon_days)
-    scored = pool.join(topics, "id").withColumn("importance", F.lit(1))
+    if topics is None:
+        phrases, wv, dims, cvm, lda = topic_model
+        topics = T.get_topics(T.token_docs(pool, "id", "title"), phrases, wv, dims, cvm, lda).select(
+            F.col("doc_id").alias("id"), "topic")
+    scored = pool.join(topics, "id")
+    if importance_t is None:
+        scored = scored.withColumn("importance", F.lit(1))
+    else:
+        v = vectors if vectors is not None else T.vectorize(pool, "title", "id")
+        pairs, member = K.similar_classes(v.join(pool.select("id"), "id", "left_semi"), importance_t)
+        scored = scored.join(R.importance(pairs, pool.select("id", "timestamp"), 3, member=member), "id")
     best = R.best_per_topic(scored)
     spine_names = spark.createDataFrame(list(enumerate(topic_names)), "topic_pos int, topic string")
     spine = R.topics_spine(F.broadcast(spine_names), best)
@@ -133,7 +149,7 @@ def build_corpus(spark: SparkSession, root: str, lines_glob: str = "*.jsonl", wh
         "source",
         CL.clamp_epoch(CL.parse_iso("timestamp")).alias("timestamp"),
         CL.resolve_urls("link", F.coalesce("refers_to", F.array().cast("array<string>"))).alias("refers_to"))
-    return CL.with_dense_id(clean, ["link"], "id")
+    return CL.with_dense_id(clean, ["link", "timestamp", "title", "source", "text"], "id")
 
 
 def build_tags(article_vecs: DataFrame, taxonomy_vecs: DataFrame, k: int = 100, max_sq: float = 0.62) -> DataFrame:
@@ -154,14 +170,22 @@ def build_index(vecs: DataFrame, path: str, dims: int) -> tuple[DataFrame, DataF
 
 def build_topics(td: DataFrame, min_count: int = 20, k: int = 10, no_below: int = 3, no_above: float = 0.5,
                  w2v_size: int = 100, max_iter: int = 20, seed: int = 42):
-    """Q8: phrases -> (append) -> word vectors -> dictionary + LDA."""
-    phrases = T.fit_phrases(td, min_count)
-    trained = T.apply_phrases(td, phrases, "append")
-    _, wv = T.fit_word2vec(trained, w2v_size, seed=seed)
-    cvm, lda = T.fit_topics(trained, k, no_below, no_above, max_iter, seed)
+    """Q8: phrases -> (append) -> word vectors -> ten keywords a document ->
+    dictionary + LDA on the keyword lists, as inference uses them (TXT8)."""
+    phrases = stage_table(T.fit_phrases(td, min_count), "phrases")
+    _, wv = T.fit_word2vec(T.apply_phrases(td, phrases, "append"), w2v_size, seed=seed)
+    wv = stage_table(wv, "word-vectors")
+    lists = topic_lists(td, phrases, wv, w2v_size)
+    cvm, lda = T.fit_topics(lists, k, no_below, no_above, max_iter, seed)
     return phrases, wv, cvm, lda
 
 
+def topic_lists(td: DataFrame, phrases: DataFrame, wv: DataFrame, dims: int) -> DataFrame:
+    """(doc_id, tokens): the ten keywords on which topics are learnt."""
+    kw = T.keywords(T.apply_phrases(td, phrases, "replace"), wv, dims, 10)
+    return stage_table(kw.select("doc_id", F.col("keywords").alias("tokens")), "keyword-lists")
+
+
 def demo_similar(vecs: DataFrame, n: int = 10, k: int = 100, max_sq: float = 0.35, seed: int = 42) -> DataFrame:
     """Q9: similar articles (ordered id list) for a deterministic sample."""
     sample = R.sample_n(vecs, n, seed)
