@@ -67,14 +67,18 @@ def threshold_or_best(pairs: DataFrame, max_dist: float, rank_col: str = "rank",
     return pairs.filter((F.col(rank_col) == 1) | (F.col(d) <= max_dist))
 
 
+def _hash_hex(key: str, seed: int) -> Column:
+    return F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")).cast("binary"))
+
+
 def sample_n(df: DataFrame, n: int, seed: int = 42, key: str = "id") -> DataFrame:
     """FLT9: deterministic sample of n rows (hash order, TakeOrdered)."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+    return df.orderBy(_hash_hex(key, seed), F.col(key)).limit(n)
 
 
 def split(df: DataFrame, test_fraction: float, seed: int = 42, key: str = "id") -> tuple[DataFrame, DataFrame]:
     """FLT10: stable train/test split by a hash bucket of the key."""
-    bucket = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(10_000)) / 10_000.0
+    bucket = F.conv(F.substring(_hash_hex(key, seed), 1, 7), 16, 10).cast("long") % 10_000 / 10_000.0
     return df.filter(bucket >= test_fraction), df.filter(bucket < test_fraction)
 
 

@@ -212,7 +212,20 @@ def _landing_from_pages(spark, sf, root):
     return root
 
 
-@register("q4_build_corpus")
+def _q4_sql() -> str:
+    from .checks_extract import HOST_SQL, HREF, sql_html_text, sql_inner, sql_space
+    return f"""
+WITH raw AS (
+  SELECT url AS link, nfc_normalize({sql_space(sql_html_text(sql_inner('html', 'article')))}) AS text,
+         nfc_normalize({sql_space(sql_inner('html', 'h1'))}) AS title, {HOST_SQL} AS source,
+         TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(page_id % 50 AS INTEGER)) AS t,
+         CAST(len(regexp_extract_all(html, '{HREF}', 1)) AS INTEGER) AS n_refs
+  FROM pages)
+SELECT CAST(row_number() OVER (ORDER BY link, t, title, source, text) - 1 AS BIGINT) AS id, link, title,
+       strftime(t, '%Y-%m-%d %H:%M:%S') AS ts, n_refs, CAST(length(text) AS INTEGER) AS n_chars FROM raw"""
+
+
+@register("q4_build_corpus", _q4_sql())
 def q4(spark, sf):
     root = _landing_from_pages(spark, sf, scratch_path(spark, "crawl"))
     c = Q.build_corpus(spark, root, lines_glob="*.json", whole_glob="*.txt")
@@ -240,7 +253,12 @@ def q6(spark, sf):
     return vecs.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("q9_demo_similar")
+@register("q9_demo_similar", X.with_ctes(X.SQL_VECTORS) + f""",
+q AS (SELECT * FROM vectors ORDER BY md5(CAST(id AS VARCHAR) || '|42'), id LIMIT 10),
+pairs AS (SELECT q.id, d.id AS nid, {X.sql_dist('q.vec', 'd.vec')} AS dist FROM q, vectors d),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, nid) AS rank FROM pairs)
+SELECT id, string_agg(CAST(nid AS VARCHAR), ',' ORDER BY dist, nid) AS similar
+FROM ranked WHERE rank <= 100 AND id <> nid AND dist < 1.3 GROUP BY id""")
 def q9(spark, sf):
     sims = Q.demo_similar(X.vectors(spark, sf).select("id", "vec"), 10, 100, 1.3)
     return sims.select("id", F.array_join(F.transform("similar", lambda x: x.cast("string")), ",").alias("similar"))

@@ -69,12 +69,15 @@ def flt6(spark, sf):
     return R.min_group_size(X.news_like(spark, sf), "title", 2).select("id", "title")
 
 
-@register("flt9_sample_n")
+@register("flt9_sample_n", X.with_ctes(X.SQL_NEWS_LIKE) + """
+SELECT id, title FROM news_like ORDER BY md5(CAST(id AS VARCHAR) || '|42'), id LIMIT 10""")
 def flt9(spark, sf):
     return R.sample_n(X.news_like(spark, sf), 10).select("id", "title")
 
 
-@register("flt10_split")
+@register("flt10_split", X.with_ctes(X.SQL_NEWS_LIKE) + """
+SELECT id FROM news_like
+WHERE CAST('0x' || substr(md5(CAST(id AS VARCHAR) || '|42'), 1, 7) AS BIGINT) % 10000 < 2000""")
 def flt10(spark, sf):
     train, test = R.split(X.news_like(spark, sf), 0.2)
     return test.select("id")
@@ -116,16 +119,15 @@ def jn4(spark, sf):
     return R.effective_codes(user, X.related_codes_like(spark, sf)).select("okved")
 
 
-@register("jn5_add_role_codes", CODES_REL + f"""
+@register("jn5_add_role_codes", X.with_ctes(X.SQL_NEWS_CODES, X.SQL_ROLES_OF_DOCS) + """
 SELECT DISTINCT okved FROM (
-  SELECT unnest({USER_SQL}) AS okved
+  SELECT split_part(okved, '.', 1) || '.' || split_part(okved, '.', 2) AS okved FROM news_codes
   UNION ALL
-  SELECT unnest(add_okveds) FROM roles WHERE role = '{X.ROLE}')""")
+  SELECT unnest(add_okveds) FROM doc_roles WHERE role = 'role5')""")
 def jn5(spark, sf):
-    user = spark.createDataFrame([(c,) for c in X.USER_CODES], "okved string")
-    role_codes = X.roles_table(spark).filter(F.col("role") == X.ROLE).select(
+    role_codes = X.roles_of_docs(spark, sf).filter(F.col("role") == "role5").select(
         F.explode("add_okveds").alias("okved"))
-    return R.effective_codes(user, None, role_codes).select("okved")
+    return R.effective_codes(X.news_codes_like(spark, sf).select("okved"), None, role_codes).select("okved")
 
 
 @register("set1_effective_codes", CODES_REL + f"""

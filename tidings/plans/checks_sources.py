@@ -112,12 +112,15 @@ def src6(spark, sf):
     return IO.read_code_map(spark, path)
 
 
-@register("src8_read_roles", X.with_ctes(X.SQL_ROLES, X.SQL_ROLE_SOURCES) + """
-SELECT role, source FROM role_sources""")
+@register("src8_read_roles", X.with_ctes(X.SQL_ROLES_OF_DOCS) + """
+SELECT role, unnest(sources) AS value, 'source' AS kind FROM doc_roles
+UNION ALL SELECT role, unnest(add_okveds), 'code' FROM doc_roles""")
 def src8(spark, sf):
-    # the role config is written from the role table, then read back
-    path = IO.write_roles(X.roles_table(spark), scratch_path(spark, "roles"))
-    return IO.read_roles(spark, path).select("role", F.explode("sources").alias("source"))
+    # the role config is written from the roles of the documents, then read back
+    path = IO.write_roles(X.roles_of_docs(spark, sf), scratch_path(spark, "roles"))
+    roles = IO.read_roles(spark, path)
+    return roles.select("role", F.explode("sources").alias("value"), F.lit("source").alias("kind")).unionByName(
+        roles.select("role", F.explode("add_okveds").alias("value"), F.lit("code").alias("kind")))
 
 
 @register("src9_read_texts", NEWS + "SELECT id, title FROM news_like")

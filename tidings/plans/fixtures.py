@@ -62,6 +62,16 @@ def roles_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "role string, sources array<string>, add_okveds array<string>")
 
 
+def roles_of_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles worked out from ``documents``: sources by the length of their name
+    and the codes of their articles."""
+    d = read_table(spark, sf_dir, "documents").where("source is not null")
+    code = F.concat(F.lpad((F.col("doc_id") % 20).cast("string"), 2, "0"), F.lit("."),
+                    (F.col("doc_id") % 5).cast("string"))
+    return d.groupBy(F.concat(F.lit("role"), F.length("source").cast("string")).alias("role")).agg(
+        F.sort_array(F.collect_set("source")).alias("sources"), F.sort_array(F.collect_set(code)).alias("add_okveds"))
+
+
 def role_sources(spark: SparkSession) -> DataFrame:
     return roles_table(spark).select("role", F.explode("sources").alias("source"))
 
@@ -137,6 +147,12 @@ SQL_ROLES = "roles AS (\n  " + "\n  UNION ALL ".join(
     f"SELECT '{r}' AS role, {_sql_list(v['sources'])} AS sources, {_sql_list(v['add_okveds'])} AS add_okveds"
     for r, v in ROLES.items()) + "\n)"
 
+SQL_ROLES_OF_DOCS = """
+doc_roles AS (
+  SELECT 'role' || CAST(length(source) AS VARCHAR) AS role, list(DISTINCT source) AS sources,
+         list(DISTINCT lpad(CAST(doc_id % 20 AS VARCHAR), 2, '0') || '.' || CAST(doc_id % 5 AS VARCHAR)) AS add_okveds
+  FROM documents WHERE source IS NOT NULL GROUP BY 1)"""
+
 SQL_ROLE_SOURCES = "role_sources AS (SELECT role, unnest(sources) AS source FROM roles)"
 
 SQL_NEWS_CODES = """

@@ -47,7 +47,8 @@ def scan_mixed_json(spark: SparkSession, root: str, lines_glob: str = "*.jsonl",
     files = (spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
              .option("pathGlobFilter", whole_glob).text(root)
              .select(F.col("_metadata.file_path").alias("path"), "value").withColumn("n", F.size(keys)))
-    wrapped = files.where("n = 1").withColumn("l", F.element_at(F.map_values(F.from_json("value", RAW_ARRAY_MAP)), 1))
+    wrapped = files.where("n = 1").withColumn("l", F.get(
+        F.map_values(F.from_json("value", RAW_ARRAY_MAP)), F.lit(0)))
     single = files.where("n > 1").withColumn("r", F.from_json("value", schemas.RAW_NEWS))
     is_line = F.json_object_keys("value").isNotNull()
     records = (lines.where(is_line).select("r.*")
