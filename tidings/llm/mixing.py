@@ -35,7 +35,7 @@ from tidings.llm.common import documents, fresh_names, stage, text_of
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 BLOCK_WORDS = 2048
-GROUP_ROWS = 20_000
+GROUP_ROWS = 2_000
 RUN_SLOTS = 65_536
 _WORD = r"[^\x20\x09-\x0D]+"
 
