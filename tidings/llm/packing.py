@@ -34,7 +34,7 @@ from tidings.llm.common import documents, stage, text_of
 
 SEQUENCE = 2048
 END_ID = 0
-RANK_ROWS = 50_000
+RANK_ROWS = 1_000
 #: Words whose ids a Python worker remembers, half of them without a blank before.
 CACHE_WORDS = 3_000_000
 #: Text that is cut into words at once.
