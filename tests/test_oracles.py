@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
+from tidings.plans import registry
 from tools.oracle_check import duck, frame_digest
 
-SQL = E.oracle_sql()
+SQL = registry.oracle_sql()  # the pipeline's own are in tests/llm
 
 
 @pytest.fixture(scope="module")
