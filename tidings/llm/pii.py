@@ -59,7 +59,10 @@ PATTERNS = {
             r"|(?<![0-9A-Za-z/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9A-Za-z/])",
 }
 KINDS = tuple(PATTERNS)
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: No kind begins inside a word: that is tested once, before the kinds are tried.
+ANY = r"(?<![0-9A-Za-z])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
+#: Every kind has one of these; texts without any are not searched further.
+SIGN = r"[0-9@=:]|AKIA"
 
 
 def _ints(*values: int) -> Column:
@@ -229,7 +232,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text", finds_
     in order (existing columns of that name are replaced)."""
     found, = fresh_names(docs, "_found")
     text = F.col(text_col).cast("string")
-    has = F.coalesce(text.rlike(ANY), F.lit(False))
+    has = F.coalesce(text.rlike(SIGN) & text.rlike(ANY), F.lit(False))
     matches = F.when(has, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
     marked = docs.withColumn(found, F.transform(matches, lambda m: pseudonym(m, key)))
     pieces = F.split(text, ANY, -1)
