@@ -100,3 +100,23 @@ def test_clean_tokens_of_underscores(spark):
     from tidings.functions.scalars import clean_tokens
     got = values(spark, ["Foo_bar _baz 1abc x ёж a1 é2_", "Foo 1abc x ёж a1, it's", None], clean_tokens("x"))
     assert got == [["foo bar", "baz", "eж", "a1", "é2"], ["foo", "eж", "a1", "it"], []]
+
+
+def test_rules_by_site(spark):
+    page = ("<html><h1 class='big content-title'>T &amp; U</h1><div class=content--full>a<div class='x'>b</div>c</div>"
+            "<div class='news-content'>first</div><div class='news-content'>l<div>a</div>st</div>tail"
+            "<meta itemprop=dateModified content='2024-01-02'/></html>")
+    pages = spark.createDataFrame([(1, "v", page), (2, "j", '{"data": {"title": "J"}}'), (3, "none", page), (4, "v", None)],
+                                  "id long, site string, html string")
+    rules = spark.createDataFrame(
+        [("v", "title", "text", "h1", "class", "content-title", None, False),
+         ("v", "body", "text", "div", "class", "content--full", None, False),
+         ("v", "last", "text", "div", "class", "news-content", None, True),
+         ("v", "date", "attr", "meta", "itemprop", "dateModified", "content", False),
+         ("v", "gone", "text", "h2", None, None, None, False),
+         ("j", "title", "json", None, None, None, "$.data.title", False)],
+        "site string, field string, mode string, tag string, attr string, value string, arg string, last boolean")
+    got = {r.id: r.fields for r in E.extract_by_rules(pages, rules, "site").collect()}
+    assert got[1] == {"title": "T & U", "body": "abc", "last": "last", "date": "2024-01-02", "gone": None}
+    assert got[2] == {"title": "J"} and got[3] == {}
+    assert set(got[4].values()) == {None}

@@ -60,6 +60,87 @@ def extract_body(html, container: str = "article", drop_blocks: str | None = "di
     return F.array_join(F.filter(ps, lambda p: p != ""), sep)
 
 
+# rule table (EXT1 / EXT2) -------------------------------------------------------
+_ATTRS = r"""(?:[^<>"']++|"[^"]*+"|'[^']*+')*+>"""
+
+
+def _attribute_of(tag: Column, name: Column) -> Column:
+    """Value of the attribute named by a column; NULL without it."""
+    value = F.call_function("regexp_extract", tag, F.concat(F.lit(r"(?is)[\s\"']"), name,
+                                           F.lit(r"\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)")), F.lit(1))
+    bare = F.when(value.rlike("^[\"']"), F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+    return F.when(value != "", decode_entities(bare))
+
+
+def let(value: Column, fn) -> Column:
+    """``fn(value)`` with the value worked out once."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def element(html, tag: Column, attr: Column, value: Column, last: Column) -> Column:
+    """(tag, content) of the first or last ``tag`` element whose ``attr`` has the
+    word ``value`` (any, when ``attr`` is NULL); inner elements of the same
+    name are counted, so the content ends at the element's own close."""
+    x = _c(html)
+    pattern = F.concat(F.lit("(?is)</?"), tag, F.lit(r"(?=[\s>/])" + _ATTRS))
+
+    def fits(t):
+        words = F.concat(F.lit(" "), F.coalesce(_attribute_of(t, F.coalesce(attr, F.lit("-"))), F.lit("")), F.lit(" "))
+        return ~t.startswith("</") & (attr.isNull() | F.contains(words, F.concat(F.lit(" "), value, F.lit(" "))))
+
+    def start(s):
+        places = F.filter(F.transform(s["tags"], lambda t, i: F.when(fits(t), i)), lambda i: i.isNotNull())
+        return F.when(last, F.try_element_at(places, F.lit(-1))).otherwise(F.get(places, F.lit(0)))
+
+    def steps(s):  # depth change of every tag
+        return F.transform(s["tags"], lambda t: F.when(t.startswith("</"), -1).when(t.endswith("/>"), 0).otherwise(1))
+
+    def end(s):  # the tag that closes the element, else the number of tags
+        after = F.slice(s["steps"], s["at"] + 2, F.size(s["steps"]))
+        found = F.aggregate(after, F.struct(F.lit(1).alias("d"), s["at"].alias("i")), lambda acc, d: F.when(
+            acc["d"] <= 0, acc).otherwise(F.struct((acc["d"] + d).alias("d"), (acc["i"] + 1).alias("i"))))
+        return F.when(found["d"] <= 0, found["i"]).otherwise(F.size(s["steps"]))
+
+    def content(s):
+        n = s["end"] - s["at"]
+        between = F.zip_with(F.slice(s["pieces"], s["at"] + 2, n), F.slice(s["tags"], s["at"] + 2, n - 1),
+                             lambda p, t: F.concat(p, F.coalesce(t, F.lit(""))))
+        return F.struct(F.get(s["tags"], s["at"]).alias("tag"), F.array_join(between, "").alias("content"))
+
+    s0 = F.struct(F.call_function("regexp_extract_all", x, pattern, F.lit(0)).alias("tags"),
+                  F.split(x, pattern, -1).alias("pieces"))
+    with_start = let(s0, lambda s: F.struct(s["tags"].alias("tags"), s["pieces"].alias("pieces"), start(s).alias("at"),
+                                            steps(s).alias("steps")))
+    with_end = let(with_start, lambda s: F.when(s["at"].isNotNull(), F.struct(
+        s["tags"].alias("tags"), s["pieces"].alias("pieces"), s["at"].alias("at"), end(s).alias("end"))))
+    return let(with_end, lambda s: F.when(s.isNotNull(), content(s)))
+
+
+def extract_by_rules(pages: DataFrame, rules: DataFrame, site_col: str, html_col: str = "html") -> DataFrame:
+    """``pages`` with ``fields``, a map of field name to value.
+
+    ``rules`` has a row per site (NULL: every site) and field: ``mode`` 'text'
+    (the element's visible text), 'attr' (its attribute ``arg``), 'json' (the
+    path ``arg`` of a JSON page); ``tag``, ``attr`` and ``value`` name the
+    element, ``last`` takes the last such one.  A site's rules travel as one
+    array, so a page is read once and nothing is grouped."""
+    cols = ("field", "mode", "tag", "attr", "value", "arg", "last")
+    per_site = rules.groupBy(F.col("site").alias("_site")).agg(F.collect_list(F.struct(*cols)).alias("_own"))
+    everywhere = per_site.where("_site is null").select(F.col("_own").alias("_all"))
+    joined = (pages.join(per_site.where("_site is not null"), F.col(site_col) == F.col("_site"), "left")
+              .join(F.broadcast(everywhere), how="left"))  # one row
+    none = F.array().cast(per_site.schema["_own"].dataType)
+
+    def apply(r):
+        found = element(html_col, F.coalesce(r["tag"], F.lit("html")), r["attr"], r["value"], F.coalesce(r["last"], F.lit(False)))
+        of_element = let(found, lambda e: F.when(r["mode"] == "attr", _attribute_of(e["tag"], F.coalesce(r["arg"], F.lit("-"))))
+                         .otherwise(norm_space(html_to_text(e["content"]))))
+        value = F.when(r["mode"] == "json", F.call_function("get_json_object", F.col(html_col), r["arg"])).otherwise(of_element)
+        return F.struct(r["field"].alias("key"), value.alias("value"))
+    used = F.concat(F.coalesce("_all", none), F.coalesce("_own", none))
+    return joined.withColumn("fields", F.map_from_entries(F.transform(used, apply))).drop("_site", "_own", "_all")
+
+
 # EXT3 ------------------------------------------------------------------------
 def _attribute(tag: Column, name: str) -> Column:
     """Value of an attribute in double, single or no quotes; NULL without it."""

@@ -62,6 +62,20 @@ def ext2(spark, sf):
     return _pages(spark, sf).select("page_id", E.extract_body("html").alias("body"))
 
 
+@register("ext2_extract_rules", f"""
+SELECT page_id, {sql_space(sql_html_text(sql_inner('html', 'h1')))} AS title,
+       {sql_space(sql_html_text(sql_inner('html', 'article')))} AS body,
+       regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang FROM pages""")
+def ext2_rules(spark, sf):
+    rules = spark.createDataFrame(
+        [(None, "title", "text", "h1", None, None, None, False), (None, "body", "text", "article", None, None, None, False),
+         (None, "lang", "attr", "html", None, None, "lang", False)],
+        "site string, field string, mode string, tag string, attr string, value string, arg string, last boolean")
+    pages = _pages(spark, sf).withColumn("site", E.host_of("url"))
+    out = E.extract_by_rules(pages, rules, "site")
+    return out.select("page_id", *[F.col("fields")[f].alias(f) for f in ("title", "body", "lang")])
+
+
 @register("ext3_extract_links", f"""
 SELECT page_id, unnest(regexp_extract_all({sql_inner('html', 'body')}, '{HREF}', 1)) AS href FROM pages""")
 def ext3(spark, sf):
