@@ -26,6 +26,8 @@ def test_later_batches_meet_the_index(spark):
     assert sorted(r.doc_id for r in X.kept_documents(first, index=index).collect()) == [1, 3]
     assert sorted(r.doc_id for r in X.kept_documents(later, index=index).collect()) == [11]
     assert index.read().count() == 3
+    assert X.kept_documents(later, index=index).collect() == []  # the same delivery again
+    assert not any(r.kept for r in X.exact_dedup(first, index=index).collect())
 
 
 def test_index_side_is_not_shuffled(spark):

@@ -40,15 +40,16 @@ class DigestIndex:
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def ingest(self, batch: DataFrame) -> None:
+    def ingest(self, batch: DataFrame, delivery: str = "") -> None:
         """Append the digests of ``batch`` (``row``, ``id``, ``digest``) that
-        the index has not; of a batch's equal digests the largest id stays."""
+        the index has not, with the ``delivery`` that brought them; of a batch's
+        equal digests the largest id stays."""
         new = (batch.groupBy("digest")
                .agg(F.max("id").alias("keep_id"), F.max_by("row", "id").alias("keep_row"))
                .repartition(self.buckets, "digest"))
         if self.exists():
             new = new.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
-        (new.select("digest", "keep_id", "keep_row").write.mode("append")
+        (new.select("digest", "keep_id", "keep_row", F.lit(delivery).alias("delivery")).write.mode("append")
          .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table))
 
 
@@ -61,7 +62,7 @@ def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def resolve(rows: DataFrame, index: DigestIndex) -> DataFrame:
-    """Every row of ``rows`` with the row that stays for its text."""
+    """Every row of ``rows`` with the row, id and delivery that stay for its text."""
     sizes = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
     stats = stage(index.read().join(sizes, "digest"), "digest-groups")
     return join_per_key(rows, stats, "digest", "group_size", rows.count())
@@ -80,7 +81,7 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     deliveries would, so that across batches too the largest id stays.  With
     an ``index`` of earlier deliveries, documents that it holds are not kept.
     """
-    index = index or fresh_index(docs.sparkSession)
+    index, delivery = index or fresh_index(docs.sparkSession), uuid.uuid4().hex
     rows = digest_rows(docs, id_col, text_col)
     span = rows.agg(F.min(F.nullif("id", F.lit(LONG_MIN))).alias("lo"), F.max("id").alias("hi")).first()
     hi = span["hi"] if span["hi"] is not None else 0
@@ -92,22 +93,23 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
             part = part.where(F.col("id") <= F.lit(cuts[k - 1]))
         if k < batches - 1:
             part = part.where(F.col("id") > F.lit(cuts[k]))
-        index.ingest(part)
+        index.ingest(part, delivery)
     as_id = lambda c: F.nullif(c, F.lit(LONG_MIN))
     return resolve(rows, index).select(
         as_id("id").alias("doc_id"), as_id("keep_id").alias("keep_id"), "group_size",
-        (F.col("row") == F.col("keep_row")).alias("kept"),
+        ((F.col("row") == F.col("keep_row")) & (F.col("delivery") == delivery)).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    index: DigestIndex | None = None) -> DataFrame:
     """``docs`` without the rows whose text another row stands for."""
-    index = index or fresh_index(docs.sparkSession)
+    index, delivery = index or fresh_index(docs.sparkSession), uuid.uuid4().hex
     rows = digest_rows(docs, id_col, text_col)
-    index.ingest(rows)
+    index.ingest(rows, delivery)
     same = rows.groupBy("digest", "id").agg(F.count(F.lit(1)).alias("same"))
-    kept = stage(index.read().select("digest", F.col("keep_id").alias("id")).join(same, ["digest", "id"])
+    own = index.read().where(F.col("delivery") == delivery)
+    kept = stage(own.select("digest", F.col("keep_id").alias("id")).join(same, ["digest", "id"])
                  .select("id", F.col("digest").alias("key"), "same"), "digest-kept")
     return keep_rows(docs, kept, id_col, text_digest(text_col))
 
