@@ -215,8 +215,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     takes = stage(decided.where("taken > 0").groupBy(F.col("h").alias(h)).agg(
         F.sum("taken").alias(taken), F.max("size").alias(size), F.count(F.lit(1)).alias(same)), "mix-takes")
     rows = docs.withColumn(h, order_hash(id_col, text_col))
+    # both joins read one shuffle of the texts
     single = rows.join(takes.where(F.col(same) == 1), h)
-    several = rows.dropDuplicates([h]).join(takes.where(F.col(same) > 1), h)
+    several = rows.join(takes.where(F.col(same) > 1), h).dropDuplicates([h])
     found = single.unionByName(several).withColumn(
         part, F.explode(F.sequence(F.lit(0).cast("long"), F.col(taken) - 1, F.col(size))))
     left = F.col(taken) - F.col(part)
