@@ -13,11 +13,16 @@ again.  Validity is kept by the choice of bases (an area code begins with 2 to
 
 All of it is DataFrame functions: one pattern finds the candidates, a text
 without any is passed on as it is, and only the found values go through the
-rounds.  No shuffle, no Python.  Quantifiers are bounded and possessive where
+rounds.  A candidate that fails validation can hide a value: a text with one is
+searched again from every place where a candidate can begin, each place by all
+kinds and by an IBAN's shorter forms, and the first valid value from the left
+counts.  No shuffle, no Python.  Quantifiers are bounded and possessive where
 classes overlap, so texts of any length and shape take linear time.
 
 Defined cases: a null text stays null with no finds; an empty one stays empty;
-values that fail validation stay; dates outside 1900 to 2099 stay; repeated
+values that fail validation stay, but for valid ones within them; an IBAN has
+its country's length or, with another length or an unknown country, the check
+digits alone decide; dates outside 1900 to 2099 stay; repeated
 rows and null ids are returned as they come; an empty table gives no rows; other
 columns are passed over (``query``) or kept (``pseudonymise``).
 """
@@ -37,6 +42,27 @@ _DAYS = (229, 319)
 
 _LEFT, _RIGHT = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+#: Lengths of IBANs by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK ST TN VG",
+    25: "LY PT", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+
+
+def _iban_form(groups: str, rest: str) -> str:
+    return r"[0-9]{2}(?: ?[0-9A-Z]{4})" + groups + rest + _RIGHT
+
+
+_KNOWN = "(?:" + "|".join(" ".join(IBAN_LENGTHS.values()).split()) + ")"
+_BY_COUNTRY = "(?:" + "|".join(
+    "(?:" + c.replace(" ", "|") + ")" + _iban_form(f"{{{n // 4 - 1}}}", f" ?[0-9A-Z]{{{n % 4}}}" if n % 4 else "")
+    for n, c in IBAN_LENGTHS.items()) + ")"
+_ANY_LENGTH = "[A-Z]{2}" + _iban_form("{2,7}", "(?: ?[0-9A-Z]{1,3})?")
+#: What is tried at a place in turn: the country's length, the longest, and for unknown countries all shorter ones.
+IBAN_FORMS = [_LEFT + _BY_COUNTRY, _LEFT + _ANY_LENGTH] + [
+    _LEFT + "(?!" + _KNOWN + ")[A-Z]{2}" + _iban_form(f"{{{n}}}", rest)
+    for n in range(7, 1, -1) for rest in (" ?[0-9A-Z]{1,3}", "")]
 #: Kinds in the order in which they are tried at a place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}" + _RIGHT,
@@ -48,7 +74,7 @@ PATTERNS = {
              r"|(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])"
              r"|(?<![0-9A-Za-z])\([2-9][0-9]{2}\) ?[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])"
              r"|(?<![0-9A-Za-z.-])[2-9][0-9]{2}[.-][2-9][0-9]{2}[.-][0-9]{4}(?![0-9A-Za-z])",
-    "iban": _LEFT + r"[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?" + _RIGHT,
+    "iban": _LEFT + "(?=[A-Z]{2}[0-9]{2})(?:" + _BY_COUNTRY + "|" + _ANY_LENGTH + ")",
     "card": _LEFT + r"[0-9]{13,19}" + _RIGHT
             + r"|(?<![0-9A-Za-z])[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?![ -]?[0-9]|[A-Za-z])"
               r"|(?<![0-9A-Za-z])[0-9]{4}([ -])[0-9]{6}\2[0-9]{5}(?![ -]?[0-9]|[A-Za-z])",
@@ -63,6 +89,11 @@ KINDS = tuple(PATTERNS)
 ANY = r"(?<![0-9A-Za-z])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 #: Every kind has one of these; texts without any are not searched further.
 SIGN = r"[0-9@=:]|AKIA"
+#: The place before a candidate; group 3 is what it can be: kinds without validation whole, of others more than their longest.
+PLACE = f"(?={ANY})"
+PLACE_VIEW = PLACE + f"(?=({PATTERNS['email']}|{PATTERNS['secret']}|[\\s\\S]{{1,80}}))"
+#: Places are gone through in runs of so many, so that no long array is copied for each.
+RUN = 64
 
 
 def _ints(*values: int) -> Column:
@@ -217,32 +248,95 @@ def kind_of(match: Column) -> Column:
     return out
 
 
-def pseudonym(match: Column, key: str) -> Column:
-    """``(kind, value)``; kind is null for a value that fails validation."""
-    kind = kind_of(match)
+def _value(kind: Column, match: Column, key: str) -> Column:
+    """The pseudonym; null for a value that fails validation."""
     value = F.lit(None).cast("string")
     for k in reversed(KINDS):
         value = F.when(kind == k, _PSEUDONYM[k](match, key)).otherwise(value)
+    return value
+
+
+def pseudonym(match: Column, key: str) -> Column:
+    """``(kind, value)``; kind is null for a value that fails validation."""
+    kind = kind_of(match)
+    value = _value(kind, match, key)
     return F.transform(F.array(F.struct(kind.alias("kind"), value.alias("value"))), lambda x: F.struct(
         F.when(x["value"].isNotNull(), x["kind"]).alias("kind"), F.coalesce(x["value"], match).alias("value")))[0]
 
 
+def _bind(value: Column, then) -> Column:
+    """``then(value)``, with ``value`` worked out once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _at_place(view: Column, key: str) -> Column:
+    """``(kind, n, value)`` of the first valid value right behind the first
+    character of ``view``, ``n`` characters long; null if there is none."""
+    form = lambda kind, p: F.struct(F.lit(kind).alias("kind"), F.regexp_extract(
+        view, r"(?<=\A[\s\S])(?:" + p + ")", 0).alias("match"))
+    before, after = ([form(k, PATTERNS[k]) for k in ks] for ks in (
+        KINDS[:KINDS.index("iban")], KINDS[KINDS.index("iban") + 1:]))
+    forms = F.concat(F.array(*before), F.when(view.rlike(r"\A[\s\S][A-Z]{2}[0-9]{2}"), F.array(
+        *[form("iban", p) for p in IBAN_FORMS])).otherwise(F.array().cast("array<struct<kind:string,match:string>>")),
+        F.array(*after))
+    tried = F.transform(F.filter(forms, lambda x: x["match"] != ""), lambda x: F.struct(
+        x["kind"].alias("kind"), F.length(x["match"]).alias("n"), _value(x["kind"], x["match"], key).alias("value")))
+    return F.get(F.filter(tried, lambda x: x["value"].isNotNull()), F.lit(0))
+
+
+def _search_again(pieces: Column, views: Column, key: str) -> Column:
+    """``(text, kind)`` per piece.  ``pieces`` is a text cut at its places, with
+    one character and the text up to the first place before them, and ``views``
+    is what each place can be.  A value covers pieces or their beginnings."""
+    n = F.size(views)
+    before = F.transform(F.slice(pieces, F.lit(1), n), lambda p: F.right(p, F.lit(1)))
+    places = F.zip_with(F.slice(pieces, F.lit(2), n), F.zip_with(before, views, lambda a, b: F.concat(a, b)),
+                        lambda p, v: F.struct(p.alias("piece"), v.alias("view")))
+    runs = _bind(places, lambda ps: F.transform(F.sequence(F.lit(0), ((n - 1) / F.lit(RUN)).cast("int")),
+                                                lambda i: F.slice(ps, i * RUN + 1, F.lit(RUN))))
+    out = "array<struct<text:string,kind:string>>"
+    state = lambda covered, texts: F.struct(covered.cast("int").alias("covered"), texts.alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        found = F.when(acc["covered"] == 0, _at_place(x["view"], key))
+        return _bind(found, lambda f: _bind(F.coalesce(f["n"], acc["covered"]), lambda over: state(
+            F.greatest(F.lit(0), over - F.length(x["piece"])), F.concat(acc["out"], F.array(F.struct(
+                F.concat(F.coalesce(f["value"], F.lit("")), F.substring(x["piece"], over + 1, F.length(x["piece"])))
+                .alias("text"), f["kind"].alias("kind")))))))
+
+    def run(acc: Column, xs: Column) -> Column:
+        part = F.aggregate(xs, state(acc["covered"], F.array().cast(out)), step)
+        return _bind(part, lambda p: state(p["covered"], F.concat(acc["out"], F.array(p["out"]))))
+
+    head = F.array(F.struct(F.substring(pieces[0], F.lit(2), F.length(pieces[0])).alias("text"),
+                            F.lit(None).cast("string").alias("kind")))
+    return F.concat(head, F.flatten(F.aggregate(runs, state(F.lit(0), F.array().cast(f"array<{out}>")), run,
+                                                lambda acc: acc["out"])))
+
+
 def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text", finds_col: str = "finds") -> DataFrame:
     """``docs`` with pseudonyms in its text and, as ``finds``, the kinds found
     in order (existing columns of that name are replaced)."""
-    found, = fresh_names(docs, "_found")
+    found, pieces, views, again = fresh_names(docs, "_found", "_pieces", "_views", "_again")
     text = F.col(text_col).cast("string")
     has = F.coalesce(text.rlike(SIGN) & text.rlike(ANY), F.lit(False))
     matches = F.when(has, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
     marked = docs.withColumn(found, F.transform(matches, lambda m: pseudonym(m, key)))
-    pieces = F.split(text, ANY, -1)
+    # a place at the very beginning would give no piece before it
+    lead = F.concat(F.lit("\n"), text)
+    failed = F.exists(F.col(found), lambda x: x["kind"].isNull())
+    marked = marked.withColumns({pieces: F.when(failed, F.split(lead, PLACE, -1)),
+                                 views: F.when(failed, F.regexp_extract_all(lead, F.lit(PLACE_VIEW), F.lit(3)))})
+    marked = marked.withColumn(again, F.when(F.col(pieces).isNotNull(), _search_again(F.col(pieces), F.col(views), key)))
     rebuilt = F.array_join(F.flatten(F.zip_with(
-        pieces, F.concat(F.transform(F.col(found), lambda x: x["value"]), F.array(F.lit(""))),
+        F.split(text, ANY, -1), F.concat(F.transform(F.col(found), lambda x: x["value"]), F.array(F.lit(""))),
         lambda a, b: F.array(a, b))), "")
+    kinds = F.coalesce(F.transform(F.col(again), lambda x: x["kind"]), F.transform(F.col(found), lambda x: x["kind"]))
     return marked.withColumns({
-        text_col: F.when(F.col(found).isNull(), text).otherwise(rebuilt),
-        finds_col: F.coalesce(F.filter(F.transform(F.col(found), lambda x: x["kind"]), lambda k: k.isNotNull()),
-                              F.array().cast("array<string>"))}).drop(found)
+        text_col: F.when(F.col(found).isNull(), text).when(F.col(again).isNotNull(), F.array_join(F.transform(
+            F.col(again), lambda x: x["text"]), "")).otherwise(rebuilt),
+        finds_col: F.coalesce(F.filter(kinds, lambda k: k.isNotNull()), F.array().cast("array<string>"))}).drop(
+            found, pieces, views, again)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
