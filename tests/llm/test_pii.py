@@ -98,6 +98,22 @@ def test_values_behind_or_within_failing_candidates(spark):
     assert many == [(f"VS12 {out[1][0]}, " * 200, ["card"] * 200)]
 
 
+def test_secrets_of_any_length(spark):
+    a = "".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(10))[:600]
+    b = a[:-1] + ("0" if a[-1] != "0" else "1")
+    signed = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"
+    out = run(spark, [f"token={a}", f"token={b}", f"token={signed}. Next", "token=" + "a1b2c3d4e5" * 20_000,
+                      "token=abcdefgh" + ".a1" * 20_000])
+    assert [f for _, f in out] == [["secret"]] * 5
+    for value, (text, _) in ((a, out[0]), (b, out[1])):
+        assert len(text) == 606 and not [i for i in range(0, 600, 8) if value[i:i + 8] == text[6 + i:14 + i]]
+    assert out[0][0][:300] != out[1][0][:300]  # not linked by the beginning
+    got = out[2][0][6:-6].split(".")
+    assert out[2][0].endswith(". Next") and list(map(len, got)) == list(map(len, signed.split(".")))
+    assert not set(got) & set(signed.split("."))
+    assert len(out[3][0]) == 200_006 and out[4][0].count(".a1") < 2_000
+
+
 def test_no_value_of_the_documents_stays(spark):
     before = {r.doc_id: r.text for r in documents(spark, SF).select("doc_id", "text").collect()}
     patterns = [r"[a-z]+\.\d\d@mail\d\.example\.com", r"\+1 \(\d{3}\) \d{3}-\d{4}", r"(?<!\d)\d{16}(?!\d)",

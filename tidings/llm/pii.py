@@ -13,10 +13,10 @@ again.  Validity is kept by the choice of bases (an area code begins with 2 to
 
 All of it is DataFrame functions: one pattern finds the candidates, a text
 without any is passed on as it is, and only the found values go through the
-rounds.  A candidate that fails validation can hide a value: a text with one is
+rounds; a secret has any length, with the parts that single dots join.  A candidate that fails validation can hide a value: a text with one is
 searched again from every place where a candidate can begin, each place by all
 kinds and by an IBAN's shorter forms, and the first valid value from the left
-counts.  No shuffle, no Python.  Quantifiers are bounded and possessive where
+counts.  No shuffle, no Python.  Quantifiers are bounded or possessive where
 classes overlap, so texts of any length and shape take linear time.
 
 Defined cases: a null text stays null with no finds; an empty one stays empty;
@@ -68,7 +68,7 @@ PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}" + _RIGHT,
     "secret": r"(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}" + _RIGHT
               + r"|(?i:(?<![a-z])(?:password|passwd|secret|token|api[_-]?key)[ \t]{0,3}[=:][ \t]{0,3}[\"']?)"
-                r"[0-9A-Za-z_+/-]{8,256}+",
+                r"[0-9A-Za-z_+/-]{8,}+(?:\.[0-9A-Za-z_+/-]++)*+",
     "phone": r"(?<![0-9A-Za-z+])\+1[ .-]?\(?[2-9][0-9]{2}\)?[ .-]?[2-9][0-9]{2}[ .-]?[0-9]{4}(?![0-9])"
              r"|(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?\([0-9]{1,4}\)[ .-]?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])"
              r"|(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])"
