@@ -114,6 +114,13 @@ def test_secrets_of_any_length(spark):
     assert len(out[3][0]) == 200_006 and out[4][0].count(".a1") < 2_000
 
 
+def test_key_word_after_a_digit(spark):
+    out = run(spark, ["oauth2token=abcdefgh12", "db1password=abcdefgh12 db2_secret: abcdefgh12", "mytoken=abcdefgh12"])
+    assert re.fullmatch(r"oauth2token=[a-z]{8}\d\d", out[0][0]) and "abcdefgh12" not in out[0][0] + out[1][0]
+    assert out[1][0].startswith("db1password=") and out[2][0] == "mytoken=abcdefgh12"
+    assert [f for _, f in out] == [["secret"], ["secret"] * 2, []]
+
+
 def test_no_value_of_the_documents_stays(spark):
     before = {r.doc_id: r.text for r in documents(spark, SF).select("doc_id", "text").collect()}
     patterns = [r"[a-z]+\.\d\d@mail\d\.example\.com", r"\+1 \(\d{3}\) \d{3}-\d{4}", r"(?<!\d)\d{16}(?!\d)",

@@ -85,8 +85,10 @@ PATTERNS = {
             r"|(?<![0-9A-Za-z/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9A-Za-z/])",
 }
 KINDS = tuple(PATTERNS)
-#: No kind begins inside a word: that is tested once, before the kinds are tried.
-ANY = r"(?<![0-9A-Za-z])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
+#: No kind begins after a letter, and none but a secret's key word after a digit: that is tested once, before the kinds
+#: are tried.
+ANY = (r"(?<![A-Za-z])(?:(?<![0-9])(?:" + "|".join(f"(?:{p})" for k, p in PATTERNS.items() if k != "secret")
+       + f")|(?:{PATTERNS['secret']}))")
 #: Every kind has one of these; texts without any are not searched further.
 SIGN = r"[0-9@=:]|AKIA"
 #: The place before a candidate; group 3 is what it can be: kinds without validation whole, of others more than their longest.
@@ -100,6 +102,11 @@ def _ints(*values: int) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def _bind(value: Column, then) -> Column:
+    """``then(value)``, with ``value`` worked out once."""
+    return F.transform(F.array(value), then)[0]
+
+
 def feistel(values: Column, bases: Column, key: str, kind: str) -> Column:
     """The keyed permutation of ``values`` (``0 <= values[i] < bases[i]``, both
     int arrays).  A half longer than 32 symbols uses its hash again."""
@@ -112,9 +119,9 @@ def feistel(values: Column, bases: Column, key: str, kind: str) -> Column:
         seed = F.concat(F.lit(f"{key}|{kind}|"), i.cast("string"), F.lit("|"), F.size(acc["l"]).cast("string"),
                         F.lit("|"), F.array_join(acc["r"].cast("array<string>"), ","))
         stream = F.sha2(seed.cast("binary"), 256)
-        shifted = F.transform(acc["l"], lambda v, p: F.pmod(
-            v + F.conv(F.substring(F.concat(stream, stream), ((p % 32) * 2 + 1).cast("int"), F.lit(6)), 16, 10).cast("int"),
-            F.element_at(acc["lb"], p + 1)))
+        shifted = _bind(F.concat(stream, stream), lambda twice: F.transform(acc["l"], lambda v, p: F.pmod(
+            v + F.conv(F.substring(twice, ((p % 32) * 2 + 1).cast("int"), F.lit(6)), 16, 10).cast("int"),
+            F.element_at(acc["lb"], p + 1))))
         return F.struct(acc["r"].alias("l"), shifted.alias("r"), acc["rb"].alias("lb"), acc["lb"].alias("rb"))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda acc: F.concat(acc["l"], acc["r"]))
@@ -264,11 +271,6 @@ def pseudonym(match: Column, key: str) -> Column:
         F.when(x["value"].isNotNull(), x["kind"]).alias("kind"), F.coalesce(x["value"], match).alias("value")))[0]
 
 
-def _bind(value: Column, then) -> Column:
-    """``then(value)``, with ``value`` worked out once."""
-    return F.transform(F.array(value), then)[0]
-
-
 def _at_place(view: Column, key: str) -> Column:
     """``(kind, n, value)`` of the first valid value right behind the first
     character of ``view``, ``n`` characters long; null if there is none."""
