@@ -121,6 +121,17 @@ def test_key_word_after_a_digit(spark):
     assert [f for _, f in out] == [["secret"], ["secret"] * 2, []]
 
 
+def test_time_stamps_and_one_digit_groups(spark):
+    out = run(spark, ["at 2024-01-15T10:00:00Z", "at 2024-01-15", "at 2024-01-15T10Z", "at 2024-01-15Txy", "tel +33 1 42 68 53 00.",
+                      "+33 6 12 34 56 78", "+33142685300", "+33 (0)1 42 68 53 00", "+55 11 9 1234 5678", "+1 2 3"])
+    assert out[0] == (out[1][0] + "T10:00:00Z", ["date"]) and out[2] == (out[1][0] + "T10Z", ["date"])
+    assert out[1][0] != "at 2024-01-15" and out[3] == ("at 2024-01-15Txy", [])
+    assert [f for _, f in out[4:]] == [["phone"]] * 5 + [[]] and out[9][0] == "+1 2 3"
+    assert re.fullmatch(r"tel \+33 \d(?: \d\d){4}\.", out[4][0]) and "42 68 53" not in out[4][0]
+    assert re.sub(r"[^0-9]", "", out[4][0]) == out[6][0][1:] and re.fullmatch(r"\+33 \d(?: \d\d){4}", out[5][0])
+    assert out[7][0].startswith("+33 (") and "42 68 53" not in out[7][0] and "1234 5678" not in out[8][0]
+
+
 def test_no_value_of_the_documents_stays(spark):
     before = {r.doc_id: r.text for r in documents(spark, SF).select("doc_id", "text").collect()}
     patterns = [r"[a-z]+\.\d\d@mail\d\.example\.com", r"\+1 \(\d{3}\) \d{3}-\d{4}", r"(?<!\d)\d{16}(?!\d)",
