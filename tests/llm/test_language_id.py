@@ -80,3 +80,10 @@ def test_empty(spark, docs, no_docs):
     assert [(r.lang, r.score) for r in got] == [(None, None)]
     assert L.identify(no_docs, pages.limit(0)).collect() == []
     assert len(L.identify(docs, pages.limit(0)).collect()) == docs.count()
+
+
+def test_declared_language_behind_a_long_comment():
+    page = f"<!-- {'x' * 30_000} -->{' ' * 30_000}<html class='{'c' * 3_000}' lang=\"de-AT\"><body>"
+    assert L.declared_language(page) == "de"
+    assert L.declared_language("<html><p lang='fr'>") is None
+    assert L.declared_language("<html " * 50_000) is None

@@ -48,7 +48,8 @@ _HIDDEN = re.compile(r"<(script|style|!--)", re.I)
 _CLOSE = {"!--": re.compile("-->"), "script": re.compile("</script[^<>]*>?", re.I),
           "style": re.compile("</style[^<>]*>?", re.I)}
 _TAG = re.compile(r"<[^<>]*>")
-_LANG = re.compile(r"<html\b[^<>]{0,2000}?\slang\s{0,9}=\s{0,9}[\"']?([A-Za-z]{2,3})\b", re.I)
+_HTML = re.compile(r"<html\b[^<>]*+", re.I)
+_LANG = re.compile(r"\slang\s{0,9}=\s{0,9}[\"']?([A-Za-z]{2,3})\b", re.I)
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -73,8 +74,11 @@ def visible(page: str) -> str:
 
 
 def declared_language(page: str) -> str | None:
-    m = _LANG.search(page, 0, 20_000)
-    return m[1].lower() if m else None
+    """By the first ``<html>`` tag that names one, wherever it stands; linear."""
+    for tag in _HTML.finditer(page):
+        if m := _LANG.search(page, tag.start(), tag.end()):
+            return m[1].lower()
+    return None
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text",
@@ -166,7 +170,7 @@ def fuse(records: DataFrame, langs: list[str]) -> DataFrame:
     labels, is_page = F.split("host", r"\."), F.col("url").isNotNull()
     top = labels[F.size(labels) - 1]
     domain = F.when(is_page, F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - 1), F.lit(2)), "."))
-    suffix = F.when(is_page & top.rlike("^[a-z]{2,24}$"), top)
+    suffix = F.when(is_page & top.rlike("^[a-z][a-z0-9-]{1,62}$"), top)
     # a document's source and a page's host are different things
     key = lambda c: F.unhex(F.md5(F.concat(
         is_page.cast("string"), F.lit("|"), F.coalesce(c, F.lit(""))).cast("binary")))
