@@ -16,9 +16,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def check(rows, docs, tokenizer, size):
@@ -65,18 +63,23 @@ def test_cached_words_give_the_same_ids(tokenizer, text):
     cache = P._cache(public_tokenizers.path("byte_bpe_50k.json"))
     want = tokenizer.encode(text, add_special_tokens=False).ids
     got = cache.encode_many([text, "", text + " x"])
-    assert np.frombuffer(got[0], "<u4").tolist() == want and got[1] == b""
+    assert got[0].tolist() == want and got[1].tolist() == []
+
+
+def test_a_special_token_is_the_tokenizers_own(tokenizer):
+    cache = P._cache(public_tokenizers.path("byte_bpe_50k.json"))
+    got = cache.encode_many(["a <|endoftext|> b"])[0].tolist()
+    assert got == [64, 220, 50256, 275] == tokenizer.encode("a <|endoftext|> b", add_special_tokens=False).ids
 
 
 def test_a_full_cache_gives_the_same_ids(tokenizer, monkeypatch):
-    monkeypatch.setattr(P, "CACHE_WORDS", 40)
+    monkeypatch.setattr(P, "CACHE_CHARS", 400)
     monkeypatch.setattr(P, "SLICE_CHARS", 30)
     cache = P.WordCache(public_tokenizers.path("byte_bpe_50k.json"))
     for k in range(5):
         text = "\n".join(" ".join(f"word{i * (k + 1) + j}." for i in range(20)) for j in range(5))
-        assert np.frombuffer(cache.encode_many([text])[0], "<u4").tolist() == tokenizer.encode(
-            text, add_special_tokens=False).ids
-        assert len(cache.first) + len(cache.after) <= 80
+        assert cache.encode_many([text])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert sum(map(len, cache.number)) <= 400 + 1000
 
 
 @settings(max_examples=60, deadline=None)

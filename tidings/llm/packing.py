@@ -27,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,80 +36,88 @@ from tidings.llm.common import documents, stage, text_of
 SEQUENCE = 2048
 END_ID = 0
 RANK_ROWS = 1_000
-#: Words whose ids a Python worker remembers, half of them without a blank before.
-CACHE_WORDS = 3_000_000
+#: Characters of words whose ids a Python worker remembers; beyond them it
+#: begins anew.  A word costs about 100 bytes beside its characters.
+CACHE_CHARS = 2_000_000
 #: Text that is cut into words at once.
-SLICE_CHARS = 1 << 16
+SLICE_CHARS = 1 << 20
+#: Stands between words while Arrow cuts a text; texts that hold it are irregular.
+MARK = "\x01"
 _VOCABULARY = "byte_bpe_50k.json"
 
 
 class WordCache:
-    """Token ids (little-endian 32-bit) of words, each learnt once per worker.
+    """Token ids of words, each learnt once per worker.
 
     The byte-level pattern begins a new word at white space that follows
     another character, and takes a line break between two other characters as a
-    word of its own.  So a text's ids are the ids of its parts cut before
-    such blanks and around such line breaks; a part with the blank before it
-    is kept in ``after``, one without in ``first``.
+    word of its own.  So a text's ids are the ids of its parts cut before such
+    blanks and around such line breaks.  Arrow cuts a slice of texts into these
+    parts and numbers the distinct ones; only those are looked up here, and
+    the ids of all parts are gathered with numpy offsets.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.line = self._ids("\n")
-        self.first: dict[str, bytes] = {}
-        self.after: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
-
-    def _learn(self, known: dict[str, bytes], words: set[str], before: str) -> None:
-        """Words without white space, many at once: one per line, and the line
-        breaks' id parts them again.  A final full stop or comma after a letter
-        is a word of its own."""
-        words = {w for w in words if w and w not in known}
-        ends = {w: w[:-1] for w in words if w[-1] in ".," and w[-2:-1].isalpha()}
-        new = [w for w in {ends.get(w, w) for w in words} if w not in known]
-        for i in range(0, len(new), 4096):
-            some = new[i:i + 4096]
-            ids = np.frombuffer(self._ids("\n".join([before + w for w in some])), "<u4")
-            at = np.flatnonzero(ids == np.frombuffer(self.line, "<u4")[0]).tolist()
-            data = ids.tobytes()
-            for w, lo, hi in zip(some, [0, *[x + 1 for x in at]], [*at, len(ids)]):
-                known[w] = data[4 * lo:4 * hi]
-        marks = {m: self._ids(m) for m in ".,"} if ends else {}
-        for w, stem in ends.items():
-            known[w] = known[stem] + marks[w[-1]]
-
-    def _prepare(self, firsts: set[str], afters: set[str]) -> None:
-        for known, words, before in ((self.first, firsts, ""), (self.after, afters, " ")):
-            if not all(map(known.__contains__, words)):
-                if len(known) > CACHE_WORDS // 2:
-                    known.clear()
-                self._learn(known, words, before)
-
-    def _slices(self, slices: list[str]) -> list[bytes]:
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.line = int(self._ids("\n")[0])
+        self._clear()
+
+    def _clear(self) -> None:
+        """``number`` of every known part; the ids of part k are
+        ``ids[starts[k]:starts[k + 1]]``."""
+        self.number: dict[str, int] = {"": 0, "\n": 1}
+        self.chars = 0
+        self.ids = np.array([self.line], np.uint32)
+        self.starts = np.array([0, 0, 1], np.int64)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _learn(self, words: list[str]) -> None:
+        """Unknown parts (a word, or a blank and a word), many at once: one per
+        line, and the line breaks' id parts them again."""
+        found = []
+        for i in range(0, len(words), 4096):
+            some = words[i:i + 4096]
+            ids = self._ids("\n".join(some))
+            at = np.flatnonzero(ids == self.line)
+            found.append((np.delete(ids, at), np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1))
+        n = len(self.number)
+        self.number.update(zip(words, range(n, n + len(words))))
+        self.chars += sum(map(len, words))
+        self.ids = np.concatenate([self.ids, *[x for x, _ in found]])
+        sizes = np.concatenate([x for _, x in found])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+
+    def _slices(self, slices: list[str]) -> list[np.ndarray]:
         """Ids of regular slices: pieces of texts that begin at the start of a
         text or with the blank at which they were cut."""
-        cut = [[line.split(" ") for line in text.split("\n")] for text in slices]
-        self.first[""] = b""  # the empty text, and what stands before a cut
-        try:
-            return self._known(cut)
-        except KeyError:
-            words = [w for lines in cut for w in lines]
-            self._prepare({w[0] for w in words}, set().union(*[w[1:] for w in words]))
-            self.first[""] = b""
-            return self._known(cut)
-
-    def _known(self, cut: list[list[list[str]]]) -> list[bytes]:
-        first, after = self.first.__getitem__, self.after.__getitem__
-        return [self.line.join([first(w[0]) + b"".join(map(after, w[1:])) for w in lines]) for lines in cut]
-
-    def encode_many(self, texts: list[str]) -> list[bytes]:
+        if self.chars > CACHE_CHARS:
+            self._clear()
+        marked = pc.replace_substring(pa.array(slices, pa.large_string()), " ", MARK + " ")
+        lists = pc.split_pattern(pc.replace_substring(marked, "\n", f"{MARK}\n{MARK}"), MARK)
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        new = [w for w in words if w not in self.number]
+        if new:
+            self._learn(new)
+        which = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        which = which[coded.indices.to_numpy()]
+        begin = self.starts[which]
+        sizes = self.starts[which + 1] - begin
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        # position of every id: its part's first id, then one after the other
+        ids = self.ids[np.repeat(begin - ends + sizes, sizes) + np.arange(total)]
+        bounds = np.concatenate([[0], ends])[lists.offsets.to_numpy()]
+        return [ids[lo:hi] for lo, hi in zip(bounds, bounds[1:])]
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of every text, about ``SLICE_CHARS`` of text at a time."""
-        out: list[list[bytes]] = [[] for _ in texts]
-        held, size = [], 0
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        held, size, odd = [], 0, []
 
         def flush():
             nonlocal held, size
@@ -117,9 +126,11 @@ class WordCache:
             held, size = [], 0
 
         for i, text in enumerate(texts):
+            if any(t in text for t in self.special):
+                out[i] = [self._ids(text)]
+                continue
             if _irregular(text):
-                flush()
-                out[i] = [self._part(p) for p in _parts(text)]
+                odd.append(i)
                 continue
             start = 0
             while start < len(text):
@@ -129,22 +140,31 @@ class WordCache:
                 size, start = size + end - start, end
                 if size >= SLICE_CHARS:
                     flush()
-        flush()
-        return [b"".join(x) for x in out]
-
-    def _part(self, part: str) -> bytes:
-        """Ids of a part of an irregular text; those with white space inside
-        are tokenised as they stand."""
-        blank = part[0] == " "
-        word = part[blank:]
-        if not word or len(word) > 64 or any(c.isspace() for c in word):
-            return self._ids(part)
-        self._prepare(set() if blank else {word}, {word} if blank else set())
-        return (self.after if blank else self.first)[word]
-
-
-#: White space other than blanks and line breaks, by any definition.
-_OTHER_SPACE = ("\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+        if held:
+            flush()
+        for i, ids in zip(odd, self._irregular_texts([texts[i] for i in odd])):
+            out[i] = [ids]
+        return [np.concatenate(x) if x else np.empty(0, np.uint32) for x in out]
+
+    def _irregular_texts(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of irregular texts; parts with white space inside are tokenised
+        as they stand, the others are learnt all at once."""
+        if self.chars > CACHE_CHARS:
+            self._clear()
+        cut = [_parts(t) for t in texts]
+        words = {p for parts in cut for p in parts if _simple(p)}
+        new = [w for w in words if w not in self.number]
+        if new:
+            self._learn(new)
+        return [np.concatenate([self._known(p) if p in words else self._ids(p) for p in parts]) for parts in cut]
+
+    def _known(self, word: str) -> np.ndarray:
+        k = self.number[word]
+        return self.ids[self.starts[k]:self.starts[k + 1]]
+
+
+#: White space other than blanks and line breaks, by any definition, and ``MARK``.
+_OTHER_SPACE = ("\x01\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
                 "\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
@@ -174,6 +194,11 @@ def _parts(text: str) -> list[str]:
     return [p for p in parts if p]
 
 
+def _simple(part: str) -> bool:
+    word = part[part[0] == " ":]
+    return bool(word) and len(word) <= 64 and not any(c.isspace() or c == MARK for c in word)
+
+
 @lru_cache(maxsize=2)
 def _cache(path: str) -> WordCache:
     import os
@@ -198,14 +223,14 @@ def token_pieces(docs: DataFrame, vocabulary: str = _VOCABULARY, sequence: int =
         for b in batches:
             out: list[list] = [[], [], [], [], [], []]
             for i, data in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist())):
-                data += END_ID.to_bytes(4, "little")
-                n = len(data) // 4
+                data = np.append(data, np.uint32(END_ID)).astype("<u4", copy=False)
+                n = len(data)
                 first = n % sequence or sequence
                 start, piece, length = 0, 0, min(first, n)
                 while start < n:
-                    part = data[4 * start:4 * (start + length)]
+                    part = data[start:start + length]
                     for to, v in zip(out, (i, piece, start, length, zlib.crc32(part),
-                                           np.frombuffer(part, "<u4") if with_ids else None)):
+                                           part if with_ids else None)):
                         to.append(v)
                     start, piece, length = start + length, piece + 1, sequence
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
