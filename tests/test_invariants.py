@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_MID, SF_SMALL
+from table_paths import SF_MID, SF_SMALL
 
 
 # ---- helpers -------------------------------------------------------------------

@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from table_paths import SF_SMALL
 from tidings.plans import registry
 from tools.oracle_check import duck, frame_digest
 

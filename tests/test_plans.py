@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as E
 from tidings.plans import registry
-from conftest import SF_SMALL
+from table_paths import SF_SMALL
 
 
 def test_vectors_are_joined_once_per_distinct_token(spark):

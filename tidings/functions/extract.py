@@ -126,9 +126,9 @@ def extract_by_rules(pages: DataFrame, rules: DataFrame, site_col: str, html_col
     array, so a page is read once and nothing is grouped."""
     cols = ("field", "mode", "tag", "attr", "value", "arg", "last")
     per_site = rules.groupBy(F.col("site").alias("_site")).agg(F.collect_list(F.struct(*cols)).alias("_own"))
-    everywhere = per_site.where("_site is null").select(F.col("_own").alias("_all"))
+    everywhere = per_site.where("_site is null").select("_own")  # one row
     joined = (pages.join(per_site.where("_site is not null"), F.col(site_col) == F.col("_site"), "left")
-              .join(F.broadcast(everywhere), how="left"))  # one row
+              .withColumn("_all", everywhere.scalar()))
     none = F.array().cast(per_site.schema["_own"].dataType)
 
     def apply(r):
