@@ -57,29 +57,32 @@ def test_small_sequences(spark, tokenizer):
     assert bins <= least * 1.002 + 1
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(st.sampled_from("aB1é.,'s \n\t  \x1c<|>中 "), max_size=40))
-def test_cached_words_give_the_same_ids(tokenizer, text):
-    cache = P._cache(public_tokenizers.path("byte_bpe_50k.json"))
-    want = tokenizer.encode(text, add_special_tokens=False).ids
-    got = cache.encode_many([text, "", text + " x"])
-    assert got[0].tolist() == want and got[1].tolist() == []
+def encoder():
+    return P._encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.one_of(st.text(st.sampled_from("aB1é.,'s \n\t  \x01\x1c\x85\u2028\u3000<|>中ß½٣ "), max_size=40), st.text(max_size=40),
+                 st.lists(st.sampled_from(["<|endoftext|>", " ", "a", "bc.", "\n", "it's", "  ", "I'LL"]), max_size=12).map("".join)))
+def test_ranks_give_the_tokenizers_ids(tokenizer, text):
+    assert encoder().encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_a_special_token_is_the_tokenizers_own(tokenizer):
-    cache = P._cache(public_tokenizers.path("byte_bpe_50k.json"))
-    got = cache.encode_many(["a <|endoftext|> b"])[0].tolist()
+    got = encoder().encode("a <|endoftext|> b").tolist()
     assert got == [64, 220, 50256, 275] == tokenizer.encode("a <|endoftext|> b", add_special_tokens=False).ids
 
 
-def test_a_full_cache_gives_the_same_ids(tokenizer, monkeypatch):
-    monkeypatch.setattr(P, "CACHE_CHARS", 400)
-    monkeypatch.setattr(P, "SLICE_CHARS", 30)
-    cache = P.WordCache(public_tokenizers.path("byte_bpe_50k.json"))
-    for k in range(5):
-        text = "\n".join(" ".join(f"word{i * (k + 1) + j}." for i in range(20)) for j in range(5))
-        assert cache.encode_many([text])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
-        assert sum(map(len, cache.number)) <= 400 + 1000
+@pytest.mark.parametrize("unit", ["a", " ", "ab1", "é", "\n", "x ", "=-"])
+def test_long_stretches(tokenizer, unit):
+    text = "start " + unit * 60_000 + " end"
+    assert encoder().encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_whole_tables_by_the_tokenizer_alone(spark):
+    docs = documents(spark, "/root/testdata/sf0.01")
+    fast, slow = P.token_pieces(docs), P.token_pieces(docs, ranks=None)
+    assert fast.exceptAll(slow).count() == 0 and slow.count() == fast.count()
 
 
 @settings(max_examples=60, deadline=None)

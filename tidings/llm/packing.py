@@ -14,20 +14,20 @@ that a third of all pieces have is no hot group.
 
 Defined cases: a null text is empty and packed as its end id alone; repeated
 rows are packed each; ids need not be unique or non-null; an empty table gives no
-rows; other columns are passed over.  Long texts are tokenised in slices cut
-before white space that follows another character, where the tokeniser's
-pattern always begins a new word, so slices do not change the ids.
+rows; other columns are passed over, whatever their names.  A long text is
+tokenised whole, in one task.
 """
 
 from __future__ import annotations
 
+import base64
+import re
 import zlib
 from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,194 +36,69 @@ from tidings.llm.common import documents, stage, text_of
 SEQUENCE = 2048
 END_ID = 0
 RANK_ROWS = 1_000
-#: Characters of words whose ids a Python worker remembers; beyond them it
-#: begins anew.  A word costs about 100 bytes beside its characters.
-CACHE_CHARS = 2_000_000
-#: Text that is cut into words at once.
-SLICE_CHARS = 1 << 20
-#: Stands between words while Arrow cuts a text; texts that hold it are irregular.
-MARK = "\x01"
-_VOCABULARY = "byte_bpe_50k.json"
-
-
-class WordCache:
-    """Token ids of words, each learnt once per worker.
-
-    The byte-level pattern begins a new word at white space that follows
-    another character, and takes a line break between two other characters as a
-    word of its own.  So a text's ids are the ids of its parts cut before such
-    blanks and around such line breaks.  Arrow cuts a slice of texts into these
-    parts and numbers the distinct ones; only those are looked up here, and
-    the ids of all parts are gathered with numpy offsets.
+_VOCABULARY, _RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
+
+
+#: What the rank file's encoder leaves to the tokenizer: very long stretches
+#: of one kind, on which its pattern or its merging is slow.
+_LONG = re.compile(r"\S{1000}|\s{1000}")
+
+
+class Encoder:
+    """Token ids of a text, as ``tokenizers`` gives them in a plain call.
+
+    Where a rank file of the same vocabulary is given, ordinary texts are
+    encoded with it, which is several times faster and gives the same ids; texts
+    with the string of a special token, which the plain call takes as that
+    token, and texts with a very long stretch go to the tokenizer itself.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, vocabulary: str, ranks: str | None):
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(vocabulary)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.line = int(self._ids("\n")[0])
-        self._clear()
-
-    def _clear(self) -> None:
-        """``number`` of every known part; the ids of part k are
-        ``ids[starts[k]:starts[k + 1]]``."""
-        self.number: dict[str, int] = {"": 0, "\n": 1}
-        self.chars = 0
-        self.ids = np.array([self.line], np.uint32)
-        self.starts = np.array([0, 0, 1], np.int64)
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-
-    def _learn(self, words: list[str]) -> None:
-        """Unknown parts (a word, or a blank and a word), many at once: one per
-        line, and the line breaks' id parts them again."""
-        found = []
-        for i in range(0, len(words), 4096):
-            some = words[i:i + 4096]
-            ids = self._ids("\n".join(some))
-            at = np.flatnonzero(ids == self.line)
-            found.append((np.delete(ids, at), np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1))
-        n = len(self.number)
-        self.number.update(zip(words, range(n, n + len(words))))
-        self.chars += sum(map(len, words))
-        self.ids = np.concatenate([self.ids, *[x for x, _ in found]])
-        sizes = np.concatenate([x for _, x in found])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-
-    def _slices(self, slices: list[str]) -> list[np.ndarray]:
-        """Ids of regular slices: pieces of texts that begin at the start of a
-        text or with the blank at which they were cut."""
-        if self.chars > CACHE_CHARS:
-            self._clear()
-        marked = pc.replace_substring(pa.array(slices, pa.large_string()), " ", MARK + " ")
-        lists = pc.split_pattern(pc.replace_substring(marked, "\n", f"{MARK}\n{MARK}"), MARK)
-        coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        new = [w for w in words if w not in self.number]
-        if new:
-            self._learn(new)
-        which = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        which = which[coded.indices.to_numpy()]
-        begin = self.starts[which]
-        sizes = self.starts[which + 1] - begin
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        # position of every id: its part's first id, then one after the other
-        ids = self.ids[np.repeat(begin - ends + sizes, sizes) + np.arange(total)]
-        bounds = np.concatenate([[0], ends])[lists.offsets.to_numpy()]
-        return [ids[lo:hi] for lo, hi in zip(bounds, bounds[1:])]
-
-    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of every text, about ``SLICE_CHARS`` of text at a time."""
-        out: list[list[np.ndarray]] = [[] for _ in texts]
-        held, size, odd = [], 0, []
-
-        def flush():
-            nonlocal held, size
-            for (i, _), ids in zip(held, self._slices([x for _, x in held])):
-                out[i].append(ids)
-            held, size = [], 0
-
-        for i, text in enumerate(texts):
-            if any(t in text for t in self.special):
-                out[i] = [self._ids(text)]
-                continue
-            if _irregular(text):
-                odd.append(i)
-                continue
-            start = 0
-            while start < len(text):
-                end = text.find(" ", start + SLICE_CHARS) if len(text) - start > SLICE_CHARS else -1
-                end = len(text) if end < 0 else end
-                held.append((i, text[start:end]))
-                size, start = size + end - start, end
-                if size >= SLICE_CHARS:
-                    flush()
-        if held:
-            flush()
-        for i, ids in zip(odd, self._irregular_texts([texts[i] for i in odd])):
-            out[i] = [ids]
-        return [np.concatenate(x) if x else np.empty(0, np.uint32) for x in out]
-
-    def _irregular_texts(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of irregular texts; parts with white space inside are tokenised
-        as they stand, the others are learnt all at once."""
-        if self.chars > CACHE_CHARS:
-            self._clear()
-        cut = [_parts(t) for t in texts]
-        words = {p for parts in cut for p in parts if _simple(p)}
-        new = [w for w in words if w not in self.number]
-        if new:
-            self._learn(new)
-        return [np.concatenate([self._known(p) if p in words else self._ids(p) for p in parts]) for parts in cut]
-
-    def _known(self, word: str) -> np.ndarray:
-        k = self.number[word]
-        return self.ids[self.starts[k]:self.starts[k + 1]]
-
-
-#: White space other than blanks and line breaks, by any definition, and ``MARK``.
-_OTHER_SPACE = ("\x01\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
-                "\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
-
-
-def _irregular(text: str) -> bool:
-    """Whether a blank or line break has white space beside it, or begins or
-    ends the text, or there is other white space."""
-    return (text[:1] in (" ", "\n") or text[-1:] in (" ", "\n")) and text != "" or any(
-        x in text for x in ("  ", " \n", "\n ", "\n\n")) or any(c in text for c in _OTHER_SPACE)
-
-
-def _parts(text: str) -> list[str]:
-    """``text`` cut before every blank that stands between two characters
-    which are not white space."""
-    parts: list[str] = []
-    run: list[str] = []
-    for i, w in enumerate(text.split(" ")):
-        if i:
-            last = run[-1][-1:]
-            if w and last and not last.isspace() and not w[0].isspace():
-                parts.append("".join(run))
-                run = [" " + w]
-                continue
-            run.append(" ")
-        if w or not run:
-            run.append(w)
-    parts.append("".join(run))
-    return [p for p in parts if p]
-
-
-def _simple(part: str) -> bool:
-    word = part[part[0] == " ":]
-    return bool(word) and len(word) <= 64 and not any(c.isspace() or c == MARK for c in word)
+        self.ranked = None
+        if ranks:
+            import public_tokenizers
+            import tiktoken
+            with open(ranks, "rb") as f:
+                known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            self.ranked = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known,
+                                            special_tokens={})
+
+    def encode(self, text: str) -> np.ndarray:
+        if self.ranked and not any(t in text for t in self.special) and not _LONG.search(text):
+            return np.array(self.ranked.encode_ordinary(text), "<u4")
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
 
 @lru_cache(maxsize=2)
-def _cache(path: str) -> WordCache:
+def _encoder(vocabulary: str, ranks: str | None) -> Encoder:
     import os
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return WordCache(path)
+    return Encoder(vocabulary, ranks)
 
 
-def _vocabulary(name: str) -> str:
-    if "/" in name:
+def _vocabulary(name: str | None) -> str | None:
+    if name is None or "/" in name:
         return name
     import public_tokenizers
     return public_tokenizers.path(name)
 
 
-def token_pieces(docs: DataFrame, vocabulary: str = _VOCABULARY, sequence: int = SEQUENCE,
-                 id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str = _VOCABULARY, ranks: str | None = _RANKS,
+                 sequence: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text",
+                 with_ids: bool = False) -> DataFrame:
     """The pieces of every document: ``doc_id``, ``piece``, ``start``,
     ``length``, ``ids_crc32`` and, if wanted, the token ``ids`` themselves.
-    ``vocabulary`` is a file of the tokenizer package or a path."""
+    ``vocabulary`` is a file of the tokenizer package or a path, ``ranks`` a
+    rank file of the same vocabulary or None."""
     def run(batches):
-        encode = _cache(_vocabulary(vocabulary)).encode_many
+        encode = _encoder(_vocabulary(vocabulary), _vocabulary(ranks)).encode
         for b in batches:
             out: list[list] = [[], [], [], [], [], []]
-            for i, data in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist())):
-                data = np.append(data, np.uint32(END_ID)).astype("<u4", copy=False)
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                data = np.append(encode(text), np.uint32(END_ID)).astype("<u4", copy=False)
                 n = len(data)
                 first = n % sequence or sequence
                 start, piece, length = 0, 0, min(first, n)
@@ -323,10 +198,11 @@ def pack(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
         (places["first"] + F.pmod(step, places["m"]) * ranked["length"]).cast("long").alias("offset"))
 
 
-def pack_documents(docs: DataFrame, vocabulary: str = _VOCABULARY, sequence: int = SEQUENCE,
-                   id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str = _VOCABULARY, ranks: str | None = _RANKS,
+                   sequence: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text",
+                   with_ids: bool = False) -> DataFrame:
     """The pieces of every document with their place in a sequence."""
-    return pack(token_pieces(docs, vocabulary, sequence, id_col, text_col, with_ids), sequence)
+    return pack(token_pieces(docs, vocabulary, ranks, sequence, id_col, text_col, with_ids), sequence)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
