@@ -15,6 +15,7 @@ _MODULES = {
     "op8_packing": "packing",
     "op9_topk_search": "topk_search",
     "op10_simhash": "simhash",
+    "op11_filter_audit": "filter_audit",
     "op13_periodic_runs": "periodic_runs",
 }
 
