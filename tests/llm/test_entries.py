@@ -10,7 +10,7 @@ SQL = entries.oracle_sql()
 
 
 def test_one_query_per_operator():
-    assert sorted(int(k[2:].split("_")[0]) for k in entries.queries()) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in entries.queries()) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("key", sorted(SQL))

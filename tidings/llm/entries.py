@@ -16,6 +16,7 @@ _MODULES = {
     "op9_topk_search": "topk_search",
     "op10_simhash": "simhash",
     "op11_filter_audit": "filter_audit",
+    "op12_lm_scoring": "ngram_lm",
     "op13_periodic_runs": "periodic_runs",
 }
 
