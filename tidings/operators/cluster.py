@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from . import knn
+from . import knn, sparse
 from .relational import match_rate, min_group_size
 
 
@@ -52,16 +52,18 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "id",
 
 
 # ---- CLU2 DBSCAN -------------------------------------------------------------------
-def cluster_dbscan(vecs: DataFrame, eps: float = 0.35, min_samples: int = 2, id_col: str = "id",
-                   vec: str = "vec", metric: str = "cosine") -> DataFrame:
+def cluster_dbscan(vecs: DataFrame | None, eps: float = 0.35, min_samples: int = 2, id_col: str = "id",
+                   vec: str = "vec", metric: str = "cosine",
+                   classes: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(id, label): label = smallest core id of the cluster, noise = -1.
 
     Neighbourhoods use ``dist <= eps``; a point is core when its neighbour
     count plus itself reaches ``min_samples``; border points take the smallest
-    label among their core neighbours."""
-    v = vecs.select(F.col(id_col).alias("id"), F.col(vec).alias("vec"))
+    label among their core neighbours.  ``classes``: pairs at ``eps`` or nearer
+    and membership, from ``sparse.similar_classes``, in place of ``vecs``."""
     # identical vectors are one point with a weight
-    pairs, member = knn.similar_classes(v, eps, metric=metric, inclusive=True)
+    pairs, member = classes or knn.similar_classes(
+        vecs.select(F.col(id_col).alias("id"), F.col(vec).alias("vec")), eps, metric=metric, inclusive=True)
     pairs = cut_lineage(pairs.select("a", "b"))
     weight = member.groupBy(F.col("rep").alias("id")).agg(F.count(F.lit(1)).alias("w"))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -95,8 +97,9 @@ def _follow(ids: DataFrame, merges: list[DataFrame]) -> DataFrame:
 
 
 # ---- CLU1 complete linkage -------------------------------------------------------
-def cluster_complete(vecs: DataFrame, t: float = 0.2, id_col: str = "id", vec: str = "vec",
-                     metric: str = "cosine", edges: DataFrame | None = None) -> DataFrame:
+def cluster_complete(vecs: DataFrame | None, t: float = 0.2, id_col: str = "id", vec: str = "vec",
+                     metric: str = "cosine", edges: DataFrame | None = None,
+                     classes: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(id, label): complete-linkage clusters cut strictly below ``t``.
 
     State: edges (a, b, d), a < b, between current clusters whose complete-link
@@ -105,15 +108,17 @@ def cluster_complete(vecs: DataFrame, t: float = 0.2, id_col: str = "id", vec: s
     smallest id in its cluster).  Edges are re-keyed to the new labels and
     regrouped with max(d); a regrouped edge survives only if all its
     constituent edges existed (count = parts(a) * parts(b)), because a missing
-    pair is at distance >= t.
+    pair is at distance >= t.  ``edges`` (a, b, d) between the ids of ``vecs``,
+    or ``classes`` (pairs and membership, from ``sparse.similar_classes``),
+    take the place of the search.
     """
-    v = vecs.select(F.col(id_col).alias("id"), F.col(vec).alias("vec"))
-    dup = None
+    dup, v = None, None if vecs is None else vecs.select(F.col(id_col).alias("id"))
     if edges is None:
         # identical vectors merge first at distance 0 in any merge order:
         # cluster their representatives, re-expand at the end (exact, and no
         # round per duplicate)
-        edges, member = knn.similar_classes(v, t, metric=metric)
+        edges, member = classes or knn.similar_classes(
+            vecs.select(F.col(id_col).alias("id"), F.col(vec).alias("vec")), t, metric=metric)
         edges = edges.select("a", "b", F.col("dist").alias("d"))
         dup = member.select("id", F.col("rep").alias("rid"))
         v = dup.filter(F.col("id") == F.col("rid")).select("id")
@@ -206,29 +211,48 @@ def cluster_micro(vecs: DataFrame, r: float = 0.5, id_col: str = "id", vec: str
 
 
 # ---- CLU4 / CLU5 -------------------------------------------------------------------------
-def group_news(news: DataFrame, vecs: DataFrame, min_size: int = 1, t: float = 0.2,
-               method: str = "complete", id_col: str = "id") -> DataFrame:
+def group_news(news: DataFrame, vecs: DataFrame | None, min_size: int = 1, t: float = 0.2,
+               method: str = "complete", id_col: str = "id", bags: DataFrame | None = None) -> DataFrame:
     """Articles with ``group`` (cluster label) and ``is_central_news``.
 
-    Centroid = mean vector per group; its nearest article over all given
-    articles is central; a group whose nearest article lies in another group
-    gets its own nearest member as central instead (no group is left without
-    a representative).  Groups smaller than ``min_size`` are dropped."""
-    v = vecs.select(F.col(id_col).alias("id"), "vec")
-    if method == "complete":
-        labels = cluster_complete(v, t)
-    elif method == "dbscan":
-        labels = cluster_dbscan(v, t)
+    Vectors are dense (``vecs``: id, vec) or bags of words (``bags``: id, term,
+    weight; methods complete and dbscan).  Centroid = mean vector per group; its
+    nearest article over all given articles is central; a group whose nearest
+    article lies in another group gets its own nearest member as central
+    instead (no group is left without a representative).  Groups smaller than
+    ``min_size`` are dropped."""
+    if bags is not None:
+        ids = news.select(F.col(id_col).alias("id"))
+        classes = sparse.similar_classes(bags, t, inclusive=method == "dbscan", ids=ids)
+        labels = (cluster_complete(None, t, classes=classes) if method == "complete"
+                  else cluster_dbscan(None, t, classes=classes))
+        lv = cut_lineage(labels)
+        named = lv.filter(F.col("label") >= 0)
+        glob = sparse.central(bags, named).select(F.col("id").alias("cid"))
+        own = sparse.nearest_member(bags, named)
     else:
-        labels = cluster_micro(v, t)[0]
-    lv = cut_lineage(v.join(labels, "id"))
-    cents = knn.centroids(lv.filter(F.col("label") >= 0), "label", "vec", None)
-    glob = knn.central(lv, cents, "label", "id", "vec").select(F.col("id").alias("cid"))
-    own = knn.nearest_member(lv, cents, "label", "id", "vec")
-    has = lv.join(glob, lv["id"] == glob["cid"], "left_semi").select("label").distinct()
+        v = vecs.select(F.col(id_col).alias("id"), "vec")
+        if method == "complete":
+            labels = cluster_complete(v, t)
+        elif method == "dbscan":
+            labels = cluster_dbscan(v, t)
+        else:
+            labels = cluster_micro(v, t)[0]
+        lv = cut_lineage(v.join(labels, "id"))
+        cents = knn.centroids(lv.filter(F.col("label") >= 0), "label", "vec", None)
+        glob = knn.central(lv, cents, "label", "id", "vec").select(F.col("id").alias("cid"))
+        own = knn.nearest_member(lv, cents, "label", "id", "vec")
+    return with_central(news, lv.select("id", "label"), glob, own, min_size, id_col)
+
+
+def with_central(news: DataFrame, labels: DataFrame, glob: DataFrame, own: DataFrame, min_size: int = 1,
+                 id_col: str = "id") -> DataFrame:
+    """Articles with their group; central are the articles ``glob`` (cid), and
+    the ``own`` (label, id) of groups that have none of them."""
+    has = labels.join(glob, labels["id"] == glob["cid"], "left_semi").select("label").distinct()
     fallback = own.join(has, "label", "left_anti").select(F.col("id").alias("cid"))
     centrals = glob.unionByName(fallback).distinct()
-    lab = lv.select(F.col("id").alias("_gid"), F.col("label").alias("group"))
+    lab = labels.select(F.col("id").alias("_gid"), F.col("label").alias("group"))
     out = (news.join(lab, news[id_col] == F.col("_gid"))
            .join(centrals, F.col("_gid") == F.col("cid"), "left")
            .withColumn("is_central_news", F.col("cid").isNotNull()).drop("cid", "_gid"))

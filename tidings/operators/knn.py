@@ -7,19 +7,25 @@ block key), numpy does a blocked matrix product inside each task, and only the
 surviving candidates (top-k per query, or pairs under a threshold) leave the
 task - all-pairs rows are never materialised.
 
-Every cell is cut on both sides: its left rows into sub-blocks of about half of
+Rows lie in cells of about ``block_rows``, each with a pivot and a summary (rows,
+least and largest distance from the pivot, the k smallest).  A query goes to a
+cell only if the triangle inequality or the hyperplane between two pivots lets
+the cell hold a partner (Lu et al. 2012; Das Sarma et al. 2014).  Every cell is
+cut on both sides: its left rows into sub-blocks of about half of
 ``block_rows``, its right rows too, and every pair of sub-blocks is a group of
 its own, so a cell with a large share of the rows is many groups and no group
-grows with the data.
+grows with the data.  A side of a few megabytes, by its counted bytes, goes to
+the other side's tasks as it is; nothing is shuffled then but the result.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +33,10 @@ from ..functions.scalars import l2_normalize, sq_l2
 from ..session import cut_lineage
 
 BLOCK_ROWS = 2048
+#: Most pivots; beyond them cells grow and are cut into more sub-blocks.
+MAX_CELLS = 4096
+#: A side of at most so many rows and bytes is taken along by the tasks of the other.
+SMALL_ROWS, SMALL_BYTES = 4096, 1 << 22
 
 _PAIR_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()),
@@ -45,7 +55,8 @@ def _pair_kernel(k: int | None, max_sq: float | None, triangle: bool):
     k: keep, per left row, candidates whose distance is within the k-th
        smallest (ties kept; the exact cut happens later per query).
     max_sq: keep only distances strictly below it.
-    triangle: self-join mode, keep each pair as left id < right id.
+    triangle: self-join mode, each pair once with the smaller id first; right
+       rows in their ``own`` cell meet only smaller ids, others (copies) all.
     """
     def fn(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if len(left) == 0 or len(right) == 0:
@@ -58,7 +69,7 @@ def _pair_kernel(k: int | None, max_sq: float | None, triangle: bool):
         np.maximum(dist, 0.0, out=dist)
         mask = np.ones(dist.shape, dtype=bool)
         if triangle:
-            mask &= qid[:, None] < did[None, :]
+            mask &= (qid[:, None] < did[None, :]) | ~right["own"].to_numpy(dtype=bool)[None, :]
         if max_sq is not None:
             mask &= dist < max_sq
         if k is not None and k < dist.shape[1]:
@@ -66,7 +77,10 @@ def _pair_kernel(k: int | None, max_sq: float | None, triangle: bool):
             kth = np.partition(masked, k - 1, axis=1)[:, k - 1]
             mask &= masked <= kth[:, None]
         r, c = np.nonzero(mask)
-        return pd.DataFrame({"id": qid[r], "nid": did[c], "dist": dist[r, c]})
+        a, b = qid[r], did[c]
+        if triangle:
+            a, b = np.minimum(a, b), np.maximum(a, b)
+        return pd.DataFrame({"id": a, "nid": b, "dist": dist[r, c]})
     return fn
 
 
@@ -78,7 +92,7 @@ def _block_pairs(left: DataFrame, right: DataFrame, keys: list[str], k, max_sq,
     """cogroup both sides on ``keys`` and run the kernel per group."""
     fn = _pair_kernel(k, max_sq, triangle)
     # fresh names on the right side: both sides often derive from one scan
-    right = right.select(*keys, F.col("id").alias("rid"), F.col("vec").alias("rvec"))
+    right = right.select(*keys, F.col("id").alias("rid"), F.col("vec").alias("rvec"), *["own"][:triangle])
     left = left.select(*keys, "id", "vec")
     return (left.groupBy(*keys).cogroup(right.groupBy(*keys))
             .applyInPandas(fn, schema=_PAIR_SCHEMA))
@@ -88,34 +102,148 @@ def _prep(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
 
 
-def _bucket(col: str, n: int) -> Column:
-    return F.pmod(F.xxhash64(F.col(col)), F.lit(n)).cast("int")
-
-
-def _replicate(n: int) -> Column:
-    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-
 def _final_topk(cands: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("id").orderBy(F.col("dist").asc(), F.col("nid").asc())
     return cands.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+# cells ------------------------------------------------------------------------
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2.0 * (x @ y.T), 0.0))
+
+
+@dataclass
+class Cells:
+    """Pivots and summaries of cells: at most ``MAX_CELLS`` rows, or one per
+    cell of a stored index."""
+    pivots: np.ndarray
+    least: np.ndarray
+    most: np.ndarray
+    rows: np.ndarray
+    nearest: np.ndarray  # (cells, k): the k smallest distances from the pivot
+
+    def reach(self, x: np.ndarray, radius: float | None = None, k: int = 0) -> np.ndarray:
+        """(queries, cells): whether the cell may hold a row within ``radius``,
+        or one of the ``k`` nearest.  A little slack keeps what rounding
+        moves; a cell too many is harmless."""
+        d = _distances(x, self.pivots)
+        near = d.argmin(axis=1)
+        apart = _distances(self.pivots[near], self.pivots)
+        least = np.maximum(d - self.most, self.least - d)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            # rows of a cell are nearer to its pivot than to any other
+            plane = (d * d - (d * d)[np.arange(len(d)), near][:, None]) / (2.0 * apart)
+        least = np.maximum(least, np.where(apart > 1e-9, plane, 0.0))
+        limit = np.full(len(d), radius) if radius is not None else self._kth(d, k)
+        return (least <= limit[:, None] * (1 + 1e-6) + 1e-6) & (self.rows > 0)
+
+    def _kth(self, d: np.ndarray, k: int) -> np.ndarray:
+        """A distance within which every query has ``k`` rows."""
+        far = d + self.most
+        order = np.argsort(far, axis=1)
+        enough = np.cumsum(self.rows[order], axis=1) >= k
+        last = np.where(enough.any(axis=1), enough.argmax(axis=1), 0)
+        whole = np.where(enough.any(axis=1), np.take_along_axis(far, order, 1)[np.arange(len(d)), last], np.inf)
+        m = min(8, d.shape[1])
+        some = np.argpartition(d, m - 1, axis=1)[:, :m]
+        each = (np.take_along_axis(d, some, 1)[:, :, None] + self.nearest[some]).reshape(len(d), -1)
+        return np.minimum(whole, np.partition(each, k - 1, axis=1)[:, k - 1]) if each.shape[1] >= k else whole
+
+
+def _with_schema(v: DataFrame, *extra: T.StructField) -> T.StructType:
+    return T.StructType([T.StructField("cell", T.LongType()), T.StructField("id", T.LongType()), v.schema["vec"], *extra])
+
+
+def fit_cells(v: DataFrame, n_cells: int, k: int = 0) -> tuple[Cells | None, DataFrame]:
+    """Cells over rows (id, vec) and the rows with their ``cell``.  Pivots are
+    rows chosen by a hash; they and the summaries are all that the driver
+    sees, at most ``MAX_CELLS`` times ``k`` numbers."""
+    if n_cells <= 1:
+        return None, v.select(F.lit(0).cast("long").alias("cell"), "id", "vec")
+    rows = v.orderBy(F.xxhash64("id", F.lit(17)), "id").limit(min(n_cells, MAX_CELLS)).select("vec").collect()
+    piv = np.unique(np.stack([np.asarray(r["vec"], dtype=np.float64) for r in rows]), axis=0)
+
+    def home(batches):
+        for pdf in batches:
+            if len(pdf):
+                d = _distances(_stack(pdf["vec"]), piv)
+                cell = d.argmin(axis=1)
+                yield pd.DataFrame({"cell": cell, "id": pdf["id"], "vec": pdf["vec"], "r": d[np.arange(len(d)), cell]})
+    homes = v.select("id", "vec").mapInPandas(home, _with_schema(v, T.StructField("r", T.DoubleType())))
+    first = Window.partitionBy("cell").orderBy("r")
+    seen = homes.groupBy("cell").agg(F.min("r").alias("least"), F.max("r").alias("most"), F.count(F.lit(1)).alias("n")).collect()
+    near = (homes.withColumn("i", F.row_number().over(first)).where(F.col("i") <= k).select("cell", "i", "r").collect()
+            if k else [])
+    return _cells(piv, seen, near, k), homes.select("cell", "id", "vec")
+
+
+def _cells(piv: np.ndarray, seen: list, near: list, k: int) -> Cells:
+    m = len(piv)
+    c = Cells(piv, np.full(m, np.inf), np.full(m, -np.inf), np.zeros(m, np.int64), np.full((m, max(k, 1)), np.inf))
+    for r in seen:
+        c.least[r["cell"]], c.most[r["cell"]], c.rows[r["cell"]] = r["least"], r["most"], r["n"]
+    for r in near:
+        c.nearest[r["cell"], r["i"] - 1] = r["r"]
+    return c
+
+
+def to_cells(v: DataFrame, cells: Cells | None, radius: float | None = None, k: int = 0,
+             triangle: bool = False) -> DataFrame:
+    """Rows (id, vec) once for every ``cell`` that may hold a partner.  In
+    a self-join (``triangle``) a row goes to its ``own`` cell and to those
+    numbered before it, so two cells meet once."""
+    schema = _with_schema(v, T.StructField("own", T.BooleanType()))
+    if cells is None:
+        return v.select(F.lit(0).cast("long").alias("cell"), "id", "vec", F.lit(True).alias("own"))
+
+    def copies(batches):
+        for pdf in batches:
+            if len(pdf):
+                x = _stack(pdf["vec"])
+                into = cells.reach(x, radius, k)
+                home = _distances(x, cells.pivots).argmin(axis=1)
+                if triangle:
+                    into &= np.arange(into.shape[1])[None, :] <= home[:, None]
+                r, c = np.nonzero(into)
+                yield pd.DataFrame({"cell": c.astype(np.int64), "id": pdf["id"].to_numpy(dtype=np.int64)[r],
+                                    "vec": pdf["vec"].to_numpy()[r], "own": c == home[r]})
+    return v.select("id", "vec").mapInPandas(copies, schema)
+
+
+def _few(v: DataFrame) -> pd.DataFrame | None:
+    """The rows of a side that is small by its counted rows and bytes."""
+    rows = v.select("id", "vec").limit(SMALL_ROWS + 1).toPandas()
+    if len(rows) > SMALL_ROWS or sum(len(x) for x in rows["vec"]) * 8 > SMALL_BYTES:
+        return None
+    return rows
+
+
+def _in_place(rows: DataFrame, few: pd.DataFrame, k: int, max_sq: float | None, few_ask: bool) -> DataFrame:
+    """Candidates (id, nid, dist) between ``rows``, read where they lie, and a
+    small side that the tasks take along; it asks (``few_ask``) or is asked."""
+    kernel = _pair_kernel(k, max_sq, False)
+
+    def run(batches):
+        for pdf in batches:
+            one, other = (few, pdf) if few_ask else (pdf, few)
+            yield kernel(None, one, other.rename(columns={"id": "rid", "vec": "rvec"}))
+    return rows.select("id", "vec").mapInPandas(run, _PAIR_SCHEMA)
+
+
 # JN9 -------------------------------------------------------------------------
 def knn_exact(queries: DataFrame, data: DataFrame, k: int, q_id: str = "id", d_id: str = "id",
               vec: str = "vec", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Exact k nearest neighbours by squared L2 (ties by neighbour id).
 
-    Returns (id, nid, dist, rank).  Blocked: queries and data are hashed into
-    blocks of about ``block_rows`` and every (query block, data block) pair is
-    one kernel call; per query, k candidates per data block are merged by a
-    final row_number over the query id.
+    Returns (id, nid, dist, rank).  The data's cells give every query a
+    distance that surely holds k rows; it goes to the cells that can beat it,
+    and per query the k candidates of each block are merged by a final
+    row_number over the query id.
     """
     q, d = _prep(queries, q_id, vec), _prep(data, d_id, vec)
-    bq, bd = _n_blocks(q, block_rows), _n_blocks(d, block_rows)
-    left = q.withColumn("qb", _bucket("id", bq)).withColumn("db", _replicate(bd))
-    right = d.withColumn("db", _bucket("id", bd)).withColumn("qb", _replicate(bq))
-    return _final_topk(_block_pairs(left, right, ["qb", "db"], k, None, False), k)
+    cells, homes = fit_cells(d, _n_blocks(d, block_rows), k)
+    lo, hi = sub_blocks(to_cells(q, cells, k=k), homes, "cell", block_rows)
+    return _final_topk(_block_pairs(lo, hi, ["cell", "li", "ri"], k, None, False), k)
 
 
 # VEC4 -------------------------------------------------------------------------
@@ -145,58 +273,55 @@ def sub_blocks(left: DataFrame, right: DataFrame, key: str, block_rows: int) ->
     return lo.drop("_ln", "_rn"), hi.drop("_ln", "_rn")
 
 
-def _cells_fn(piv: np.ndarray, radius: float, copies: bool):
-    """Per batch: each vector with its home cell (nearest pivot) or, for the
-    other side, with every cell that may hold a partner within ``radius``."""
-    pn = (piv * piv).sum(1)
-
-    def fn(batches):
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = _stack(pdf["vec"])
-            d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + pn[None, :] - 2.0 * (x @ piv.T), 0.0))
-            if copies:
-                # slack keeps boundary pairs despite rounding; extra copies are harmless
-                r, c = np.nonzero((d - d.min(axis=1)[:, None]) / 2.0 <= radius + 1e-7)
-            else:
-                r, c = np.arange(len(d)), d.argmin(axis=1)
-            yield pd.DataFrame({"cell": c.astype(np.int64), "id": pdf["id"].to_numpy(dtype=np.int64)[r],
-                                "vec": pdf["vec"].to_numpy()[r]})
-    return fn
-
-
 def range_pairs(left: DataFrame, right: DataFrame, max_sq: float, block_rows: int = BLOCK_ROWS,
                 triangle: bool = False) -> DataFrame:
     """(id, nid, dist): every left and right row (``id``, ``vec``) with squared
-    L2 distance strictly below ``max_sq``.
-
-    Exact metric partitioning (ClusterJoin, Das Sarma et al. 2014): a left
-    row lies in the cell of its nearest pivot p; a right row y is copied to
-    the cells with |y - p| - min |y - p'| <= 2 r, which holds for the cell of every
-    left row within r of it.  So a pair meets in one cell and comes once.
-    About sqrt(n) pivots, chosen by a hash, are the only rows the driver sees.
-    """
-    n = left.count()
-    n_pivots = max(1, math.ceil(math.sqrt(n)))
-    rows = left.orderBy(F.xxhash64("id", F.lit(17)), "id").limit(n_pivots).select("vec").collect()
-    empty = left.sparkSession.createDataFrame([], _PAIR_SCHEMA)
-    if not rows:
-        return empty
-    piv = np.unique(np.stack([np.asarray(r["vec"], dtype=np.float64) for r in rows]), axis=0)
-    schema = T.StructType([T.StructField("cell", T.LongType()), T.StructField("id", T.LongType()),
-                           T.StructField("vec", T.ArrayType(T.DoubleType()))])
-    doubles = lambda df: df.select("id", F.col("vec").cast("array<double>").alias("vec"))
-    home = cut_lineage(doubles(left).mapInPandas(_cells_fn(piv, 0.0, False), schema))
-    copies = cut_lineage(doubles(right).mapInPandas(_cells_fn(piv, math.sqrt(max_sq), True), schema))
-    lo, hi = sub_blocks(home, copies, "cell", block_rows)
+    L2 distance strictly below ``max_sq``; ``triangle``: both sides are one
+    table, each pair once with id < nid.
+
+    Left rows lie in the cell of their nearest pivot; a right row goes to the
+    cells that can hold a left row within the distance, so a pair meets in
+    one cell and comes once.  Copies are made where they are sent from."""
+    cells, homes = fit_cells(left, _n_blocks(left, block_rows))
+    copies = to_cells(right, cells, radius=math.sqrt(max_sq), triangle=triangle)
+    lo, hi = sub_blocks(homes, copies, "cell", block_rows)
     return _block_pairs(lo, hi, ["cell", "li", "ri"], None, max_sq, triangle)
 
 
 def near_rows(queries: DataFrame, data: DataFrame, k: int, max_sq: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, nid, dist, rank): the ``k`` nearest rows of every query that lie
-    below ``max_sq``; a range join, then a rank per query."""
-    return _final_topk(range_pairs(_prep(queries, "id", "vec"), _prep(data, "id", "vec"), max_sq, block_rows), k)
+    below ``max_sq``; a range join, then a rank per query.  A small side
+    (``SMALL_ROWS``, ``SMALL_BYTES``) is taken to the other one's tasks."""
+    q, d = _prep(queries, "id", "vec"), _prep(data, "id", "vec")
+    for side, rows, asks in ((q, d, True), (d, q, False)):
+        few = _few(side)
+        if few is not None:
+            return _final_topk(_in_place(rows, few, k, max_sq, asks), k)
+    return _final_topk(range_pairs(q, d, max_sq, block_rows), k)
+
+
+def near_rows_stored(queries: DataFrame, store: DataFrame, centers: DataFrame, k: int, max_sq: float,
+                     block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``near_rows`` over the stored index, exact: the cells' radii name those
+    that can hold a row within the distance, and only they are read."""
+    q = _prep(queries, "id", "vec")
+    rows = centers.orderBy("cell").collect()  # one per cell of the index
+    place = {r["cell"]: i for i, r in enumerate(rows)}
+    seen = [{"cell": place[r["cell"]], "least": r["least"], "most": r["most"], "n": r["n"]} for r in rows]
+    cells = _cells(np.stack([np.asarray(r["vec"], np.float64) for r in rows]), seen, [], 0)
+    number = q.sparkSession.createDataFrame([(i, c) for c, i in place.items()], "place long, cell long")
+    asked = to_cells(q, cells, radius=math.sqrt(max_sq)).withColumnRenamed("cell", "place").join(F.broadcast(number), "place")
+    left = cut_lineage(asked.select("cell", "id", "vec"))
+    lo, hi = sub_blocks(left, probed_rows(store, left), "cell", block_rows)
+    return _final_topk(_block_pairs(lo, hi, ["cell", "li", "ri"], k, max_sq, False), k)
+
+
+def probed_rows(store: DataFrame, probes: DataFrame) -> DataFrame:
+    """The stored rows (cell, id, vec) of the cells that ``probes`` names.  The
+    list of cells, at most one row per cell, is broadcast, and prunes the
+    store's folders while the query runs."""
+    asked = probes.select("cell").distinct().where("cell >= 0")
+    return store.select("cell", "id", "vec").join(F.broadcast(asked), "cell", "left_semi")
 
 
 def threshold_or_best_rows(queries: DataFrame, data: DataFrame, k: int, max_sq: float,
@@ -328,12 +453,12 @@ def knn_ivf(queries: DataFrame, data_cells: DataFrame, centers: DataFrame, k: in
     """Bucketed kNN: each query searches only its ``nprobe`` nearest cells.
 
     ``data_cells`` is (id, vec, cell) as written by the index build; read from
-    the store, a join on the partition column prunes the cells that no query
-    probes.  Queries and rows of a cell are cut into bounded sub-blocks."""
+    the store, only the probed cells' folders are read (``probed_rows``).
+    Queries and rows of a cell are cut into bounded sub-blocks."""
     probes = assign_cells(queries, centers, nprobe).select(F.col("id").alias("pid"), "cell")
     left = cut_lineage(queries.select("id", "vec").join(probes, F.col("id") == F.col("pid"))
                        .select("cell", "id", "vec"))
-    left, right = sub_blocks(left, data_cells.select("cell", "id", "vec"), "cell", block_rows)
+    left, right = sub_blocks(left, probed_rows(data_cells, left), "cell", block_rows)
     return _final_topk(_block_pairs(left, right, ["cell", "li", "ri"], k, None, False), k)
 
 
@@ -345,7 +470,8 @@ def search_probes(nlist: int, share: float = 0.6) -> int:
 
 def build_index(vecs: DataFrame, nlist: int | None = None, seed: int = 7) -> tuple[DataFrame, DataFrame, int, int]:
     """VEC3 + FN9: cells for every vector.  Returns (data_cells, centers,
-    nlist, nprobe) with nlist = round(sqrt(n)), nprobe = nlist // 4."""
+    nlist, nprobe) with nlist = round(sqrt(n)), nprobe = nlist // 4; centres
+    have the least and largest distance of their rows and their number."""
     n = vecs.count()
     nlist = nlist or max(1, int(round(math.sqrt(n))))
     nprobe = max(1, nlist // 4)
@@ -353,4 +479,7 @@ def build_index(vecs: DataFrame, nlist: int | None = None, seed: int = 7) -> tup
     cells = assign_cells(vecs, centers, 1).select(F.col("id").alias("cid"), "cell")
     data_cells = (vecs.select("id", "vec").join(cells, F.col("id") == F.col("cid"))
                   .select("id", "vec", "cell"))
-    return data_cells, centers, nlist, nprobe
+    r = F.sqrt(sq_l2("vec", "_c"))
+    radii = (data_cells.join(centers.select("cell", F.col("vec").alias("_c")), "cell")
+             .groupBy("cell").agg(F.min(r).alias("least"), F.max(r).alias("most"), F.count(F.lit(1)).alias("n")))
+    return data_cells, centers.join(radii, "cell"), nlist, nprobe

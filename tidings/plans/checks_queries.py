@@ -253,12 +253,38 @@ def q6(spark, sf):
     return vecs.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("q9_demo_similar", X.with_ctes(X.SQL_VECTORS) + f""",
+_Q9_SQL = X.with_ctes(X.SQL_VECTORS) + f""",
 q AS (SELECT * FROM vectors ORDER BY md5(CAST(id AS VARCHAR) || '|42'), id LIMIT 10),
 pairs AS (SELECT q.id, d.id AS nid, {X.sql_dist('q.vec', 'd.vec')} AS dist FROM q, vectors d),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, nid) AS rank FROM pairs)
 SELECT id, string_agg(CAST(nid AS VARCHAR), ',' ORDER BY dist, nid) AS similar
-FROM ranked WHERE rank <= 100 AND id <> nid AND dist < 1.3 GROUP BY id""")
-def q9(spark, sf):
-    sims = Q.demo_similar(X.vectors(spark, sf).select("id", "vec"), 10, 100, 1.3)
+FROM ranked WHERE rank <= 100 AND id <> nid AND dist < 1.3 GROUP BY id"""
+
+
+def _id_list(sims):
     return sims.select("id", F.array_join(F.transform("similar", lambda x: x.cast("string")), ",").alias("similar"))
+
+
+@register("q9_demo_similar", _Q9_SQL)
+def q9(spark, sf):
+    return _id_list(Q.demo_similar(X.vectors(spark, sf).select("id", "vec"), 10, 100, 1.3))
+
+
+@register("q9_demo_stored", _Q9_SQL)
+def q9_stored(spark, sf):
+    v = X.vectors(spark, sf).select("id", "vec")
+    path = scratch_path(spark, "index")
+    Q.build_index(v, path, 64)
+    return _id_list(Q.demo_similar(v, 10, 100, 1.3, index=path))
+
+
+@register("vec5_similar_stored", X.with_ctes(X.SQL_VECTORS) + f""",
+pairs AS (SELECT q.id, d.id AS nid, {X.sql_dist('q.vec', 'd.vec')} AS dist FROM vectors q, vectors d),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, nid) AS rank FROM pairs)
+SELECT id, nid, CAST(rank AS INTEGER) AS rank, round(dist, 6) AS dist FROM ranked
+WHERE rank <= 100 AND id <> nid AND dist < 1.3""")
+def vec5_stored(spark, sf):
+    v = X.vectors(spark, sf).select("id", "vec")
+    path = scratch_path(spark, "index")
+    Q.build_index(v, path, 64)
+    return Q.similar_stored(spark, path, v, 100, 1.3).select("id", "nid", "rank", F.round("dist", 6).alias("dist"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import knn as K
 from ..operators import relational as R
+from ..operators import sparse as SP
 from . import fixtures as X
 from .registry import register
 
@@ -215,3 +216,67 @@ def rnk5(spark, sf):
     items = _vec_items(spark, sf)
     pairs, member = K.similar_classes(items.select("id", "vec"), COS_T)
     return R.importance(pairs, items, 3, member=member)
+
+
+# bags of words over the titles: inverted-index joins ---------------------------------
+TITLE_T = 0.3          # cosine distance between title bags
+TITLE_SQ = 0.6         # squared L2 of the same
+
+_BAGS_SQL = X.with_ctes(X.SQL_NEWS_LIKE) + f""", tok AS (
+  SELECT id, unnest({X.sql_tokens('title')}) AS term FROM news_like),
+cnt AS (SELECT id, term, count(*) AS n FROM tok GROUP BY id, term),
+bag AS (SELECT id, term, n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS w FROM cnt)
+"""
+
+
+def _title_bags(spark, sf):
+    return SP.bag_vectors(X.news_like(spark, sf), "title")
+
+
+@register("vec1_bag_vectors", _BAGS_SQL + "SELECT id, term, round(w, 6) AS weight FROM bag")
+def vec1_bags(spark, sf):
+    return _title_bags(spark, sf).select("id", "term", F.round("weight", 6).alias("weight"))
+
+
+@register("vec2_sentence_bags", X.with_ctes(X.SQL_NEWS_LIKE) + f""", tok AS (
+  SELECT id, unnest({X.sql_tokens("concat_ws(chr(10), title, text)")}) AS term FROM news_like),
+cnt AS (SELECT id, term, count(*) AS n FROM tok GROUP BY id, term)
+SELECT id, term, round(n / sqrt(sum(n * n) OVER (PARTITION BY id)), 6) AS weight FROM cnt""")
+def vec2_bags(spark, sf):
+    news = X.news_like(spark, sf).withColumn("flat", F.concat_ws("\n", "title", "text"))
+    return SP.bag_vectors(news, "flat").select("id", "term", F.round("weight", 6).alias("weight"))
+
+
+_TITLE_DOTS_SQL = _BAGS_SQL + """, dots AS (
+  SELECT x.id AS a, y.id AS b, sum(x.w * y.w) AS dot FROM bag x JOIN bag y ON x.term = y.term GROUP BY x.id, y.id)
+"""
+
+
+@register("jn14_similar_titles", _TITLE_DOTS_SQL + f"""
+SELECT a, b, {X.sql_r6('greatest(0.0, 1 - dot)')} AS dist FROM dots WHERE a < b AND 1 - dot < {TITLE_T}""")
+def jn14_titles(spark, sf):
+    return SP.similar_pairs(_title_bags(spark, sf), TITLE_T).select("a", "b", X.r6(F.col("dist")).alias("dist"))
+
+
+@register("flt7_near_titles", _TITLE_DOTS_SQL + f""", ranked AS (
+  SELECT a AS id, b AS nid, greatest(0.0, 2 - 2 * dot) AS dist,
+         row_number() OVER (PARTITION BY a ORDER BY round(greatest(0.0, 2 - 2 * dot), 9), b) AS rank
+  FROM dots WHERE 2 - 2 * dot < {TITLE_SQ})
+SELECT id, nid, CAST(rank AS INTEGER) AS rank, {X.sql_r6('dist')} AS dist FROM ranked WHERE rank <= 5""")
+def flt7_titles(spark, sf):
+    b = _title_bags(spark, sf)
+    return SP.near_rows(b, b, 5, TITLE_SQ).select("id", "nid", "rank", X.r6(F.col("dist")).alias("dist"))
+
+
+@register("rnk8_central_titles", _BAGS_SQL + """, lab AS (SELECT id, id % 7 AS label FROM news_like),
+mean AS (SELECT label, term, sum(w) / max(c.n) AS w FROM bag JOIN lab USING (id)
+         JOIN (SELECT label, count(*) AS n FROM lab GROUP BY label) c USING (label) GROUP BY label, term),
+dots AS (SELECT m.label, b.id, sum(m.w * b.w) AS dot FROM mean m JOIN bag b USING (term) GROUP BY m.label, b.id),
+d AS (SELECT label, id, 1 - 2 * dot AS s FROM dots
+      UNION ALL SELECT l.label, n.id, 0 FROM (SELECT DISTINCT label FROM lab) l, news_like n
+      WHERE n.id NOT IN (SELECT id FROM bag))
+SELECT label, arg_min(id, (round(s, 9), id)) AS id FROM d GROUP BY label""")
+def rnk8_titles(spark, sf):
+    b = _title_bags(spark, sf)
+    labels = X.news_like(spark, sf).select("id", (F.col("id") % 7).alias("label"))
+    return SP.central(b, labels).select("label", "id")

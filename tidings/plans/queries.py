@@ -15,6 +15,7 @@ from ..operators import cluster as C
 from ..operators import graph as G
 from ..operators import knn as K
 from ..operators import relational as R
+from ..operators import sparse as S
 from ..operators import text as T
 from ..session import stage_table
 from ..sources import io as IO
@@ -54,15 +55,19 @@ def grouped_window(spark: SparkSession, news: DataFrame, roles: DataFrame, at, r
     """Articles of the window with ``group`` and ``is_central_news``.
 
     ``vectors`` (id, vec) are precomputed title vectors (build time); when
-    absent the titles of the window are vectorised here.  ``labels`` (id,
-    group, is_central_news) replaces clustering with given groups."""
+    absent the titles' bags of words are clustered, found by the inverted
+    index.  ``labels`` (id, group, is_central_news) replaces clustering with
+    given groups."""
     win = select_window(news, roles, at, role, days)
     if labels is not None:
         grouped = win.join(labels, "id")
     else:
-        vecs = (vectors.join(win.select("id"), "id", "left_semi") if vectors is not None
-                else T.vectorize(win, "title", "id"))
-        grouped = C.group_news(win, vecs, 1, t)
+        vecs = bags = None
+        if vectors is not None:
+            vecs = vectors.join(win.select("id"), "id", "left_semi")
+        else:
+            bags = stage_table(S.bag_vectors(win, "title"), "title-bags")
+        grouped = C.group_news(win, vecs, 1, t, bags=bags)
     eff = effective_user_codes(spark, roles, role, filter_type, codes, related)
     if eff is not None:
         grouped = C.personalised_trends(grouped, news_codes, eff)
@@ -115,9 +120,9 @@ def insights(spark: SparkSession, news: DataFrame, roles: DataFrame, edges: Data
     grouped = grouped_window(spark, news, roles, at, role, filter_type, codes, 7, vectors=vectors, **kw)
     members = grouped.join(F.broadcast(top_groups(grouped, 3).select("group")), "group").select("id")
     if near is None:
-        vecs = vectors if vectors is not None else T.vectorize(news, "title", "id")
-        q = vecs.join(members, "id", "left_semi")
-        near = K.near_rows(q, vecs, k, max_sq).where("id <> nid")
+        vecs = vectors if vectors is not None else stage_table(S.bag_vectors(news, "title"), "title-bags")
+        search = K.near_rows if vectors is not None else S.near_rows
+        near = search(vecs.join(members, "id", "left_semi"), vecs, k, max_sq).where("id <> nid")
     else:
         near = near.join(members, "id", "left_semi")
     pool_ids = future_pool(news, edges, near)
@@ -130,8 +135,10 @@ def insights(spark: SparkSession, news: DataFrame, roles: DataFrame, edges: Data
     if importance_t is None:
         scored = scored.withColumn("importance", F.lit(1))
     else:
-        v = vectors if vectors is not None else T.vectorize(pool, "title", "id")
-        pairs, member = K.similar_classes(v.join(pool.select("id"), "id", "left_semi"), importance_t)
+        if vectors is not None:
+            pairs, member = K.similar_classes(vectors.join(pool.select("id"), "id", "left_semi"), importance_t)
+        else:
+            pairs, member = S.similar_classes(S.bag_vectors(pool, "title"), importance_t, ids=pool)
         scored = scored.join(R.importance(pairs, pool.select("id", "timestamp"), 3, member=member), "id")
     best = R.best_per_topic(scored)
     spine_names = spark.createDataFrame(list(enumerate(topic_names)), "topic_pos int, topic string")
@@ -186,9 +193,21 @@ def topic_lists(td: DataFrame, phrases: DataFrame, wv: DataFrame, dims: int) ->
     return stage_table(kw.select("doc_id", F.col("keywords").alias("tokens")), "keyword-lists")
 
 
-def demo_similar(vecs: DataFrame, n: int = 10, k: int = 100, max_sq: float = 0.35, seed: int = 42) -> DataFrame:
-    """Q9: similar articles (ordered id list) for a deterministic sample."""
+def similar_stored(spark: SparkSession, path: str, asked: DataFrame, k: int = 100, max_sq: float = 0.35) -> DataFrame:
+    """VEC5: (id, nid, dist, rank) of similar articles, searched in the stored
+    index (Q6): only the cells that can hold one are read."""
+    store, centers, _ = IO.read_vectors(spark, path)
+    return K.near_rows_stored(asked, store, centers, k, max_sq).where("id <> nid")
+
+
+def demo_similar(vecs: DataFrame, n: int = 10, k: int = 100, max_sq: float = 0.35, seed: int = 42,
+                 index: str | None = None) -> DataFrame:
+    """Q9: similar articles (ordered id list) for a deterministic sample; with
+    ``index``, the path of the stored index, they are searched there."""
     sample = R.sample_n(vecs, n, seed)
-    nn = K.near_rows(sample, vecs, k, max_sq).where("id <> nid")
+    if index is not None:
+        nn = similar_stored(vecs.sparkSession, index, sample, k, max_sq)
+    else:
+        nn = K.near_rows(sample, vecs, k, max_sq).where("id <> nid")
     return nn.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dist", "nid"))),
                                             lambda x: x["nid"]).alias("similar"))

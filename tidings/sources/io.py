@@ -170,11 +170,11 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 # SRC10 ----------------------------------------------------------------------
 def write_vectors(data_cells: DataFrame, centers: DataFrame, nlist: int, nprobe: int, dims: int, path: str) -> str:
     """Vectors partitioned by cell (a probe reads only its cells), the cells'
-    centres and a one-row parameter table.  Rows are rebalanced by cell first:
+    centres and radii and a one-row parameter table.  Rows are rebalanced by cell first:
     few files per cell, and a large cell is split over several tasks."""
     (data_cells.select("id", "vec", "cell").hint("rebalance", "cell").write.mode("overwrite")
      .partitionBy("cell").parquet(f"{path}/vectors"))
-    centers.select("cell", "vec").write.mode("overwrite").parquet(f"{path}/centers")
+    centers.write.mode("overwrite").parquet(f"{path}/centers")
     spark = data_cells.sparkSession
     spark.createDataFrame([(nlist, nprobe, dims)], "nlist long, nprobe long, dims long") \
         .write.mode("overwrite").parquet(f"{path}/params")
