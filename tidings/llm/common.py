@@ -89,20 +89,20 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014);
     every round is a join and aggregations over the edges, written to the
-    shared folder, and no list of neighbours is ever built.
+    shared folder, and no list of neighbours is ever built.  A hub's edges are
+    not brought together (``join_per_key``).
     """
     e = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"),
                                            F.least("a", "b").alias("b")).distinct(), name)
     seen = _edge_digest(e)
     while seen[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(
-            "a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"),
-                                                          F.col("m").alias("b"))
+        ends = 2 * seen[0]  # an edge's end has at most this many; a hub's edges stay where they are
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("a", "m"))
+        large = join_per_key(both, low, "a", "n", ends).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join_per_key(large, low, "a", "n", ends).select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b")
         e = stage(small.select(F.greatest("a", "b").alias("a"),
                                F.least("a", "b").alias("b")).distinct(), name)
