@@ -34,6 +34,7 @@ class EliasFano:
     def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray):
         self.n, self.bits, self.low, self.high = n, bits, low, high
         self._ones: np.ndarray | None = None
+        self._zeros: np.ndarray | None = None
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -57,9 +58,18 @@ class EliasFano:
 
     def _positions(self) -> np.ndarray:
         if self._ones is None:
-            self._ones = np.flatnonzero(np.unpackbits(self.high))
+            bits = np.unpackbits(self.high)
+            self._ones = np.flatnonzero(bits)
+            # zero h ends the numbers with high part h
+            self._zeros = np.flatnonzero(bits[:self._ones[-1] + 2 if self.n else 1] == 0)
         return self._ones
 
+    def _before(self, up: np.ndarray) -> np.ndarray:
+        """How many numbers have a high part below ``up``."""
+        self._positions()
+        last = np.minimum(up, len(self._zeros)) - 1
+        return np.where(up > 0, self._zeros[np.maximum(last, 0)] - last, 0)
+
     def _lows(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
             return np.zeros(len(i), _U)
@@ -76,9 +86,7 @@ class EliasFano:
         """Index of the first number not below ``x`` (``n`` if there is none)."""
         x = np.asarray(x).astype(_U)
         up, part = (x >> _U(self.bits)).astype(np.int64), x & _U((1 << self.bits) - 1)
-        high = self._positions() - np.arange(self.n)
-        lo, end = np.searchsorted(high, up), np.searchsorted(high, up, side="right")
-        hi = end.copy()
+        lo, hi = self._before(up), self._before(up + 1)
         open_ = np.flatnonzero(lo < hi)
         while open_.size:
             mid = (lo[open_] + hi[open_]) >> 1
@@ -135,13 +143,20 @@ class Level:
         out = np.full(len(context), -1, np.int64)
         if not self.contexts.n or not len(out):
             return out
-        node = self.contexts.successor(context)
-        known = np.flatnonzero(node < self.contexts.n)
-        known = known[self.contexts[node[known]] == context[known].astype(_U)]
-        lo, hi = (self.pointers[node[known] + d].astype(np.int64) for d in (0, 1))
-        base = np.zeros(len(known), _U)  # what the contexts before raised this one's words by
-        later = lo > 0
-        base[later] = self.words[lo[later] - 1]
+        # one search per stretch of queries with the same context
+        first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+        asked = context[first]
+        node = self.contexts.successor(asked)
+        there = node < self.contexts.n
+        there[there] = self.contexts[node[there]] == asked[there].astype(_U)
+        node = np.where(there, node, 0)
+        begin, end = (self.pointers[node + d].astype(np.int64) for d in (0, 1))
+        raised = np.zeros(len(asked), _U)  # what the contexts before raised this one's words by
+        later = begin > 0
+        raised[later] = self.words[begin[later] - 1]
+        sizes = np.diff(np.append(first, len(context)))
+        known = np.flatnonzero(np.repeat(there, sizes))
+        lo, hi, base = (np.repeat(x, sizes)[known] for x in (begin, end, raised))
         wanted = base + word[known].astype(_U)
         child = self.words.successor(wanted)
         inside = (child >= lo) & (child < hi)

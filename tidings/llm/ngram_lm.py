@@ -31,6 +31,7 @@ scores are added up.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -92,8 +93,11 @@ def quantise(p: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-STEPS * np.log10(p)), 0, 255).astype(np.uint8)
 
 
+_PROBABILITY = 10.0 ** (np.arange(256) / -STEPS)
+
+
 def probability(code: np.ndarray) -> np.ndarray:
-    return 10.0 ** (code.astype(np.float64) / -STEPS)
+    return _PROBABILITY[code]
 
 
 def blocks_of(docs: DataFrame, train: Column, order: int = ORDER, id_col: str = "doc_id",
@@ -178,9 +182,15 @@ class Block:
         self.gid[:_WORDS], self.count[:_WORDS] = (1, 2), docs
         for s, at in _groups(self.word_shards(word_shards)):
             self.gid[_WORDS + at], self.count[_WORDS + at] = unpack(answers[str(s)])
+        # from here on words are numbered like their global numbers, so a
+        # block's n-grams stand in the order of the shards' nodes
+        order = np.concatenate([np.arange(_WORDS), _WORDS + np.argsort(self.gid[_WORDS:], kind="stable")])
+        rank = np.empty(self.n, np.int64)
+        rank[order] = np.arange(self.n)
+        self.codes, self.gid, self.count = rank[self.codes], self.gid[order], self.count[order]
         self.alone = (self.count + 1) / (tokens + types + 1)
         self.code = quantise(self.alone)[self.codes]
-        self.gram, self.nodes, self.totals = self.codes.astype(np.int64), self.gid, self.count
+        self.gram, self.nodes, self.totals = self.codes, self.gid, self.count
         self.seen = self.count > 0
         self.shard = [str(s) for s in range(shards)]
         self.shard_of = (self.gid * 0x9E3779B1 >> 7) % shards
@@ -201,9 +211,9 @@ class Block:
         self.targets = [self.shard[b >> 32] + (f"/{level}.{b & 0xFFFFFFFF}" if b & 0xFFFFFFFF else "")
                         for b in both.tolist()]
         self.total = np.where(pieces > 1, self.total, 0)
-        self.counts = np.bincount(self.gram_at, weights=self.counted[at], minlength=len(key)).astype(np.int64)
+        self.counts = np.bincount(self.gram_at, weights=self.counted[at], minlength=len(key)).astype(np.int32)
         self.lower = self.code[at[first]]
-        self.order = np.lexsort((self.word, self.context, self.target))
+        self.order = np.argsort(self.target.astype(np.uint16 if len(both) < 1 << 16 else np.int64), kind="stable")
         self.bounds = np.searchsorted(self.target[self.order], np.arange(len(both) + 1))
 
     def ask(self) -> Iterator[tuple[str, bytes]]:
@@ -212,8 +222,8 @@ class Block:
             context = self.context[at]
             first = np.flatnonzero(np.diff(context, prepend=-1))
             sizes = np.diff(np.append(first, len(at)))
-            yield shard, pack(np.diff(context[first], prepend=0), sizes, self.total[at][first], self.word[at],
-                              self.counts[at], self.lower[at])
+            yield shard, pack(np.diff(context[first], prepend=0), sizes.astype(np.int32), self.total[at][first],
+                              self.word[at], self.counts[at], self.lower[at])
 
     def learn(self, answers: dict[str, bytes], last: bool) -> None:
         """Probabilities of the n-grams, and their nodes as the next contexts."""
@@ -324,7 +334,12 @@ def score(docs: DataFrame, train: Column, order: int = ORDER, strength: float =
     """``doc_id``, ``train``, ``n_tokens``, ``n_known``, ``train_tokens``,
     ``base_score`` and ``score`` of every document, the model fitted on the
     rows where ``train`` holds."""
-    blocks = stage(blocks_of(docs, train, order, id_col, text_col), "blocks")
+    spark = docs.sparkSession
+    # bucketed by block: every level reads the blocks where they lie
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    table = f"lm_blocks_{uuid.uuid4().hex[:12]}"
+    blocks_of(docs, train, order, id_col, text_col).write.format("parquet").bucketBy(parts, "block").saveAsTable(table)
+    blocks = spark.table(table)
     size = blocks.agg(F.sum("n_tokens").alias("tokens"), F.sum("n_words").alias("words"),
                       F.sum("n_train").alias("docs")).first()
     shards = max(1, -(-(size["tokens"] or 0) // SHARD_NGRAMS))
@@ -344,21 +359,20 @@ def score(docs: DataFrame, train: Column, order: int = ORDER, strength: float =
     total = known.where("block is null").agg(F.sum("tokens").alias("n"), F.sum("types").alias("v")).first()
     tokens, types = (total["n"] or 0) + n_docs, (total["v"] or 0) + (n_docs > 0)
 
-    def state(rows: pa.Table, answers: pa.Table, level: int) -> Block:
+    def state(rows: pa.Table, level: int) -> Block:
         """The block as the answers up to ``level`` left it."""
-        block = Block(rows.to_pylist()[0])
-        by_level: dict[int, dict[str, bytes]] = {}
-        for a in answers.to_pylist():
-            by_level.setdefault(a["level"], {})[a["shard"]] = a["payload"]
-        block.learn_words(by_level.get(1, {}), word_shards, shards, n_docs, tokens, types)
+        row = rows.to_pylist()[0]
+        by_level = {k: {a["shard"]: a["payload"] for a in row[f"level{k}"] or []} for k in range(1, level + 1)}
+        block = Block(row)
+        block.learn_words(by_level[1], word_shards, shards, n_docs, tokens, types)
         for k in range(2, level + 1):
             block.n_grams(k)
-            block.learn(by_level.get(k, {}), k == order)
+            block.learn(by_level[k], k == order)
         return block
 
     def ask(level: int):
-        def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
-            block = state(rows, answers, level - 1)
+        def run(rows: pa.Table) -> pa.Table:
+            block = state(rows, level - 1)
             block.n_grams(level)
             asked = list(block.ask())
             return pa.table([pa.array([s for s, _ in asked], pa.string()),
@@ -366,22 +380,28 @@ def score(docs: DataFrame, train: Column, order: int = ORDER, strength: float =
                              pa.array([p for _, p in asked], pa.binary())], names=["shard", "block", "payload"])
         return run
 
-    def scores(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        columns = list(zip(*state(rows, answers, order).scores(tokens, types)))
+    def scores(rows: pa.Table) -> pa.Table:
+        columns = list(zip(*state(rows, order).scores(tokens, types)))
         kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)],
                         names=["doc_id", "part", "train", "n_tokens", "n_known", "base_score", "score"])
 
-    by_block = blocks.groupBy("block")
-    answers = known.where("block is not null")
+    def with_answers(rows: DataFrame, answers: DataFrame, level: int) -> DataFrame:
+        """Every block with the list of its answers, which alone are moved."""
+        mine = answers.where("block is not null").groupBy("block").agg(
+            F.collect_list(F.struct("shard", "payload")).alias(f"level{level}"))
+        return rows.join(mine, "block", "left")
+
+    rows = with_answers(blocks, known, 1)
     for level in range(2, order + 1):
-        asks = by_block.cogroup(answers.groupBy("block")).applyInArrow(ask(level), _ASK)
-        answers = answers.unionByName(asks.groupBy("shard").applyInArrow(
-            n_gram_level(level, level == order, strength, least), _ANSWER))
-    chunks = by_block.cogroup(answers.groupBy("block")).applyInArrow(
+        asks = rows.groupBy("block").applyInArrow(ask(level), _ASK)
+        rows = with_answers(rows, asks.groupBy("shard").applyInArrow(
+            n_gram_level(level, level == order, strength, least), _ANSWER), level)
+    chunks = rows.groupBy("block").applyInArrow(
         scores, "doc_id long, part long, train boolean, n_tokens long, n_known long, base_score double, score double")
     columns = ["doc_id", "train", "n_tokens", "n_known", "base_score", "score"]
     chunks = stage(chunks, "chunks")
+    spark.sql(f"DROP TABLE {table}")
     whole = chunks.where("part is null").select(*columns)
     cut = chunks.where("part is not null").groupBy("part").agg(
         F.first("doc_id").alias("doc_id"), F.first("train").alias("train"),
