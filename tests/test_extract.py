@@ -1,5 +1,7 @@
 """Hand-made markup with answers written by hand."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,6 +30,25 @@ def test_long_markup_is_linear(spark):
     assert values(spark, [big], F.length(C.html_to_text("x")))[0] == 100_004
 
 
+@pytest.mark.parametrize("unit", ["<script>", "<style>x", "<template ", "<!--", "<script", "<!-- <script>", "</script", "<p>",
+                                  "<article>", "<div>", "<h1 ", "<a href='x", "&CounterClockwiseContourIntegral;", "<p <p"])
+def test_a_megabyte_of_anything_unclosed_is_quick(spark, unit):
+    text = "seen " + unit * (1_000_000 // len(unit))
+    for fn in (C.html_to_text, E.extract_title, E.extract_body, lambda c: E.inner(c, "article")):
+        df = spark.createDataFrame([(text,)], "x string").select(F.length(fn("x")).alias("n"))
+        df.collect()  # compiled before it is timed
+        began = time.perf_counter()
+        df.collect()
+        assert time.perf_counter() - began < 2
+
+
+def test_what_is_never_closed_reaches_to_the_end(spark):
+    pages = ["a<script>b<b>c", "a<!-- b --", "a<!-- <script> -->b</script>c", "<STYLE>x</style>y<template>z"]
+    assert values(spark, pages, C.html_to_text("x")) == ["a", "a", "abc", "y"]
+    assert values(spark, ["<article>x <p>one<p>two", "<h1>t"], E.extract_body("x")) == ["one two", ""]
+    assert values(spark, ["<h1>t", "<h1>t</h1>u"], E.extract_title("x")) == ["t", "t"]
+
+
 def test_links(spark):
     page = ("<A HREF='one.html'>1</A><a class=x href=two>2 <b>b</b></a><a name=z>no</a><abbr href=q>no</abbr>"
             "<a title='a>b' href=\"/three?a=1&amp;b=2\">full text</a><a\nhref = '#four'>4</a>")

@@ -21,11 +21,16 @@ from .wordlists import MAX_URL_LENGTH, RU_KEEP, RU_STOPWORDS
 # Fixed value: whitespace class (ASCII controls, NEL and Unicode separators).
 SPACE_CLASS = r"[\t\n\x0B\f\r\x1C-\x1F\x{85}\p{Z}]"
 
-# The named character references of the HTML standard, from the standard library.
-_NAMED = "\x02".join(f"{k[:-1]}\x01{v}" for k, v in sorted(html5.items()) if k.endswith(";"))
+# The named character references of the HTML standard, from the standard
+# library, by first letter: a lookup walks through the names of one letter only.
+_NAMED = {a: "\x02".join(f"{k[:-1]}\x01{v}" for k, v in sorted(html5.items()) if k.endswith(";") and k[0] == a)
+          for a in sorted({k[0] for k in html5})}
 ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 # A tag ends at the first '>' outside quotes; a stray quote ends it at the next '>'.
-TAG = r"<[A-Za-z/!?](?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>|<[A-Za-z/!?][^<>]*>"
+TAG = r"<[A-Za-z/!?](?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>|<[A-Za-z/!?][^<>]*+>"
+# What is not shown: script, style and template bodies and comments.  One that is
+# never closed reaches to the end, so no part of a text is searched twice.
+HIDDEN = r"(?is)<(script|style|template)\b[^<>]*+>.*?(?:</\1\s*+>|\z)|<!--.*?(?:-->|\z)"
 
 # RFC 3986 appendix B: scheme, authority, path, query, fragment.
 URI_PATTERN = r"^(([^:/?#]+):)?(//([^/?#]*))?([^?#]*)(\?([^#]*))?(#(.*))?$"
@@ -39,7 +44,9 @@ def _entity_char(e: Column) -> Column:
             .when(body.startswith("#"), F.substring(body, F.lit(2), F.length(body))).cast("int"))
     valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
     char = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
-    name = F.element_at(F.str_to_map(F.lit(_NAMED), F.lit("\x02"), F.lit("\x01")), body)
+    names = F.create_map(*[x for a, named in _NAMED.items() for x in (
+        F.lit(a), F.str_to_map(F.lit(named), F.lit("\x02"), F.lit("\x01")))])
+    name = F.element_at(F.element_at(names, F.substring(body, 1, 1)), body)
     return F.when(body.startswith("#"), char).otherwise(F.coalesce(name, e))
 
 
@@ -55,12 +62,9 @@ def decode_entities(c) -> Column:
 
 def html_to_text(c) -> Column:
     """Visible text of an HTML fragment: script/style/template bodies and
-    comments dropped, tags removed without separator, entities decoded."""
-    x = _c(c)
-    for tag in ("script", "style", "template"):
-        x = F.regexp_replace(x, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
-    x = F.regexp_replace(x, r"(?s)<!--.*?-->", "")
-    return decode_entities(F.regexp_replace(x, TAG, ""))
+    comments dropped (to the end, if they are never closed), tags removed
+    without separator, entities decoded.  Linear in the text's length."""
+    return decode_entities(F.regexp_replace(F.regexp_replace(_c(c), HIDDEN, ""), TAG, ""))
 
 
 class _TextCollector(HTMLParser):

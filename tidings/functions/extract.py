@@ -19,9 +19,10 @@ URL_IN_TEXT_PATTERN = (r"https?://(?:www\.)?[-a-zA-Z0-9@:%._\+~#=]{1,256}\.[a-zA
                        r"[-a-zA-Z0-9()@:%_\+.~#?&/=]*")
 
 
-def inner(html, tag: str, attrs: str = r"[^>]*") -> Column:
-    """Content of the first ``<tag attrs>...</tag>`` (non-nested)."""
-    return F.regexp_extract(_c(html), rf"(?is)<{tag}\b{attrs}>(.*?)</{tag}>", 1)
+def inner(html, tag: str, attrs: str = r"[^<>]*+") -> Column:
+    """Content of the first ``<tag attrs>...</tag>`` (non-nested); an element that
+    is never closed reaches to the end."""
+    return F.regexp_extract(_c(html), rf"(?is)<{tag}\b{attrs}>(.*?)(?:</{tag}>|\z)", 1)
 
 
 # EXT1 ------------------------------------------------------------------------
@@ -32,19 +33,20 @@ def extract_title(html, tag: str = "h1") -> Column:
 
 def extract_meta(html, prop: str) -> Column:
     """Title / date from a ``<meta property=... content=...>`` attribute."""
-    return F.regexp_extract(_c(html), rf'(?is)<meta[^>]*property="{prop}"[^>]*content="([^"]*)"', 1)
+    return F.regexp_extract(_c(html), rf'(?is)<meta[^<>]*property="{prop}"[^<>]*content="([^"]*)"', 1)
 
 
 # EXT2 ------------------------------------------------------------------------
 def strip_blocks(c, tag: str = "div") -> Column:
-    """Remove inner (non-nested) blocks such as info boxes or ads."""
-    return F.regexp_replace(_c(c), rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", "")
+    """Remove inner (non-nested) blocks such as info boxes or ads; one that is
+    never closed reaches to the end."""
+    return F.regexp_replace(_c(c), rf"(?is)<{tag}\b[^<>]*+>.*?(?:</{tag}>|\z)", "")
 
 
 def paragraphs(container) -> Column:
     """Raw paragraph bodies: split on opening ``<p>`` tags, each piece cut at
     its ``</p>``; text before the first paragraph is dropped."""
-    pieces = F.split(_c(container), r"(?i)<p\b[^>]*>")
+    pieces = F.split(_c(container), r"(?i)<p\b[^<>]*+>")
     body = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
     return F.transform(body, lambda p: F.regexp_extract(p, r"(?is)^(.*?)(?:</p\s*>|$)", 1))
 
