@@ -45,8 +45,9 @@ def test_a_megabyte_of_anything_unclosed_is_quick(spark, unit):
 def test_what_is_never_closed_reaches_to_the_end(spark):
     pages = ["a<script>b<b>c", "a<!-- b --", "a<!-- <script> -->b</script>c", "<STYLE>x</style>y<template>z"]
     assert values(spark, pages, C.html_to_text("x")) == ["a", "a", "abc", "y"]
-    assert values(spark, ["<article>x <p>one<p>two", "<h1>t"], E.extract_body("x")) == ["one two", ""]
-    assert values(spark, ["<h1>t", "<h1>t</h1>u"], E.extract_title("x")) == ["t", "t"]
+    assert values(spark, ["<h1>t", "<h1>t</h1>u", "<h1>t<h1>v</h1>"], E.extract_title("x")) == ["", "t", "tv"]
+    assert values(spark, ["a<div>b</div>c", "a<div>b<div>c", "a<div>b</div>c<div>d"], E.strip_blocks("x")) == [
+        "ac", "ab<div>c", "acd"]
 
 
 def test_links(spark):

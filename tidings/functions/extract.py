@@ -20,9 +20,9 @@ URL_IN_TEXT_PATTERN = (r"https?://(?:www\.)?[-a-zA-Z0-9@:%._\+~#=]{1,256}\.[a-zA
 
 
 def inner(html, tag: str, attrs: str = r"[^<>]*+") -> Column:
-    """Content of the first ``<tag attrs>...</tag>`` (non-nested); an element that
-    is never closed reaches to the end."""
-    return F.regexp_extract(_c(html), rf"(?is)<{tag}\b{attrs}>(.*?)(?:</{tag}>|\z)", 1)
+    """Content of the first ``<tag attrs>...</tag>`` (non-nested); empty if it is
+    never closed, which is found out once (the second alternative)."""
+    return F.regexp_extract(_c(html), rf"(?is)<{tag}\b{attrs}>(?:(.*?)</{tag}>|.*+)", 1)
 
 
 # EXT1 ------------------------------------------------------------------------
@@ -38,9 +38,9 @@ def extract_meta(html, prop: str) -> Column:
 
 # EXT2 ------------------------------------------------------------------------
 def strip_blocks(c, tag: str = "div") -> Column:
-    """Remove inner (non-nested) blocks such as info boxes or ads; one that is
-    never closed reaches to the end."""
-    return F.regexp_replace(_c(c), rf"(?is)<{tag}\b[^<>]*+>.*?(?:</{tag}>|\z)", "")
+    """Remove inner (non-nested) blocks such as info boxes or ads; what stands
+    in one that is never closed stays."""
+    return F.regexp_replace(_c(c), rf"(?is)<{tag}\b[^<>]*+>(?:.*?</{tag}>|(.*+))", "$1")
 
 
 def paragraphs(container) -> Column:
