@@ -1,4 +1,4 @@
-"""Clustering at scale (CLU1-CLU5): every algorithm works on an edge table of
+"""Clustering at scale (CLU1-CLU5).  CLU1 and CLU2 work on an edge table of
 similar pairs (JN14) and iterates Spark joins / aggregations.  Each round ends
 with a reliable checkpoint, so a lost executor recomputes one round only.
 
@@ -6,7 +6,7 @@ with a reliable checkpoint, so a lost executor recomputes one round only.
   reducible linkages; Murtagh 1983), cluster distances kept as edges below t;
 * DBSCAN: degree -> core points -> connected components (min-label
   propagation with shortcutting) -> border points;
-* micro-clusters: radius-bounded splitting on mergeable (n, LS, SS) summaries.
+* micro-clusters: clustering-feature trees (``cftree``).
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import knn, sparse
+from .cftree import cluster_micro
 from .relational import match_rate, min_group_size
 
 
@@ -158,58 +159,6 @@ def cluster_complete(vecs: DataFrame | None, t: float = 0.2, id_col: str = "id",
     return members
 
 
-# ---- CLU3 radius-bounded micro-clusters ------------------------------------------
-def _summaries(assigned: DataFrame) -> DataFrame:
-    """Mergeable per-cluster summaries: n, linear sum, square sum, radius."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-    s = (assigned.groupBy("label")
-         .agg(F.count(F.lit(1)).alias("n"),
-              Summarizer.sum(array_to_vector("vec")).alias("_ls"),
-              F.sum(F.aggregate("vec", F.lit(0.0).cast("double"),
-                                lambda acc, x: acc + x.cast("double") * x.cast("double"))).alias("ss"))
-         .withColumn("ls", vector_to_array("_ls", "float64")).drop("_ls"))
-    center = F.transform("ls", lambda x: x / F.col("n"))
-    c2 = F.aggregate(center, F.lit(0.0).cast("double"), lambda acc, x: acc + x * x)
-    return (s.withColumn("center", center)
-            .withColumn("radius", F.sqrt(F.greatest(F.lit(0.0), F.col("ss") / F.col("n") - c2))))
-
-
-def cluster_micro(vecs: DataFrame, r: float = 0.5, id_col: str = "id", vec: str = "vec",
-                  ) -> tuple[DataFrame, DataFrame]:
-    """Micro-clusters whose radius (RMS distance to the centre) is <= r.
-
-    Start from one cluster; each round every cluster above r is split in two
-    around its farthest point p1 and the point p2 farthest from p1 (all
-    JVM-side aggregations).  Returns (assignment (id, label), summaries
-    (label, n, ls, ss, center, radius)); labels are the smallest member id.
-    """
-    from ..functions.scalars import sq_l2
-    cur = cut_lineage(vecs.select(F.col(id_col).alias("id"), F.col(vec).alias("vec"))
-                      .withColumn("label", F.lit(0).cast("long")))
-    while True:
-        summ = _summaries(cur)
-        big = summ.filter(F.col("radius") > r).select("label", "center")
-        big = cut_lineage(big)
-        if big.limit(1).count() == 0:
-            break
-        j = cur.join(big, "label")
-        p1 = (j.groupBy("label").agg(F.max_by("vec", F.struct(sq_l2("vec", "center"), F.col("id"))).alias("p1")))
-        j2 = cur.join(p1, "label")
-        p2 = j2.groupBy("label").agg(F.max_by("vec", F.struct(sq_l2("vec", "p1"), F.col("id"))).alias("p2"))
-        seeds = p1.join(p2, "label")
-        split = (cur.join(seeds, "label", "left")
-                 .withColumn("side", F.when(F.col("p1").isNull(), F.lit(0))
-                             .when(sq_l2("vec", "p1") <= sq_l2("vec", "p2"), F.lit(1)).otherwise(F.lit(2))))
-        relab = split.groupBy("label", "side").agg(F.min("id").alias("nl"))
-        cur = cut_lineage(split.join(relab, ["label", "side"])
-                          .select("id", "vec", F.col("nl").alias("label")))
-    # final labels = smallest member id
-    lab = cur.groupBy("label").agg(F.min("id").alias("nl"))
-    cur = cur.join(lab, "label").select("id", "vec", F.col("nl").alias("label"))
-    return cur.select("id", "label"), _summaries(cur)
-
-
 # ---- CLU4 / CLU5 -------------------------------------------------------------------------
 def group_news(news: DataFrame, vecs: DataFrame | None, min_size: int = 1, t: float = 0.2,
                method: str = "complete", id_col: str = "id", bags: DataFrame | None = None) -> DataFrame:
