@@ -205,10 +205,8 @@ def _landing_from_pages(spark, sf, root):
     half = raw.filter(F.col("link").contains("/en/") | F.col("link").contains("/fr/"))
     rest = raw.join(half.select("link"), "link", "left_anti")
     half.write.mode("overwrite").json(f"{root}/lines")
-    day = F.substring("timestamp", 1, 10).alias("day")
-    w = rest.groupBy("source", day).agg(F.collect_list(F.struct(*raw.columns)).alias("l"))
-    (w.select("source", "day", F.to_json(F.create_map("source", "l")).alias("value"))
-     .write.mode("overwrite").partitionBy("source", "day").text(f"{root}/wrapped"))
+    (X.wrapped_lists(rest).withColumn("file", F.hex(F.xxhash64("value"))).write.mode("overwrite")
+     .partitionBy("source", "day", "file").text(f"{root}/wrapped"))
     return root
 
 

@@ -59,11 +59,10 @@ def src2(spark, sf):
     raw = with_id.select(*cols)
     # one record per line
     raw.write.mode("overwrite").json(f"{root}/lines")
-    # one wrapped list per source and day (a crawler's daily dump): {"srcN": [records]}
-    day = F.substring("timestamp", 1, 10).alias("day")
-    wrapped = raw.groupBy("source", day).agg(F.collect_list(F.struct(*cols)).alias("l"))
-    (wrapped.select("source", "day", F.to_json(F.create_map("source", "l")).alias("value"))
-     .write.mode("overwrite").partitionBy("source", "day").text(f"{root}/wrapped"))
+    # wrapped lists of a source and day (a crawler's daily dump), one per line and file
+    lists = X.wrapped_lists(raw).repartition(64, F.xxhash64("value"))
+    (lists.withColumn("file", F.hex(F.xxhash64("value"))).write.mode("overwrite")
+     .partitionBy("source", "day", "file").text(f"{root}/wrapped"))
     # one single record per file: the latest article of each source
     latest = with_id.groupBy("source").agg(F.max_by(F.struct(*cols), "id").alias("r")).select("r.*")
     (latest.select("source", F.to_json(F.struct(*cols)).alias("value"))

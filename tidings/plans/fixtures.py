@@ -122,6 +122,21 @@ def profiles_like(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("event_type").alias("state"), "value", "ts")
 
 
+#: Records of one list in a crawler's dump.
+LIST_RECORDS = 200
+
+
+def wrapped_lists(raw: DataFrame) -> DataFrame:
+    """Crawler dumps of ``raw`` records: (source, day, value), a JSON object that
+    wraps a list of at most about ``LIST_RECORDS`` records of a source and day."""
+    day = F.substring("timestamp", 1, 10).alias("day")
+    size = raw.groupBy("source", day).agg(F.ceil(F.count(F.lit(1)) / LIST_RECORDS).alias("_lists"))
+    rows = raw.withColumn("day", day).join(size, ["source", "day"]).withColumn(
+        "_list", F.pmod(F.xxhash64("link", "title"), F.col("_lists")))
+    lists = rows.groupBy("source", "day", "_list").agg(F.collect_list(F.struct(*raw.columns)).alias("l"))
+    return lists.select("source", "day", F.to_json(F.create_map("source", "l")).alias("value"))
+
+
 # --- SQL (DuckDB) ------------------------------------------------------------
 
 SQL_NEWS_LIKE = f"""

@@ -9,9 +9,9 @@ from pyspark.sql import types as T
 from .. import schemas
 from ..functions.clean import clamp_epoch, parse_iso, to_iso, validate_news, with_dense_id
 from ..session import scratch_path
+from .wrapped import can_open, read_whole, read_wrapped
 
 LONG_MIN = -(2 ** 63)
-RAW_ARRAY_MAP = T.MapType(T.StringType(), T.ArrayType(schemas.RAW_NEWS))
 
 
 def _scratch(spark: SparkSession, name: str, path: str | None) -> str:
@@ -33,32 +33,19 @@ def scan_mixed_json(spark: SparkSession, root: str, lines_glob: str = "*.jsonl",
     """All ``*.jsonl`` (one record per line) and ``*.json`` files below root,
     as (records, quarantine).
 
-    A ``.json`` file whose object has exactly one top-level key holds a
-    wrapped list of records; otherwise the object is one record.  Whole
-    files are read as text (one row per file, as their format asks) and
-    decoded with ``from_json`` chosen by the number of top-level keys.  Lines
-    and files that are no JSON object, and wrapped values that are no list of
-    records, go to the quarantine with their path and content."""
-    text = spark.read.option("recursiveFileLookup", "true")
-    lines = text.option("pathGlobFilter", lines_glob).text(root).select(
-        F.col("_metadata.file_path").alias("path"), "value").where(F.trim("value") != "")
-    lines = lines.withColumn("r", F.from_json("value", schemas.RAW_NEWS))
-    keys = F.json_object_keys("value")
-    files = (spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
-             .option("pathGlobFilter", whole_glob).text(root)
-             .select(F.col("_metadata.file_path").alias("path"), "value").withColumn("n", F.size(keys)))
-    wrapped = files.where("n = 1").withColumn("l", F.get(
-        F.map_values(F.from_json("value", RAW_ARRAY_MAP)), F.lit(0)))
-    single = files.where("n > 1").withColumn("r", F.from_json("value", schemas.RAW_NEWS))
+    A ``.json`` file whose object wraps a list of records gives its elements,
+    read step by step (``wrapped.read_wrapped``); any other object with several
+    keys is one record.  Lines and files that are no JSON object, and what
+    stands in or behind a wrapped list without being a record, go to the
+    quarantine with their path and content."""
+    lines = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", lines_glob).text(root)
+             .select(F.col("_metadata.file_path").alias("path"), "value").where(F.trim("value") != ""))
     is_line = F.json_object_keys("value").isNotNull()
-    records = (lines.where(is_line).select("r.*")
-               .unionByName(wrapped.where("l is not null").select(F.explode("l").alias("r"))
-                            .where("r is not null").select("r.*"))
-               .unionByName(single.select("r.*")))
-    broken = (lines.where(~is_line).select("path", "value")
-              .unionByName(files.where("n is null or n < 1").select("path", "value"))
-              .unionByName(wrapped.where("l is null").select("path", "value")))
-    return records, broken
+    read = read_wrapped if can_open(root) else read_whole
+    found = lines.select("path", F.when(is_line, "record").otherwise("broken").alias("kind"), "value").unionByName(
+        read(spark, root, whole_glob))
+    records = found.where("kind = 'record'").select(F.from_json("value", schemas.RAW_NEWS).alias("r")).select("r.*")
+    return records, found.where("kind = 'broken'").select("path", "value")
 
 
 def read_mixed_json(spark: SparkSession, root: str, lines_glob: str = "*.jsonl",
