@@ -88,5 +88,44 @@ def test_mixed_documents_hold_the_taken_words(spark, docs):
         assert got.select(F.sum(M.n_words(F.col("text")))).first()[0] == want
 
 
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+@pytest.mark.parametrize("block", [2048, 25])
+def test_the_mix_in_order_holds_the_texts(spark, block):
+    """Blocks rebuilt from the texts: every slot holds the stream's words, with
+    the white space as it stands, and all documents together what mix takes."""
+    docs = documents(spark, SF).where("doc_id < 80")
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    rows = M.mixed_texts(docs, block=block).collect()
+    taken = defaultdict(int)
+    slots = defaultdict(list)
+    for r in rows:
+        own = words(text[r.doc_id])[r.in_doc:r.in_doc + r.taken]
+        assert words(r.text) == own and r.text in text[r.doc_id]
+        taken[r.doc_id] += r.taken
+        slots[r.position, r.sid, r.epoch, r.block].append(r)
+    assert taken == {r.doc_id: r.taken for r in M.mix(docs, block=block).where("taken > 0").collect()}
+    for key, parts in slots.items():  # gapless from 0
+        at = 0
+        for r in sorted(parts, key=lambda r: r.in_block):
+            assert r.in_block == at
+            at += r.taken
+        assert at <= block
+
+
+def test_parts_keep_their_white_space_and_sources_stay_apart(spark):
+    rows = [(1, "a  b\n\tc d", "x"), (1, "a  b\n\tc d", "y"), (2, "e", "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert [r[0] for r in d.select(M.words_between(F.col("text"), F.lit(1), F.lit(2))).collect()][:2] == ["b\n\tc"] * 2
+    got = M.mixed_documents(d)
+    assert got.select(F.sum(M.n_words(F.col("text")))).first()[0] == M.mix(d).agg(F.sum("taken")).first()[0]
+    for r in got.collect():
+        assert any(t.startswith(r.text) and s == r.source for _, t, s in rows)
+    by_source = {r.source: r.n for r in got.groupBy("source").agg(F.sum(M.n_words(F.col("text"))).alias("n")).collect()}
+    assert set(by_source) == {"x", "y"}
+
+
 def test_empty(no_docs):
     assert M.mix(no_docs).collect() == [] and M.mixed_documents(no_docs).collect() == []

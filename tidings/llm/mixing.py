@@ -19,10 +19,13 @@ documents, runs of ``RUN_SLOTS`` slots) and over the groups' totals, so a
 source that holds a third of all rows is no single task.  Order and points
 depend on the data alone: reruns agree.
 
-Defined cases: a null text has no words; a null source is a source of its
-own, ordered last; a source without words has target 0; a null id is hashed as
-empty; repeated rows each count; an empty table gives no rows; other columns are
-passed over.
+Defined cases: a null text has no words; a document without words has no slice
+and is not in the mix; a null source is a source of its own, ordered last; a source
+without words has target 0; a null id is hashed as empty; rows equal in id, text
+and source each count and stand one behind the other (ties); an empty table gives
+no rows; other columns are passed over by ``mix`` and ``mixed_texts`` and kept
+by ``mixed_documents``, whatever their names; a long text is one row, met by as
+many blocks as it spans.
 """
 
 from __future__ import annotations
@@ -47,16 +50,26 @@ def n_words(text: Column) -> Column:
     return F.length(F.regexp_replace(marks, r"^[\x20\x09-\x0D]+", "")).cast("long")
 
 
-def order_hash(id_col: str, text_col: str) -> Column:
+def order_hash(id_col: str, text_col: str, source_col: str) -> Column:
+    """The same for rows equal in id, text and source alone."""
     return F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"),
-                          F.md5(text_of(text_col).cast("binary"))).cast("binary"))
+                          F.md5(text_of(text_col).cast("binary")), F.lit("|"),
+                          F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))).cast("binary"))
+
+
+def words_between(text: Column, first: Column, n: Column) -> Column:
+    """``n`` words of the text from number ``first`` on, with the white space
+    between them as it stands (and that before the text's first word)."""
+    pieces = F.slice(F.regexp_extract_all(text, F.lit(r"([\x20\x09-\x0D]*" + _WORD + ")")), first.cast("int") + 1, n.cast("int"))
+    whole = F.array_join(pieces, "")
+    return F.when(first > 0, F.regexp_replace(whole, r"^[\x20\x09-\x0D]+", "")).otherwise(whole)
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``doc_id``, ``source``, ``size`` and ``h`` (order within the source)."""
     return stage(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
                              n_words(text_of(text_col)).alias("size"),
-                             order_hash(id_col, text_col).alias("h")), "mix-sizes")
+                             order_hash(id_col, text_col, source_col).alias("h")), "mix-sizes")
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -185,14 +198,32 @@ def mixed_slices(slots: DataFrame, slices: DataFrame) -> DataFrame:
                     taken.alias("taken")))
 
 
+def _prepared(docs: DataFrame, weights: tuple, max_epochs: int, id_col: str, text_col: str,
+              source_col: str) -> tuple[DataFrame, DataFrame]:
+    """Sources with their targets, and documents with their places in the streams."""
+    sizes = sized(docs, id_col, text_col, source_col)
+    sources = stage(targets(sizes, weights, max_epochs), "mix-targets")
+    return sources, stage(_with_stream_offsets(sizes, sources), "mix-streams")
+
+
+def mixed_texts(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS, block: int = BLOCK_WORDS,
+                id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix to be read in order: ``position`` (of the slot; slots of equal
+    position by ``sid``, ``epoch``, ``block``) and ``in_block`` give the order,
+    ``doc_id``, ``in_doc`` and ``text`` the words that stand there."""
+    sources, streams = _prepared(docs, weights, max_epochs, id_col, text_col, source_col)
+    parts = mixed_slices(schedule(sources, block), block_slices(streams, block))
+    texts = docs.select(order_hash(id_col, text_col, source_col).alias("h"), text_of(text_col).alias("text")).dropDuplicates(["h"])
+    return parts.join(texts, "h").select("position", "sid", "epoch", "block", "in_block", "doc_id", "in_doc", "taken",
+                                         words_between(F.col("text"), F.col("in_doc"), F.col("taken")).alias("text"))
+
+
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS, block: int = BLOCK_WORDS,
         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per document: ``doc_id``, ``size``, ``source_size``, ``target``
     (its source's), ``taken`` (words of it in the mix, repeats counted) and
     ``h``, the hash that orders it."""
-    sizes = sized(docs, id_col, text_col, source_col)
-    sources = stage(targets(sizes, weights, max_epochs), "mix-targets")
-    streams = stage(_with_stream_offsets(sizes, sources), "mix-streams")
+    sources, streams = _prepared(docs, weights, max_epochs, id_col, text_col, source_col)
     parts = mixed_slices(schedule(sources, block), block_slices(streams, block))
     # the slice's place in the stream tells equal rows apart
     begin = F.col("block") * block + F.col("in_block") - F.col("in_doc")
@@ -214,15 +245,15 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # equal rows have equal hashes: what they give together is taken from one
     takes = stage(decided.where("taken > 0").groupBy(F.col("h").alias(h)).agg(
         F.sum("taken").alias(taken), F.max("size").alias(size), F.count(F.lit(1)).alias(same)), "mix-takes")
-    rows = docs.withColumn(h, order_hash(id_col, text_col))
+    rows = docs.withColumn(h, order_hash(id_col, text_col, source_col))
     # both joins read one shuffle of the texts
     single = rows.join(takes.where(F.col(same) == 1), h)
     several = rows.join(takes.where(F.col(same) > 1), h).dropDuplicates([h])
     found = single.unionByName(several).withColumn(
         part, F.explode(F.sequence(F.lit(0).cast("long"), F.col(taken) - 1, F.col(size))))
     left = F.col(taken) - F.col(part)
-    words = F.slice(F.regexp_extract_all(F.col(text_col), F.lit(f"({_WORD})")), 1, left.cast("int"))
-    out = found.withColumn(text_col, F.when(left >= F.col(size), F.col(text_col)).otherwise(F.array_join(words, " ")))
+    out = found.withColumn(text_col, F.when(left >= F.col(size), F.col(text_col)).otherwise(
+        words_between(F.col(text_col), F.lit(0), left)))
     if "n_chars" in cols:
         out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
     return out.select(*cols)
@@ -235,7 +266,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) AS h FROM documents),
+         md5(coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, '')) || '|' || coalesce('s' || source, 'n')) AS h
+  FROM documents),
 per AS (
   SELECT source, sum(size)::BIGINT AS z, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS sid
   FROM d GROUP BY source),
