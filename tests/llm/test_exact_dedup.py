@@ -49,3 +49,27 @@ def test_kept_documents_keep_all_columns(docs):
 
 def test_empty(no_docs):
     assert X.exact_dedup(no_docs).collect() == [] and X.kept_documents(no_docs).collect() == []
+
+
+def test_a_later_application_opens_the_index(spark, tmp_path):
+    """The catalog forgets the table; the folder alone brings the index back."""
+    path = str(tmp_path / "digests")
+    one = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "doc_id long, text string")
+    index = X.DigestIndex(spark, "index_of_one", buckets=3, path=path)
+    assert sorted(r.doc_id for r in X.kept_documents(one, index=index).collect()) == [2, 3]
+    index.drop()
+    assert not spark.catalog.tableExists("index_of_one")
+    other = spark.newSession()
+    again = X.DigestIndex(other, "index_of_another", path=path)
+    assert again.buckets == 3 and again.read().count() == 2
+    two = other.createDataFrame([(4, "b"), (5, "c")], "doc_id long, text string")
+    assert [r.doc_id for r in X.kept_documents(two, index=again).collect()] == [5]
+    assert again.read().count() == 3
+    again.drop()
+
+
+def test_no_table_is_left(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    docs = spark.createDataFrame([(1, "a"), (2, "a")], "doc_id long, text string")
+    assert X.exact_dedup(docs).count() == 2 and X.kept_documents(docs).count() == 1
+    assert {t.name for t in spark.catalog.listTables()} == before

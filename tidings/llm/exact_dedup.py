@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,11 +29,25 @@ def text_digest(text_col: str = "text") -> Column:
 
 
 class DigestIndex:
-    """Digests seen so far, each with the document that stands for it."""
+    """Digests seen so far, each with the document that stands for it.
 
-    def __init__(self, spark: SparkSession, table: str, buckets: int | None = None):
-        self.spark, self.table = spark, table
+    With a ``path`` the index is a table of that folder, which a later
+    application opens by the same path: the number of buckets is kept beside
+    it, and a table that the catalog does not know is registered again."""
+
+    _COLUMNS = "digest BINARY, keep_id BIGINT, keep_row BIGINT, delivery STRING"
+
+    def __init__(self, spark: SparkSession, table: str, buckets: int | None = None, path: str | None = None):
+        self.spark, self.table, self.path = spark, table, path and path.rstrip("/")
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if self.path and not self.exists():
+            try:
+                self.buckets = spark.read.schema("buckets int").json(f"{self.path}_buckets").first()["buckets"]
+            except AnalysisException:  # there is no such folder: a new index
+                spark.createDataFrame([(self.buckets,)], "buckets int").coalesce(1).write.json(f"{self.path}_buckets")
+                return
+            spark.sql(f"CREATE TABLE {table} ({self._COLUMNS}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) "
+                      f"INTO {self.buckets} BUCKETS LOCATION '{self.path}'")
 
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.table)
@@ -40,6 +55,10 @@ class DigestIndex:
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
+    def drop(self) -> None:
+        """Forget the index; without a path its rows are deleted too."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
     def ingest(self, batch: DataFrame, delivery: str = "") -> None:
         """Append the digests of ``batch`` (``row``, ``id``, ``digest``) that
         the index has not, with the ``delivery`` that brought them; of a batch's
@@ -49,8 +68,9 @@ class DigestIndex:
                .repartition(self.buckets, "digest"))
         if self.exists():
             new = new.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
-        (new.select("digest", "keep_id", "keep_row", F.lit(delivery).alias("delivery")).write.mode("append")
-         .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table))
+        write = (new.select("digest", "keep_id", "keep_row", F.lit(delivery).alias("delivery")).write.mode("append")
+                 .format("parquet").bucketBy(self.buckets, "digest").sortBy("digest"))
+        (write.option("path", self.path) if self.path else write).saveAsTable(self.table)
 
 
 def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -81,7 +101,8 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     deliveries would, so that across batches too the largest id stays.  With
     an ``index`` of earlier deliveries, documents that it holds are not kept.
     """
-    index, delivery = index or fresh_index(docs.sparkSession), uuid.uuid4().hex
+    own, index = index is None, index or fresh_index(docs.sparkSession)
+    delivery = uuid.uuid4().hex
     rows = digest_rows(docs, id_col, text_col)
     span = rows.agg(F.min(F.nullif("id", F.lit(LONG_MIN))).alias("lo"), F.max("id").alias("hi")).first()
     hi = span["hi"] if span["hi"] is not None else 0
@@ -95,7 +116,10 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
             part = part.where(F.col("id") > F.lit(cuts[k]))
         index.ingest(part, delivery)
     as_id = lambda c: F.nullif(c, F.lit(LONG_MIN))
-    return resolve(rows, index).select(
+    resolved = resolve(rows, index)  # from written tables: the index is no longer needed
+    if own:
+        index.drop()
+    return resolved.select(
         as_id("id").alias("doc_id"), as_id("keep_id").alias("keep_id"), "group_size",
         ((F.col("row") == F.col("keep_row")) & (F.col("delivery") == delivery)).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"))
@@ -104,13 +128,16 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    index: DigestIndex | None = None) -> DataFrame:
     """``docs`` without the rows whose text another row stands for."""
-    index, delivery = index or fresh_index(docs.sparkSession), uuid.uuid4().hex
+    fresh, index = index is None, index or fresh_index(docs.sparkSession)
+    delivery = uuid.uuid4().hex
     rows = digest_rows(docs, id_col, text_col)
     index.ingest(rows, delivery)
     same = rows.groupBy("digest", "id").agg(F.count(F.lit(1)).alias("same"))
     own = index.read().where(F.col("delivery") == delivery)
     kept = stage(own.select("digest", F.col("keep_id").alias("id")).join(same, ["digest", "id"])
                  .select("id", F.col("digest").alias("key"), "same"), "digest-kept")
+    if fresh:
+        index.drop()
     return keep_rows(docs, kept, id_col, text_digest(text_col))
 
 
