@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +37,8 @@ RIDGE = 1e-3
 CALIBRATION_BINS = 2048
 THRESHOLD = 0.3
 N_FOLDS = 5
-ROWS_PER_SUM = 1_000_000
+#: Groups in which the partitions' sums are added first.
+SUM_GROUPS = 64
 STATS = ("chars", "words", "word_chars", "long_words", "short_words", "upper", "digits", "symbols", "marks",
          "other_bytes", "lines", "line_copies", "distinct_words", "same_neighbours", "lone_symbols",
          "byte_entropy", "top_word")
@@ -117,8 +119,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _normal_equations(labelled: DataFrame, model: Model) -> np.ndarray:
-    """Sum of z z' and z y: every partition adds up its own rows, then row i
-    of all partitions' matrices is added in one group."""
+    """Sum of z z' and z y: every partition adds up its own rows; then row i of
+    the partitions' matrices is added in ``SUM_GROUPS`` groups, and over these."""
     def partial(batches):
         total = None
         for b in batches:
@@ -126,16 +128,19 @@ def _normal_equations(labelled: DataFrame, model: Model) -> np.ndarray:
             zy = np.hstack([z, b.column(1).to_numpy()[:, None].astype(float)])
             total = z.T @ zy if total is None else total + z.T @ zy
         if total is not None:
+            group = TaskContext.get().partitionId() % SUM_GROUPS
             yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()),
+                                              pa.array([group] * len(total), pa.int32()),
                                               pa.array([r.tobytes() for r in total], pa.binary())],
-                                             names=["i", "part"])
+                                             names=["i", "g", "part"])
 
-    def add(key, table):
+    def add(table: pa.Table) -> pa.Table:
         rows = np.frombuffer(b"".join(table["part"].to_pylist())).reshape(table.num_rows, -1)
-        return pa.table({"i": table["i"][:1], "part": pa.array([np.sort(rows, axis=0).sum(axis=0).tobytes()],
-                                                               pa.binary())})
-    sums = labelled.select("stats", "label").mapInArrow(partial, "i int, part binary")
-    rows = sums.groupBy("i").applyInArrow(add, "i int, part binary").collect()
+        return pa.table({"i": table["i"][:1], "g": table["g"][:1],
+                         "part": pa.array([np.sort(rows, axis=0).sum(axis=0).tobytes()], pa.binary())})
+    schema = "i int, g int, part binary"
+    sums = labelled.select("stats", "label").mapInArrow(partial, schema)
+    rows = sums.groupBy("i", "g").applyInArrow(add, schema).groupBy("i").applyInArrow(add, schema).collect()
     return np.stack([np.frombuffer(r.part) for r in sorted(rows, key=lambda r: r.i)])
 
 
@@ -184,8 +189,7 @@ def fit(stats: DataFrame, labels: DataFrame, target: str = "quality") -> Model:
     if not tally.n or tally.share in (0.0, 1.0):
         return model
     second = F.pmod(F.crc32(F.concat(F.lit("calibrate"), F.col("doc_id").cast("string")).cast("binary")), F.lit(4)) == 0
-    parts = max(1, -(-tally.n // ROWS_PER_SUM))
-    sums = _normal_equations(labelled.where(~second).coalesce(parts), model)
+    sums = _normal_equations(labelled.where(~second), model)
     if len(sums):
         a, y = sums[:, :-1], sums[:, -1]
         model.weights = np.linalg.solve(a + RIDGE * max(1.0, a[-1, -1]) / 100 * np.eye(len(a)), y)
