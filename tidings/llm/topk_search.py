@@ -6,8 +6,8 @@ n components <x, y> is at most n (mean mean' + dev dev'), so the sum over the
 segments bounds the score (equally: bounds the distance from below, as
 |x - y|^2 = |x|^2 + |y|^2 - 2 <x, y>), and a finer cut gives a tighter bound.
 Per block of rows, a query's coarse bounds pick the rows to score first; the
-k-th best of those and of the blocks before is its threshold; only rows whose
-bound reaches it go on to the next resolution, and only survivors of the finest
+k-th best of those, and of all rows of the first block, which is searched before
+the others, is its threshold; only rows whose bound reaches it go on to the next resolution, and only survivors of the finest
 are scored exactly.
 
 Rows are dealt by a hash to blocks of about ``BLOCK_ROWS`` and the
@@ -74,9 +74,10 @@ def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", q, x)
 
 
-def block_top(q_id, q, x_id, x, k: int, levels=LEVELS):
+def block_top(q_id, q, x_id, x, k: int, levels=LEVELS, known_floor=None):
     """(query row, id, score) of each query's ``k`` best rows of one block;
-    ``x`` is in rising order of id, nulls last."""
+    ``x`` is in rising order of id, nulls last.  Rows below ``known_floor``, the
+    query's k-th best score in the first block, are left out."""
     width = max(q.shape[1], x.shape[1])
     q, x = (np.pad(a, ((0, 0), (0, width - a.shape[1]))) for a in (q, x))
     qf, xf = q.astype(float), x.astype(float)
@@ -95,6 +96,8 @@ def block_top(q_id, q, x_id, x, k: int, levels=LEVELS):
     score = np.where(np.take_along_axis(alive, first, axis=1), score, np.iinfo(np.int64).min)
     at = np.sort(score, axis=1)[:, -min(k, few)]
     floor = np.where(at == np.iinfo(np.int64).min, -np.inf, at.astype(float)) if few >= k else np.full(len(q), -np.inf)
+    if known_floor is not None:
+        floor = np.maximum(floor, known_floor)
     floor = floor - 1e-9 * np.abs(np.where(np.isfinite(floor), floor, 0))
     alive &= coarse >= floor[:, None]
     for qt, xt in tables[1:]:
@@ -129,7 +132,8 @@ def _compare(k: int, levels):
         q_id = left["vec_id"].to_numpy()
         x = _vectors(right["v"])
         q = _vectors(left["v"])
-        i, j, s = block_top(q_id, q, (known, numbers), x, k, levels)
+        floor = left["floor"].to_numpy() if "floor" in left.column_names else None
+        i, j, s = block_top(q_id, q, (known, numbers), x, k, levels, floor)
         return pa.table({"query_id": pa.array(q_id[i], pa.int64()), "vec_id": ids.take(pa.array(j)),
                          "score": pa.array(s, pa.int64())})
     return run
@@ -145,12 +149,23 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = TOP, levels: tuple = LEV
     ``vec_id`` and the integer vector ``v``."""
     n_rows, n_queries = rows.count(), queries.count()
     m, p = max(1, -(-n_rows // block_rows)), max(1, -(-n_queries // query_rows))
-    x = (rows.withColumn("xb", F.pmod(F.xxhash64("vec_id", "v"), F.lit(m)))
-         .withColumn("qb", F.explode(_numbers(p))))
-    q = (queries.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(p)))
-         .withColumn("xb", F.explode(_numbers(m))))
-    found = q.groupBy("qb", "xb").cogroup(x.groupBy("qb", "xb")).applyInArrow(
-        _compare(k, levels), "query_id long, vec_id long, score long")
+    dealt = rows.withColumn("xb", F.pmod(F.xxhash64("vec_id", "v"), F.lit(m)))
+    q = queries.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(p)))
+    schema = "query_id long, vec_id long, score long"
+
+    def compare(asked: DataFrame, asked_rows: DataFrame) -> DataFrame:
+        x = asked_rows.withColumn("qb", F.explode(_numbers(p)))
+        return asked.groupBy("qb", "xb").cogroup(x.groupBy("qb", "xb")).applyInArrow(_compare(k, levels), schema)
+
+    # the first block gives every query a floor that goes with it to the others
+    found = compare(q.withColumn("xb", F.lit(0).cast("long")), dealt.where("xb = 0"))
+    if m > 1:
+        found = stage(found, "first-block")
+        floors = found.groupBy(F.col("query_id").alias("vec_id")).agg(
+            F.when(F.count(F.lit(1)) >= k, F.min("score").cast("double")).alias("floor"))
+        q = q.join(floors, "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+        others = q.withColumn("xb", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(m - 1).cast("long"))))
+        found = found.unionByName(compare(others, dealt.where("xb > 0")))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
