@@ -150,7 +150,9 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = TOP, levels: tuple = LEV
     n_rows, n_queries = rows.count(), queries.count()
     m, p = max(1, -(-n_rows // block_rows)), max(1, -(-n_queries // query_rows))
     dealt = rows.withColumn("xb", F.pmod(F.xxhash64("vec_id", "v"), F.lit(m)))
-    q = queries.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(p)))
+    # columns of their own: queries are mostly some of the rows
+    q = queries.select(F.col("vec_id").alias("vec_id"), F.col("v").alias("v"))
+    q = q.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(p)))
     schema = "query_id long, vec_id long, score long"
 
     def compare(asked: DataFrame, asked_rows: DataFrame) -> DataFrame:
