@@ -25,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -154,12 +154,18 @@ def _with_schema(v: DataFrame, *extra: T.StructField) -> T.StructType:
     return T.StructType([T.StructField("cell", T.LongType()), T.StructField("id", T.LongType()), v.schema["vec"], *extra])
 
 
+def _one_cell() -> Column:
+    """Cell 0 of every row, as a value and not as a literal, by which a join
+    would lose its condition."""
+    return F.pmod(F.xxhash64("id"), F.lit(1)).cast("long").alias("cell")
+
+
 def fit_cells(v: DataFrame, n_cells: int, k: int = 0) -> tuple[Cells | None, DataFrame]:
     """Cells over rows (id, vec) and the rows with their ``cell``.  Pivots are
     rows chosen by a hash; they and the summaries are all that the driver
     sees, at most ``MAX_CELLS`` times ``k`` numbers."""
     if n_cells <= 1:
-        return None, v.select(F.lit(0).cast("long").alias("cell"), "id", "vec")
+        return None, v.select(_one_cell(), "id", "vec")
     rows = v.orderBy(F.xxhash64("id", F.lit(17)), "id").limit(min(n_cells, MAX_CELLS)).select("vec").collect()
     piv = np.unique(np.stack([np.asarray(r["vec"], dtype=np.float64) for r in rows]), axis=0)
 
@@ -194,7 +200,7 @@ def to_cells(v: DataFrame, cells: Cells | None, radius: float | None = None, k:
     numbered before it, so two cells meet once."""
     schema = _with_schema(v, T.StructField("own", T.BooleanType()))
     if cells is None:
-        return v.select(F.lit(0).cast("long").alias("cell"), "id", "vec", F.lit(True).alias("own"))
+        return v.select(_one_cell(), "id", "vec", F.lit(True).alias("own"))
 
     def copies(batches):
         for pdf in batches:
