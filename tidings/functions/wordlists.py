@@ -46,8 +46,5 @@ RU_MONTHS_GENITIVE = [
     "июля", "августа", "сентября", "октября", "ноября", "декабря",
 ]
 
-# Fixed value: the code-input pattern accepted by the chat bot.
-CODE_INPUT_PATTERN = r"([\d]{1,3})+(\.[\d]{1,3}|){1,}"
-
 # Fixed value: maximum URL length accepted by the record validator.
 MAX_URL_LENGTH = 2083
