@@ -3,6 +3,13 @@
 Every stage takes the documents that the one before it kept and calls one
 operator of ``tidings.llm``; all but the last return the columns of
 ``documents``, the last the packed pieces.
+
+Defined cases: a null text counts as empty and stays null until a copy or the
+mix removes it; documents without words are not in the mix, so they are not
+packed; of rows equal in id and text one stays; null ids and sources are kept; of equal
+texts the largest id stays, of near copies the smallest; without labels nothing
+is rejected; empty tables give no rows; more columns, whatever their names, pass
+all stages but the last; long texts are never cut before the packing.
 """
 
 from __future__ import annotations
