@@ -67,6 +67,17 @@ def test_run_is_the_stages(spark):
     assert rows and set(C.queries()) == {"pipeline"} and C.oracle_sql() == {}
 
 
+def test_awkward_rows_pass_all_stages(spark, docs, tmp_path):
+    """Nulls, empty and long texts, copies, repeated rows, another column."""
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    read_table(spark, SF, "labels").limit(0).write.parquet(str(tmp_path / "labels.parquet"))
+    rows = C.run(spark, str(tmp_path)).collect()
+    found = {r.doc_id for r in rows}
+    # copies: 2 stays of 1 and 2, 8 of 7 and 8; 3, 4 and 6 have no words
+    assert found == {2, 5, 8, None}
+    assert sum(r.doc_id == 5 for r in rows) > 100
+
+
 def test_empty_tables(spark, no_docs, tmp_path):
     for name in ("documents", "labels"):
         read_table(spark, SF, name).limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
