@@ -476,8 +476,7 @@ def search_probes(nlist: int, share: float = 0.6) -> int:
 
 def build_index(vecs: DataFrame, nlist: int | None = None, seed: int = 7) -> tuple[DataFrame, DataFrame, int, int]:
     """VEC3 + FN9: cells for every vector.  Returns (data_cells, centers,
-    nlist, nprobe) with nlist = round(sqrt(n)), nprobe = nlist // 4; centres
-    have the least and largest distance of their rows and their number."""
+    nlist, nprobe) with nlist = round(sqrt(n)), nprobe = nlist // 4."""
     n = vecs.count()
     nlist = nlist or max(1, int(round(math.sqrt(n))))
     nprobe = max(1, nlist // 4)
@@ -485,7 +484,13 @@ def build_index(vecs: DataFrame, nlist: int | None = None, seed: int = 7) -> tup
     cells = assign_cells(vecs, centers, 1).select(F.col("id").alias("cid"), "cell")
     data_cells = (vecs.select("id", "vec").join(cells, F.col("id") == F.col("cid"))
                   .select("id", "vec", "cell"))
+    return data_cells, centers, nlist, nprobe
+
+
+def with_radii(data_cells: DataFrame, centers: DataFrame) -> DataFrame:
+    """Centres with the ``least`` and largest (``most``) distance of their rows
+    and their number ``n``; cells without rows are left out."""
     r = F.sqrt(sq_l2("vec", "_c"))
     radii = (data_cells.join(centers.select("cell", F.col("vec").alias("_c")), "cell")
              .groupBy("cell").agg(F.min(r).alias("least"), F.max(r).alias("most"), F.count(F.lit(1)).alias("n")))
-    return data_cells, centers.join(radii, "cell"), nlist, nprobe
+    return centers.join(radii, "cell")

@@ -169,9 +169,10 @@ def build_tags(article_vecs: DataFrame, taxonomy_vecs: DataFrame, k: int = 100,
 
 def build_index(vecs: DataFrame, path: str, dims: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Q6: cells (k-means, nlist = round(sqrt n)) written partitioned by cell,
-    with centres and a parameter row; returns (vectors, centres, params) read back."""
+    with centres, radii and a parameter row; returns (vectors, centres, params) read back."""
     cells, centers, nlist, nprobe = K.build_index(vecs)
-    IO.write_vectors(cells, centers, nlist, nprobe, dims, path)
+    cells = stage_table(cells, "index-cells")
+    IO.write_vectors(cells, K.with_radii(cells, centers), nlist, nprobe, dims, path)
     return IO.read_vectors(vecs.sparkSession, path)
 
 
