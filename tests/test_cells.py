@@ -5,6 +5,7 @@ import contextlib
 import io
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +112,41 @@ def test_stored_index_is_pruned_while_the_query_runs(spark, tmp_path):
         pruned.explain("formatted")
     assert "dynamicpruning" in text.getvalue().lower()
     assert len({r.cell for r in pruned.collect()}) == 1 < store.select("cell").distinct().count()
+
+
+class _Rows:
+    """Stands for a frame: keeps the function that runs on its batches."""
+
+    def __init__(self, schema):
+        self.schema = schema
+
+    def select(self, *_):
+        return self
+
+    def mapInPandas(self, fn, schema):
+        return fn
+
+
+def test_copies_and_distances_leave_in_small_batches(spark):
+    """A batch of rows times its cells (or times the small side) is never held:
+    with every row in every cell that was all copies of a batch at once."""
+    rng = np.random.default_rng(3)
+    x, piv = rng.normal(size=(3000, DIMS)), rng.normal(size=(400, DIMS))
+    cells = K.Cells(piv, np.zeros(400), np.full(400, 99.0), np.full(400, 10), np.full((400, 1), np.inf))
+    pdf = pd.DataFrame({"id": np.arange(3000), "vec": list(x)})
+    rows = _Rows(frame(spark, x[:1]).schema)
+    parts = list(K.to_cells(rows, cells, radius=50.0)(iter([pdf])))
+    assert sum(map(len, parts)) == 3000 * 400
+    assert max(map(len, parts)) * DIMS <= K.CHUNK_VALUES
+    few = pdf.iloc[:1500]
+    most, kernel = [], K._pair_kernel(2, None, False)
+
+    def watched(*_):
+        def run(key, left, right):
+            most.append(len(left) * len(right))
+            return kernel(key, left, right)
+        return run
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(K, "_pair_kernel", watched)
+        found = pd.concat(K._in_place(rows, few, 2, None, False)(iter([pdf])))
+    assert len(found) == 6000 and max(most) <= K.CHUNK_VALUES
