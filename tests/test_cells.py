@@ -150,3 +150,13 @@ def test_copies_and_distances_leave_in_small_batches(spark):
         m.setattr(K, "_pair_kernel", watched)
         found = pd.concat(K._in_place(rows, few, 2, None, False)(iter([pdf])))
     assert len(found) == 6000 and max(most) <= K.CHUNK_VALUES
+
+
+def test_vectors_are_shuffled_once_on_their_way_to_a_block(spark):
+    """The cells' sizes come to the rows; the rows are not shuffled by cell first."""
+    v = frame(spark, clustered(200))
+    lo, hi = K.sub_blocks(v.withColumn("cell", F.col("id") % 5), v.withColumn("cell", F.col("id") % 5), "cell", 20)
+    for side in (lo, hi):
+        txt = side._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in txt and "Exchange hashpartitioning" not in txt
+    assert lo.count() == 200 * 4 and hi.count() == 200 * 4
