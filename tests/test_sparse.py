@@ -98,3 +98,20 @@ def test_groups_equal_those_of_dense_vectors(spark, method):
     assert sorted((r.id, r.group) for r in got) == sorted((r.id, r.group) for r in want)
     # (the two members of a pair are equally central: rounding decides among dense ones)
     assert {r.group for r in got if r.is_central_news} == {r.group for r in got} - {-1}
+
+
+@pytest.mark.parametrize("two", [False, True])
+def test_candidates_meet_in_blocks(spark, monkeypatch, two):
+    """Vectors go to blocks and not to candidates: no join has more bags on its
+    way than vectors times blocks; pairs are those of brute force."""
+    monkeypatch.setattr(SP, "GROUP_PAIRS", 200)
+    monkeypatch.setattr(SP, "GROUP_TERMS", 150)
+    monkeypatch.setattr(SP, "CHUNK_TERMS", 16)
+    a, b = vectors(150, 40, 3), vectors(120, 40, 4)
+    want = ({(i, j): dot(a[i], b[j]) for i in a for j in b if dot(a[i], b[j]) >= 0.513} if two else
+            {(i, j): dot(a[i], a[j]) for i in a for j in a if i < j and dot(a[i], a[j]) >= 0.513})
+    found = SP.pairs_above(frame(spark, a), frame(spark, b) if two else None, 0.513)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "map_from_entries" not in plan
+    got = {(r.a, r.b): r.dot for r in found.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
