@@ -115,3 +115,23 @@ def test_candidates_meet_in_blocks(spark, monkeypatch, two):
     assert "FlatMapCoGroupsInArrow" in plan and "map_from_entries" not in plan
     got = {(r.a, r.b): r.dot for r in found.collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_central_adds_up_a_mean_once(spark, monkeypatch):
+    """No frame reaches to a label's last term: it would be added up anew for each
+    of its terms, which is quadratic in the words of a label."""
+    plans, cut = [], SP.cut_lineage
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return cut(df)
+    monkeypatch.setattr(SP, "cut_lineage", seen)
+    v = vectors(40, 30, 6)
+    labels = spark.createDataFrame([(i, i % 3) for i in v], "id long, label long")
+    got = {r.label: r.id for r in SP.central(frame(spark, v), labels).collect()}
+    mean = {m: {} for m in range(3)}
+    for i, bag in v.items():
+        for t, w in bag.items():
+            mean[i % 3][t] = mean[i % 3].get(t, 0.0) + w / sum(j % 3 == i % 3 for j in v)
+    assert got == {m: min(v, key=lambda i: (round(1 - 2 * dot(v[i], mean[m]), 12), i)) for m in mean}
+    assert any("windowspecdefinition" in p for p in plans) and not any("unboundedfollowing" in p for p in plans)
