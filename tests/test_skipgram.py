@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidings.operators import skipgram
 from tidings.operators import text as T
+from tidings.plans import queries as Q
 
 
 def themes(n):
@@ -42,6 +43,8 @@ def test_no_words_or_vectors_pass_the_driver(spark, monkeypatch):
     monkeypatch.setattr(feature, "Word2Vec", refuse)
     td = spark.createDataFrame(themes(40), "doc_id long, tokens array<string>")
     assert T.fit_word2vec(td, 8)[1].count() == 41
+    _, vectors, cvm, lda = Q.build_topics(td, 20, 2, 1, 1.0, 8, 2)
+    assert vectors.count() >= 41 and T.topic_terms(cvm, lda, 3).count() == 6
 
 
 def test_odd_rows_and_min_count(spark):
