@@ -219,3 +219,31 @@ def test_without_training_rows(spark):
 
 def test_empty(no_docs):
     assert M.score(no_docs, F.lit(True)).collect() == []
+
+
+def test_distinct_is_unique_with_places():
+    rng = np.random.default_rng(3)
+    for key in (np.empty(0, np.int64), np.array([7, 7]), rng.integers(0, 50, 1000), rng.integers(0, 1 << 62, 1000) // 3 * 3):
+        for got, want in zip(M.distinct(key), np.unique(key, return_index=True, return_inverse=True)):
+            assert got.tolist() == want.tolist()
+
+
+def test_pack_keeps_kinds_and_leaves_empty_planes_out():
+    arrays = [np.arange(5), np.array([-3, 1 << 40]), np.empty(0, np.int32), np.array([255, 256], np.int32), np.array([0, 255], np.uint8)]
+    for got, a in zip(M.unpack(M.pack(*arrays)), arrays):
+        assert got.dtype == a.dtype and got.tolist() == a.tolist()
+    assert b" |u1 5 " in M.pack(np.arange(5))
+
+
+def test_words_are_hashed_once_a_block(spark, monkeypatch):
+    """Every level hashed all words of a block again; now the block keeps them by hash."""
+    docs = spark.createDataFrame([(i, f"a{i} b{i % 7} c") for i in range(200)], "doc_id long, text string")
+    row = M.blocks_of(docs.coalesce(1), F.lit(True)).first().asDict()
+    block, calls = M.Block(row), []
+    crc = M.zlib.crc32
+    monkeypatch.setattr(M.zlib, "crc32", lambda w: calls.append(w) or crc(w))
+    asked = dict(block.ask_words(4))
+    assert len(calls) < block.row["n_words"]
+    assert [crc(w) * 4 >> 32 for w in block.words()] == sorted(crc(w) * 4 >> 32 for w in block.words())
+    words = [w for s in range(4) if str(s) in asked for w in M._cut(asked[str(s)])[1]]
+    assert words == block.words()

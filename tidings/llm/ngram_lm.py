@@ -31,6 +31,8 @@ scores are added up.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -67,13 +69,15 @@ _ANSWER = "level int, shard string, block long, payload binary, tokens long, typ
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Whole numbers in few bytes: byte planes, compressed."""
+    """Whole numbers in few bytes: byte planes, those above the largest number
+    left out, compressed."""
     out = []
     for a in arrays:
-        a = np.ascontiguousarray(a)
-        planes = a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+        kind = np.min_scalar_type(a.max()) if len(a) and a.min() >= 0 else a.dtype
+        b = np.ascontiguousarray(a, kind)
+        planes = b.view(np.uint8).reshape(len(b), b.itemsize).T.tobytes()
         data = zstandard.ZstdCompressor(level=1).compress(planes)
-        out.append(f"{a.dtype.str} {len(a)} {len(data)}\n".encode() + data)
+        out.append(f"{a.dtype.str} {kind.str} {len(a)} {len(data)}\n".encode() + data)
     return b"".join(out)
 
 
@@ -81,14 +85,30 @@ def unpack(data: bytes) -> list[np.ndarray]:
     out, at = [], 0
     while at < len(data):
         end = data.index(b"\n", at)
-        kind, n, size = data[at:end].split()
+        whole, kind, n, size = data[at:end].split()
         n, size, at = int(n), int(size), end + 1 + int(size)
         kind = np.dtype(kind.decode())
         planes = zstandard.ZstdDecompressor().decompress(data[end + 1:at], max_output_size=max(n * kind.itemsize, 1))
-        out.append(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(kind.itemsize, n).T).view(kind).reshape(n))
+        out.append(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(kind.itemsize, n).T).view(kind).reshape(n).astype(whole.decode(), copy=False))
     return out
 
 
+def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct numbers (none negative) in order, the first place of each, and
+    for every place its number's; number and place are sorted as one where both fit."""
+    bits = len(key).bit_length()
+    if len(key) and int(key.max()) < 1 << (63 - bits):
+        both = np.sort(key << bits | np.arange(len(key)))
+        order, key = both & ((1 << bits) - 1), both >> bits
+    else:
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+    new = np.diff(key, prepend=-1) != 0
+    which = np.empty(len(key), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return key[new], order[new], which
+
+
 def quantise(p: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-STEPS * np.log10(p)), 0, 255).astype(np.uint8)
 
@@ -111,8 +131,13 @@ def blocks_of(docs: DataFrame, train: Column, order: int = ORDER, id_col: str =
 
         def block() -> pa.RecordBatch:
             nonlocal held, size
-            codes, distinct = number([w for c in held for w in c[4]])
-            codes = codes.astype(np.int32) + _WORDS
+            codes, words = number([w for c in held for w in c[4]])
+            # words lie by their hash, so a shard's are a stretch
+            words = words.to_pylist()
+            by_hash = np.argsort(np.fromiter(map(zlib.crc32, words), np.int64, len(words)), kind="stable")
+            rank = np.empty(len(words), np.int32)
+            rank[by_hash] = np.arange(len(words))
+            codes = rank[codes] + np.int32(_WORDS)
             ends = np.cumsum([len(c[4]) for c in held])
             own = [x for part, c in zip(np.split(codes, ends[:-1]), held)
                    for x in ([_BEGIN][:c[3]], part, [_END][:c[5]])]
@@ -121,8 +146,8 @@ def blocks_of(docs: DataFrame, train: Column, order: int = ORDER, id_col: str =
             made[0] += 1
             row = [first + made[0], [c[0] for c in held], [c[1] for c in held], [c[2] for c in held],
                    pack(sizes), pack(skips), pack(np.concatenate(own).astype(np.int32)),
-                   b" ".join(distinct.to_pylist()), int((sizes - skips).sum()),
-                   sum(c[2] and c[3] for c in held), len(distinct)]
+                   b" ".join([words[i] for i in by_hash.tolist()]), int((sizes - skips).sum()),
+                   sum(c[2] and c[3] for c in held), len(words)]
             held, size = [], 0
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=names)
 
@@ -164,15 +189,14 @@ class Block:
     def words(self) -> list[bytes]:
         return self.row["words"].split(b" ") if self.n > _WORDS else []
 
-    def word_shards(self, shards: int) -> np.ndarray:
-        return np.fromiter((zlib.crc32(w) % shards for w in self.words()), np.int64, self.n - _WORDS)
-
     def ask_words(self, shards: int) -> Iterator[tuple[str, bytes]]:
         """Per shard the block's distinct words and their training counts."""
-        which, words = self.word_shards(shards), self.words()
+        words = self.words()
         n = np.bincount(self.codes[self.counted], minlength=self.n)[_WORDS:]
-        for s, at in _groups(which):
-            yield str(s), pack(n[at]) + b"\n\n" + b" ".join([words[i] for i in at.tolist()])
+        cuts = [bisect.bisect_left(words, s, key=lambda w: zlib.crc32(w) * shards >> 32) for s in range(shards + 1)]
+        for s, (lo, hi) in enumerate(itertools.pairwise(cuts)):
+            if hi > lo:
+                yield str(s), pack(n[lo:hi]) + b"\n\n" + b" ".join(words[lo:hi])
 
     def learn_words(self, answers: dict[str, bytes], word_shards: int, shards: int, docs: int, tokens: int,
                     types: int) -> None:
@@ -180,8 +204,13 @@ class Block:
         As contexts of the next level, words are spread over ``shards``."""
         self.gid, self.count = np.zeros(self.n, np.int64), np.zeros(self.n, np.int64)
         self.gid[:_WORDS], self.count[:_WORDS] = (1, 2), docs
-        for s, at in _groups(self.word_shards(word_shards)):
-            self.gid[_WORDS + at], self.count[_WORDS + at] = unpack(answers[str(s)])
+        lo = _WORDS
+        for s in range(word_shards):
+            if str(s) not in answers:
+                continue
+            gid, count = unpack(answers[str(s)])
+            self.gid[lo:lo + len(gid)], self.count[lo:lo + len(gid)] = gid, count
+            lo += len(gid)
         # from here on words are numbered like their global numbers, so a
         # block's n-grams stand in the order of the shards' nodes
         order = np.concatenate([np.arange(_WORDS), _WORDS + np.argsort(self.gid[_WORDS:], kind="stable")])
@@ -201,8 +230,7 @@ class Block:
         at = np.flatnonzero(self.age >= level - 1)
         at = at[(self.gram[at - 1] >= 0)]
         at = at[self.seen[self.gram[at - 1]]]
-        key, first, self.gram_at = np.unique(self.gram[at - 1] * self.n + self.codes[at], return_index=True,
-                                             return_inverse=True)
+        key, first, self.gram_at = distinct(self.gram[at - 1] * self.n + self.codes[at])
         self.at, before, word = at, key // self.n, key % self.n
         self.word, self.context, self.total = self.gid[word], self.nodes[before], self.totals[before]
         pieces = -(-self.total // SPLIT)
@@ -257,13 +285,6 @@ class Block:
                         [x / -STEPS for x in total(self.code.astype(np.int64))]))
 
 
-def _groups(which: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Every value with its places, by value."""
-    order = np.argsort(which, kind="stable")
-    values, first = np.unique(which[order], return_index=True)
-    return zip(values.tolist(), np.split(order, first[1:]))
-
-
 def _answer(level: int, shard, block, payload, tokens, types) -> pa.Table:
     n = len(block)
     return pa.table([pa.array([level] * n, pa.int32()), pa.array([shard] * n, pa.string()), pa.array(block, pa.int64()),
@@ -293,7 +314,7 @@ def word_level(shards: int):
 def _cut(payload: bytes) -> tuple[np.ndarray, list[bytes]]:
     """Counts and words of an ask."""
     end = payload.index(b"\n")
-    size = int(payload[:end].split()[2])
+    size = int(payload[:end].split()[-1])
     return unpack(payload[:end + 1 + size])[0], payload[end + 3 + size:].split(b" ")
 
 
@@ -307,7 +328,7 @@ def n_gram_level(level: int, last: bool, strength: float, least: int):
         sizes, hot, word, n, lower = (np.concatenate([p[i] for p in parts]) for i in range(1, 6))
         of_child = np.repeat(of_context, sizes)
         wide = int(word.max()) + 1
-        key, first, which = np.unique(of_child * wide + word, return_index=True, return_inverse=True)
+        key, first, which = distinct(of_child * wide + word)
         context, word, p = key // wide, key % wide, probability(lower[first])
         count = np.bincount(which, weights=n).astype(np.int64)
         total = np.bincount(context, weights=count, minlength=len(contexts)).astype(np.int64)
