@@ -8,6 +8,7 @@ from ..functions import scalars as S
 from ..functions.wordlists import EXCLUDED_POS
 from ..operators import relational as R
 from ..operators import text as T
+from ..session import stage_table
 from . import fixtures as X
 from .checks_sources import EN_STOP, LATIN_KEEP
 from .registry import register
@@ -177,7 +178,7 @@ kw AS (SELECT doc_id, array_to_string(list_sort(list_distinct(list(token))), ','
 SELECT d.doc_id, coalesce(kw.kw, array_to_string(d.tokens, ',')) AS keywords
 FROM token_docs d LEFT JOIN kw ON kw.doc_id = d.doc_id""")
 def rnk7(spark, sf):
-    kw = T.keywords(_td(spark, sf), X.word_vectors_like(spark, sf), DIMS, 5)
+    kw = T.keywords(_td(spark, sf), stage_table(X.word_vectors_like(spark, sf), "word-vectors"), DIMS, 5)
     return kw.select("doc_id", F.array_join("keywords", ",").alias("keywords"))
 
 
@@ -185,7 +186,7 @@ def rnk7(spark, sf):
 SELECT n.id, n.source, coalesce(kw.kw, array_to_string(d.tokens, ',')) AS keywords
 FROM news_like n JOIN token_docs d ON d.doc_id = n.id LEFT JOIN kw ON kw.doc_id = d.doc_id""")
 def txt4(spark, sf):
-    kw = T.keywords(_td(spark, sf), X.word_vectors_like(spark, sf), DIMS, 5)
+    kw = T.keywords(_td(spark, sf), stage_table(X.word_vectors_like(spark, sf), "word-vectors"), DIMS, 5)
     out = T.add_keywords(X.news_like(spark, sf).select("id", "source"), kw)
     return out.select("id", "source", F.array_join("keywords", ",").alias("keywords"))
 
